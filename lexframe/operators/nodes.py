@@ -10,26 +10,35 @@ from lexframe.operators.rules import _true, _with_clause, with_methods
 from lexframe.operators.structure import (
     CAN_END, NAMES, annotate, brackets, conditionals, enclosing, neighbours,
 )
-from lexframe.operators.tokens import BY_POS, literal_values
+from lexframe.operators.tokens import by_pos, literal_values
 
 ASSIGNMENTS = ["="] + A.ASSIGN
 LOGICAL = ["&&", "||"]
 BINARY = [o for o in A.INFIX if o not in LOGICAL] + ["+", "-", "*", "IN"]
 OPERAND_END = [c for c in CAN_END if c not in ("DEFAULT", "++", "--")]
 
-kind, text = F.col("kind"), F.col("text")
-p1, p2, p3, p1t, p2t = (F.col(x) for x in ("p1", "p2", "p3", "p1t", "p2t"))
-n1, n2, n3, n1t, n2t, n3t = (F.col(x) for x in ("n1", "n2", "n3", "n1t", "n2t", "n3t"))
-NO_TEXT = F.lit(None).cast("string")
 
+class _Columns:
+    """Token columns by name: ``c.p1`` is the column ``p1``."""
 
-def _property(c_p1: Column = p1) -> Column:
+    def __getattr__(self, name: str) -> Column:
+        return F.col(name)
+
+
+c = _Columns()
+
+
+def no_text() -> Column:
+    return F.lit(None).cast("string")
+
+
+def _property() -> Column:
     """A keyword used as a property name: after a dot, or as a key before a colon."""
-    return _true(c_p1 == ".") | _true((n1 == ":") & c_p1.isin("{", ","))
+    return _true(c.p1 == ".") | _true((c.n1 == ":") & c.p1.isin("{", ","))
 
 
 def _keyword(*names: str) -> Column:
-    return kind.isin(*names) & ~_property()
+    return c.kind.isin(*names) & ~_property()
 
 
 def _name(k: Column, t: Column) -> Column:
@@ -47,18 +56,18 @@ def detailed(tokens: DataFrame) -> DataFrame:
 def imports(tokens: DataFrame) -> DataFrame:
     """One row per imported name; an import without names has null names."""
     df = _with_clause_source(_clause_kind(_with_clause(bracketed(tokens))))
-    bare = _keyword("IMPORT") & ((n1 == "STRING") | ((n1 == "{") & (n2 == "}")))
+    bare = _keyword("IMPORT") & ((c.n1 == "STRING") | ((c.n1 == "{") & (c.n2 == "}")))
     in_import = F.col("clause_pos").isNotNull() & (F.col("clause_kind") == "IMPORT")
-    named = in_import & kind.isin(NAMES + ["DEFAULT"]) & (F.col("encl.kind") == "{") & p1.isin("{", ",")
-    default = kind.isin(NAMES) & (p1 == "IMPORT")
-    namespace = in_import & kind.isin(NAMES) & (p1t == "as") & (p2 == "*")
-    row = F.when(bare, F.struct(NO_TEXT.alias("local"), NO_TEXT.alias("imported"),
+    named = in_import & c.kind.isin(NAMES + ["DEFAULT"]) & (F.col("encl.kind") == "{") & c.p1.isin("{", ",")
+    default = c.kind.isin(NAMES) & (c.p1 == "IMPORT")
+    namespace = in_import & c.kind.isin(NAMES) & (c.p1t == "as") & (c.p2 == "*")
+    row = F.when(bare, F.struct(no_text().alias("local"), no_text().alias("imported"),
                                 F.lit(False).alias("is_namespace"), F.lit(False).alias("is_default")))
-    row = row.when(default, F.struct(text.alias("local"), F.lit("default").alias("imported"),
+    row = row.when(default, F.struct(c.text.alias("local"), F.lit("default").alias("imported"),
                                      F.lit(False).alias("is_namespace"), F.lit(True).alias("is_default")))
-    row = row.when(namespace, F.struct(text.alias("local"), NO_TEXT.alias("imported"),
+    row = row.when(namespace, F.struct(c.text.alias("local"), no_text().alias("imported"),
                                        F.lit(True).alias("is_namespace"), F.lit(False).alias("is_default")))
-    row = row.when(named, F.struct(F.when(n1t == "as", n2t).otherwise(text).alias("local"), text.alias("imported"),
+    row = row.when(named, F.struct(F.when(c.n1t == "as", c.n2t).otherwise(c.text).alias("local"), c.text.alias("imported"),
                                    F.lit(False).alias("is_namespace"), F.lit(False).alias("is_default")))
     return df.withColumn("_row", row).filter(F.col("_row").isNotNull()).select(
         "script_id", "pos", "_row.*", "source"
@@ -71,24 +80,24 @@ def _with_clause_source(df: DataFrame) -> DataFrame:
     The source is the next string of the statement, found by a backward window over the same partitions.
     """
     back = Window.partitionBy("script_id").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    is_source = (kind == "STRING") & (_true(p1t == "from") | _true(p1 == "IMPORT"))
-    stop = kind.isin(";", "IMPORT", "EXPORT")
+    is_source = (c.kind == "STRING") & (_true(c.p1t == "from") | _true(c.p1 == "IMPORT"))
+    stop = c.kind.isin(";", "IMPORT", "EXPORT")
     mark = F.when(is_source, F.expr("substring(text, 2, length(text) - 2)")).when(stop, F.lit(""))
     return df.withColumn("source", F.nullif(F.last(mark, ignorenulls=True).over(back), F.lit("")))
 
 
 def _clause_kind(df: DataFrame) -> DataFrame:
-    before = BY_POS.rowsBetween(Window.unboundedPreceding, -1)
-    return df.withColumn("clause_kind", F.last(F.when(kind.isin("IMPORT", "EXPORT"), kind), ignorenulls=True).over(before))
+    before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn("clause_kind", F.last(F.when(c.kind.isin("IMPORT", "EXPORT"), c.kind), ignorenulls=True).over(before))
 
 
 def exports(tokens: DataFrame) -> DataFrame:
     """One row per exported name, ``export *`` or default export."""
     df = _with_clause_source(_clause_kind(_with_declarators(annotate(tokens))))
-    spec = kind.isin(NAMES + ["DEFAULT"]) & (F.col("encl.kind") == "{") & (F.col("encl.p1") == "EXPORT") & p1.isin("{", ",")
-    star = _keyword("EXPORT") & (n1 == "*")
-    default = _keyword("EXPORT") & (n1 == "DEFAULT")
-    declared = _keyword("EXPORT") & n1.isin("FUNCTION", "CLASS", "ASYNC")
+    spec = c.kind.isin(NAMES + ["DEFAULT"]) & (F.col("encl.kind") == "{") & (F.col("encl.p1") == "EXPORT") & c.p1.isin("{", ",")
+    star = _keyword("EXPORT") & (c.n1 == "*")
+    default = _keyword("EXPORT") & (c.n1 == "DEFAULT")
+    declared = _keyword("EXPORT") & c.n1.isin("FUNCTION", "CLASS", "ASYNC")
     variable = F.col("declares") & (F.col("decl_export"))
 
     def row(local, exported, is_default, is_all, alias, declaration) -> Column:
@@ -98,8 +107,8 @@ def exports(tokens: DataFrame) -> DataFrame:
         )
 
     df = df.withColumns(
-        {f"_name{i}": F.when(F.lead("kind", i).over(BY_POS).isin(NAMES), F.lead("text", i).over(BY_POS)) for i in (2, 3, 4, 5)}
-        | {f"_star{i}": _true(F.lead("kind", i).over(BY_POS) == "*") for i in (2, 3, 4)}
+        {f"_name{i}": F.when(F.lead("kind", i).over(by_pos()).isin(NAMES), F.lead("text", i).over(by_pos())) for i in (2, 3, 4, 5)}
+        | {f"_star{i}": _true(F.lead("kind", i).over(by_pos()) == "*") for i in (2, 3, 4)}
     )
 
     def declared_name(at: int, keyword: Column) -> Column:
@@ -111,13 +120,13 @@ def exports(tokens: DataFrame) -> DataFrame:
         return F.when(keyword == "ASYNC", after(at + 2)).when(keyword.isin("FUNCTION", "CLASS"), after(at + 1))
 
     kinds = F.create_map(*[F.lit(x) for x in ["FUNCTION", "function", "ASYNC", "function", "CLASS", "class"]])
-    out = F.when(spec, row(text, F.when(n1t == "as", n2t).otherwise(text), False, False,
-                           F.when(n1t == "as", n2t), NO_TEXT))
-    out = out.when(star, row(NO_TEXT, F.when(n2t == "as", n3t), False, True, F.when(n2t == "as", n3t), NO_TEXT))
-    out = out.when(default, row(declared_name(2, n2), F.lit("default"), True, False, NO_TEXT,
-                                F.coalesce(kinds[n2], F.lit("expression"))))
-    out = out.when(declared, row(declared_name(1, n1), declared_name(1, n1), False, False, NO_TEXT, kinds[n1]))
-    out = out.when(variable, row(_name(kind, text), _name(kind, text), False, False, NO_TEXT, F.col("decl_kind")))
+    out = F.when(spec, row(c.text, F.when(c.n1t == "as", c.n2t).otherwise(c.text), False, False,
+                           F.when(c.n1t == "as", c.n2t), no_text()))
+    out = out.when(star, row(no_text(), F.when(c.n2t == "as", c.n3t), False, True, F.when(c.n2t == "as", c.n3t), no_text()))
+    out = out.when(default, row(declared_name(2, c.n2), F.lit("default"), True, False, no_text(),
+                                F.coalesce(kinds[c.n2], F.lit("expression"))))
+    out = out.when(declared, row(declared_name(1, c.n1), declared_name(1, c.n1), False, False, no_text(), kinds[c.n1]))
+    out = out.when(variable, row(_name(c.kind, c.text), _name(c.kind, c.text), False, False, no_text(), F.col("decl_kind")))
     from_source = F.when(spec, F.when(_true(F.col("encl.after_t") == "from"), F.col("source"))).when(star, F.col("source"))
     return df.withColumns({"_row": out, "_source": from_source}).filter(F.col("_row").isNotNull()).select(
         "script_id", "pos", "_row.*", F.col("_source").alias("source")
@@ -131,43 +140,43 @@ def _with_declarators(df: DataFrame) -> DataFrame:
     """
     df = enclosing(df) if "encl" not in df.columns else df
     here = Window.partitionBy("script_id", "level").orderBy("pos")
-    word = kind.isin(A.DECLARE) & ~_property()
-    ends = kind.isin(";", "IN") | ((kind == "IDENTIFIER") & (text == "of")) | F.col("is_open") | F.col(
+    word = c.kind.isin(A.DECLARE) & ~_property()
+    ends = c.kind.isin(";", "IN") | ((c.kind == "IDENTIFIER") & (c.text == "of")) | F.col("is_open") | F.col(
         "asi_standard"
     ).isNotNull()
-    mark = F.when(word, F.struct(F.lower(kind).alias("k"), (p1 == "EXPORT").alias("x"))).when(
-        ends, F.struct(NO_TEXT.alias("k"), F.lit(False).alias("x"))
+    mark = F.when(word, F.struct(F.lower(c.kind).alias("k"), (c.p1 == "EXPORT").alias("x"))).when(
+        ends, F.struct(no_text().alias("k"), F.lit(False).alias("x"))
     )
     df = df.withColumn("_mark", F.last(mark, ignorenulls=True).over(here))
-    splits = word | ((kind == ",") & F.col("_mark.k").isNotNull())
+    splits = word | ((c.kind == ",") & F.col("_mark.k").isNotNull())
     df = df.withColumn("_split", F.when(splits, F.col("_mark")))
-    prev = F.lag("_split").over(BY_POS)
-    return df.withColumns({"declares": prev.isNotNull() & kind.isin(NAMES + ["{", "["]), "_prev": prev}).withColumns(
+    prev = F.lag("_split").over(by_pos())
+    return df.withColumns({"declares": prev.isNotNull() & c.kind.isin(NAMES + ["{", "["]), "_prev": prev}).withColumns(
         {"decl_kind": F.col("_prev.k"), "decl_export": _true(F.col("_prev.x"))}
     ).drop("_mark", "_split", "_prev")
 
 
 def var_decls(tokens: DataFrame) -> DataFrame:
     df = _with_declarators(annotate(tokens)).filter("declares")
-    pattern = kind.isin("{", "[")
+    pattern = c.kind.isin("{", "[")
     return df.select(
-        "script_id", "pos", "decl_kind", _name(kind, text).alias("name"), pattern.alias("is_pattern"),
-        _true(F.when(pattern, F.col("after")).otherwise(n1) == "=").alias("has_initializer"),
+        "script_id", "pos", "decl_kind", _name(c.kind, c.text).alias("name"), pattern.alias("is_pattern"),
+        _true(F.when(pattern, F.col("after")).otherwise(c.n1) == "=").alias("has_initializer"),
     )
 
 
 def functions(tokens: DataFrame) -> DataFrame:
     """``function`` declarations and expressions with their header."""
     df = annotate(tokens)
-    star = _true(n1 == "*")
-    named = F.when(star, n2.isin(NAMES)).otherwise(n1.isin(NAMES))
+    star = _true(c.n1 == "*")
+    named = F.when(star, c.n2.isin(NAMES)).otherwise(c.n1.isin(NAMES))
     step = 1 + star.cast("int") + named.cast("int")
-    items = [F.lead("items", i).over(BY_POS) for i in (1, 2, 3)]
+    items = [F.lead("items", i).over(by_pos()) for i in (1, 2, 3)]
     df = df.withColumns({f"_n{i + 1}": items[i] for i in range(3)})
-    return df.filter(kind.eqNullSafe("FUNCTION") & ~_property()).select(
+    return df.filter(c.kind.eqNullSafe("FUNCTION") & ~_property()).select(
         "script_id", "pos", F.col("function_form").alias("form"),
-        F.when(named, F.when(star, n2t).otherwise(n1t)).alias("name"),
-        star.alias("generator"), _true(p1 == "ASYNC").alias("is_async"),
+        F.when(named, F.when(star, c.n2t).otherwise(c.n1t)).alias("name"),
+        star.alias("generator"), _true(c.p1 == "ASYNC").alias("is_async"),
         F.when(step == 1, F.col("_n1")).when(step == 2, F.col("_n2")).otherwise(F.col("_n3")).alias("param_count"),
         "depth",
     )
@@ -176,14 +185,14 @@ def functions(tokens: DataFrame) -> DataFrame:
 def arrows(tokens: DataFrame) -> DataFrame:
     """Arrow functions; the single-identifier form has no parentheses."""
     df = brackets(neighbours(tokens))
-    back = F.lag("items").over(BY_POS)
-    before = F.lag("open_p1").over(BY_POS)
-    df = df.withColumns({"_items": back, "_before": before}).filter(kind == "=>")
-    single = p1 != ")"
+    back = F.lag("items").over(by_pos())
+    before = F.lag("open_p1").over(by_pos())
+    df = df.withColumns({"_items": back, "_before": before}).filter(c.kind == "=>")
+    single = c.p1 != ")"
     return df.select(
         "script_id", "pos",
-        _true(F.when(single, p2 == "ASYNC").otherwise(F.col("_before") == "ASYNC")).alias("is_async"),
-        (n1 != "{").alias("expression_body"),
+        _true(F.when(single, c.p2 == "ASYNC").otherwise(F.col("_before") == "ASYNC")).alias("is_async"),
+        (c.n1 != "{").alias("expression_body"),
         F.when(single, 1).otherwise(F.col("_items")).alias("param_count"),
         single.alias("single_identifier"),
     )
@@ -192,13 +201,13 @@ def arrows(tokens: DataFrame) -> DataFrame:
 def classes(tokens: DataFrame) -> DataFrame:
     """Classes with their number of methods."""
     df = detailed(tokens)
-    named = n1.isin(NAMES)
+    named = c.n1.isin(NAMES)
     # members name their body; the body is the first brace on the level of the class keyword
     starts = _keyword("CLASS")
     outer = F.when(F.col("is_open"), F.col("depth") - 1).otherwise(F.col("depth"))
     df = df.withColumn("_outer", outer)
     here = Window.partitionBy("script_id", "_outer").orderBy("pos")
-    opener = F.col("is_open") & (kind == "{") & _true(F.col("open_p1").isin(OPERAND_END + ["CLASS"]))
+    opener = F.col("is_open") & (c.kind == "{") & _true(F.col("open_p1").isin(OPERAND_END + ["CLASS"]))
     df = df.withColumn("_class", F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(here))
     df = df.withColumn("_opens", F.when(opener & F.col("_class").isNotNull(), F.col("_class")))
     first = F.row_number().over(Window.partitionBy("script_id", "_opens").orderBy("pos")) == 1
@@ -209,10 +218,10 @@ def classes(tokens: DataFrame) -> DataFrame:
         .when(F.col("method").isNotNull(), -1).alias("class_pos"),
         F.when(F.col("_body_of").isNotNull(), F.col("pos")).when(F.col("method").isNotNull(), F.col("method.owner_pos")).alias("body_pos"),
         F.when(starts, F.struct(
-            F.when(_true(F.col("statement_position")) | p1.isin("EXPORT", "DEFAULT") | F.col("asi_standard").isNotNull(), "declaration")
+            F.when(_true(F.col("statement_position")) | c.p1.isin("EXPORT", "DEFAULT") | F.col("asi_standard").isNotNull(), "declaration")
             .otherwise("expression").alias("form"),
-            F.when(named, n1t).alias("name"),
-            _true(F.when(named, n2).otherwise(n1) == "EXTENDS").alias("has_superclass"),
+            F.when(named, c.n1t).alias("name"),
+            _true(F.when(named, c.n2).otherwise(c.n1) == "EXTENDS").alias("has_superclass"),
         )).alias("head"),
     ).filter(F.col("class_pos").isNotNull())
     members = rows.filter(F.col("class_pos") == -1).groupBy("script_id", "body_pos").agg(F.count(F.lit(1)).alias("n"))
@@ -241,11 +250,11 @@ def _control_construct() -> Column:
         "FINALLY": "finally", "WITH": "with", "BREAK": "break", "CONTINUE": "continue", "THROW": "throw",
         "RETURN": "return", "IF": "if", "ELSE": "else",
     }
-    out = F.when(_keyword("FOR"), F.when(n1 == "AWAIT", "for-await").otherwise(F.coalesce(in_header, F.lit("for"))))
+    out = F.when(_keyword("FOR"), F.when(c.n1 == "AWAIT", "for-await").otherwise(F.coalesce(in_header, F.lit("for"))))
     for k_, name in simple.items():
         out = out.when(_keyword(k_), name)
-    out = out.when((kind == "DEFAULT") & (n1 == ":") & ~_true(p1.isin(",", ".")) & ~_true((F.col("brace_kind_in") == "object")), "default")
-    label = kind.isin(NAMES) & (n1 == ":") & (p1.isNull() | p1.isin(";", "}", ")", "{", "ELSE", "DO", ":") | F.col("asi_standard").isNotNull())
+    out = out.when((c.kind == "DEFAULT") & (c.n1 == ":") & ~_true(c.p1.isin(",", ".")) & ~_true((F.col("brace_kind_in") == "object")), "default")
+    label = c.kind.isin(NAMES) & (c.n1 == ":") & (c.p1.isNull() | c.p1.isin(";", "}", ")", "{", "ELSE", "DO", ":") | F.col("asi_standard").isNotNull())
     return out.when(label & ~_true(F.col("brace_kind_in") == "object") & ~_true(F.col("next_conditional")), "label")
 
 
@@ -259,19 +268,19 @@ def _with_control(df: DataFrame) -> DataFrame:
     # the header of "for" ends with its closing parenthesis; the separator inside is seen from behind
     here = Window.partitionBy("script_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     separator = (
-        F.when(kind == ";", "for").when(kind == "IN", "for-in").when((kind == "IDENTIFIER") & (text == "of"), "for-of")
+        F.when(c.kind == ";", "for").when(c.kind == "IN", "for-in").when((c.kind == "IDENTIFIER") & (c.text == "of"), "for-of")
         .when(F.col("is_close"), "none")
     )
     df = df.withColumn("_first", F.last(separator, ignorenulls=True).over(here))
     df = df.withColumns(
         {
-            "header_kind": F.lead(F.when(kind == "(", F.nullif("_first", F.lit("none")))).over(BY_POS),
-            "next_conditional": F.lead("conditional").over(BY_POS),
+            "header_kind": F.lead(F.when(c.kind == "(", F.nullif("_first", F.lit("none")))).over(by_pos()),
+            "next_conditional": F.lead("conditional").over(by_pos()),
         }
     )
     # kind of the braces a token is directly in
     braces = Window.partitionBy("script_id", "brace_depth").orderBy("pos")
-    df = df.withColumn("brace_kind_in", F.last(F.when(kind == "{", F.col("brace_kind")), ignorenulls=True).over(braces))
+    df = df.withColumn("brace_kind_in", F.last(F.when(c.kind == "{", F.col("brace_kind")), ignorenulls=True).over(braces))
     return df.withColumn("construct", _control_construct()).drop("_first")
 
 
@@ -283,24 +292,24 @@ def calls(tokens: DataFrame) -> DataFrame:
 
 def _with_member_chain(df: DataFrame) -> DataFrame:
     """``chain_start``: where the run of names and dots that a token is part of begins."""
-    part = kind.isin(NAMES + ["THIS", "SUPER"]) | (kind == ".") | _true(p1 == ".")
-    starts = part & ~_true((p1 == ".") | ((kind == ".") & p1.isin(NAMES + ["THIS", "SUPER"])) | ((kind == ".") & (p2 == ".")))
+    part = c.kind.isin(NAMES + ["THIS", "SUPER"]) | (c.kind == ".") | _true(c.p1 == ".")
+    starts = part & ~_true((c.p1 == ".") | ((c.kind == ".") & c.p1.isin(NAMES + ["THIS", "SUPER"])) | ((c.kind == ".") & (c.p2 == ".")))
     df = df.withColumn("_start", F.when(starts, F.struct("pos", "p1")))
-    return df.withColumn("chain", F.when(part, F.last("_start", ignorenulls=True).over(BY_POS))).drop("_start")
+    return df.withColumn("chain", F.when(part, F.last("_start", ignorenulls=True).over(by_pos()))).drop("_start")
 
 
 def _call_rows(df: DataFrame) -> DataFrame:
-    chain = F.lag("chain").over(BY_POS)
+    chain = F.lag("chain").over(by_pos())
     df = df.withColumn("_chain", chain)
-    callee_end = p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(p2 == ".")
+    callee_end = c.p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(c.p2 == ".")
     is_call = (
-        (kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
+        (c.kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
         & (F.col("paren_role") != "arrow")
     )
     dots = ((F.col("pos") - 1 - F.col("_chain.pos")) / 2).cast("int")
     return df.filter(is_call).select(
         "script_id", "pos",
-        F.when(p1.isin(NAMES + ["THIS", "SUPER"]) | _true(p2 == "."), p1t).alias("callee"),
+        F.when(c.p1.isin(NAMES + ["THIS", "SUPER"]) | _true(c.p2 == "."), c.p1t).alias("callee"),
         _true(F.col("_chain.p1") == "NEW").alias("is_new"),
         F.coalesce(F.when(F.col("_chain").isNotNull(), dots), F.lit(0)).alias("member_depth"),
         F.coalesce("items", F.lit(0)).alias("arg_count"),
@@ -310,31 +319,31 @@ def _call_rows(df: DataFrame) -> DataFrame:
 def member_access(tokens: DataFrame) -> DataFrame:
     """Property accesses; computed ones have no name."""
     df = neighbours(tokens)
-    dotted = (kind == ".") & _true(n1.isin(A.WORDS + ["IDENTIFIER"]))
-    computed = (kind == "[") & _true(p1.isin(OPERAND_END) | (p2 == ".")) & ~_true((p1 == "}") & F.col("newline_before"))
+    dotted = (c.kind == ".") & _true(c.n1.isin(A.WORDS + ["IDENTIFIER"]))
+    computed = (c.kind == "[") & _true(c.p1.isin(OPERAND_END) | (c.p2 == ".")) & ~_true((c.p1 == "}") & F.col("newline_before"))
     return df.filter(dotted | computed).select(
-        "script_id", "pos", F.when(dotted, n1t).alias("property"), computed.alias("computed")
+        "script_id", "pos", F.when(dotted, c.n1t).alias("property"), computed.alias("computed")
     )
 
 
 def _operator_class() -> Column:
-    operand = _true(p1.isin(OPERAND_END) | (p2 == "."))
+    operand = _true(c.p1.isin(OPERAND_END) | (c.p2 == "."))
     return (
-        F.when(kind.isin("++", "--"), F.when(operand & ~F.col("newline_before"), "update_postfix").otherwise("update_prefix"))
-        .when(kind.isin("TYPEOF", "DELETE", "VOID", "!", "~") & ~_property(), "unary")
-        .when(kind == "AWAIT", F.when(~_true(p1 == "FOR"), "unary"))
-        .when(kind.isin("+", "-"), F.when(operand, "binary").otherwise("unary"))
-        .when(kind == "*", F.when(operand & ~_true(p1.isin(";", "{", "}")), "binary"))
-        .when(kind.isin(LOGICAL), "logical")
-        .when(kind.isin(ASSIGNMENTS), "assignment")
-        .when(kind == "?", "ternary")
-        .when(kind.isin(BINARY) & ~_property(), "binary")
+        F.when(c.kind.isin("++", "--"), F.when(operand & ~F.col("newline_before"), "update_postfix").otherwise("update_prefix"))
+        .when(c.kind.isin("TYPEOF", "DELETE", "VOID", "!", "~") & ~_property(), "unary")
+        .when(c.kind == "AWAIT", F.when(~_true(c.p1 == "FOR"), "unary"))
+        .when(c.kind.isin("+", "-"), F.when(operand, "binary").otherwise("unary"))
+        .when(c.kind == "*", F.when(operand & ~_true(c.p1.isin(";", "{", "}")), "binary"))
+        .when(c.kind.isin(LOGICAL), "logical")
+        .when(c.kind.isin(ASSIGNMENTS), "assignment")
+        .when(c.kind == "?", "ternary")
+        .when(c.kind.isin(BINARY) & ~_property(), "binary")
     )
 
 
 def operators(tokens: DataFrame) -> DataFrame:
     df = neighbours(tokens).withColumn("operator_class", _operator_class()).filter(F.col("operator_class").isNotNull())
-    return df.select("script_id", "pos", F.lower(kind).alias("operator"), "operator_class")
+    return df.select("script_id", "pos", F.lower(c.kind).alias("operator"), "operator_class")
 
 
 def literals(tokens: DataFrame) -> DataFrame:
@@ -351,12 +360,12 @@ def templates(tokens: DataFrame) -> DataFrame:
     """Template literals: tagged or not, and how many substitutions."""
     df = neighbours(tokens)
     inside = Window.partitionBy("script_id", "level").orderBy("pos")
-    middles = F.sum(F.when(kind == "TEMPLATE_MIDDLE", 1).otherwise(0)).over(inside)
-    heads = F.last(F.when(kind == "TEMPLATE_HEAD", F.struct("pos", "p1", F.col("_m"))), ignorenulls=True).over(inside)
+    middles = F.sum(F.when(c.kind == "TEMPLATE_MIDDLE", 1).otherwise(0)).over(inside)
+    heads = F.last(F.when(c.kind == "TEMPLATE_HEAD", F.struct("pos", "p1", F.col("_m"))), ignorenulls=True).over(inside)
     df = df.withColumn("_m", middles).withColumn("_head", heads)
-    is_tail = kind == "TEMPLATE_TAIL"
-    df = df.filter(is_tail | (kind == "TEMPLATE_NO_SUB"))
-    before = F.when(is_tail, F.col("_head.p1")).otherwise(p1)
+    is_tail = c.kind == "TEMPLATE_TAIL"
+    df = df.filter(is_tail | (c.kind == "TEMPLATE_NO_SUB"))
+    before = F.when(is_tail, F.col("_head.p1")).otherwise(c.p1)
     return df.select(
         "script_id",
         F.when(is_tail, F.col("_head.pos")).otherwise(F.col("pos")).alias("pos"),
@@ -371,21 +380,21 @@ def patterns(tokens: DataFrame) -> DataFrame:
     ``position`` tells how the pattern is bound; nested patterns are counted by their outermost one.
     """
     df = enclosing(brackets(neighbours(tokens)))
-    opener = kind.isin("[", "{") & F.col("is_open")
-    statement = p1.isNull() | p1.isin(";", "{", "}", "(")
+    opener = c.kind.isin("[", "{") & F.col("is_open")
+    statement = c.p1.isNull() | c.p1.isin(";", "{", "}", "(")
     position = (
-        F.when(opener & p1.isin(A.DECLARE), "declaration")
+        F.when(opener & c.p1.isin(A.DECLARE), "declaration")
         .when(opener & (F.col("after") == "="), F.when(statement, "assignment").otherwise("default"))
-        .when(opener & _true(p1 == "(") & (p2 == "CATCH"), "catch")
-        .when((kind == "...") & (F.col("encl.kind") == "(") & (
+        .when(opener & _true(c.p1 == "(") & (c.p2 == "CATCH"), "catch")
+        .when((c.kind == "...") & (F.col("encl.kind") == "(") & (
             (F.col("encl.head_standard") == "function") | (F.col("encl.paren_role") == "arrow") | (F.col("encl.after") == "{")
         ), "rest")
-        .when((kind == "...") & F.col("encl.kind").isin("[", "{") & _true(F.col("encl.p1").isin(A.DECLARE) | (F.col("encl.after") == "=")), "rest")
-        .when(kind == "...", "spread")
+        .when((c.kind == "...") & F.col("encl.kind").isin("[", "{") & _true(F.col("encl.p1").isin(A.DECLARE) | (F.col("encl.after") == "=")), "rest")
+        .when(c.kind == "...", "spread")
     )
     df = df.withColumn("position", position).filter(F.col("position").isNotNull())
     return df.select(
-        "script_id", "pos", F.when(kind == "{", "object").when(kind == "[", "array").otherwise("element").alias("shape"),
+        "script_id", "pos", F.when(c.kind == "{", "object").when(c.kind == "[", "array").otherwise("element").alias("shape"),
         "position", F.col("items").alias("item_count"),
     )
 
@@ -398,14 +407,14 @@ def generators_async(tokens: DataFrame) -> DataFrame:
     df = brackets(neighbours(tokens))
     # braces after parentheses that head no control statement are a function's or a method's
     after_head = (F.col("open_p1") == ")") & (F.coalesce("body_of_standard", F.lit("")) != "control")
-    body = kind.isin("{", "}") & _true(after_head | (F.col("open_p1") == "=>"))
-    step = F.when(body & (kind == "{"), 1).when(body, -1).otherwise(0)
-    df = df.withColumn("_nest", F.sum(step).over(BY_POS))
+    body = c.kind.isin("{", "}") & _true(after_head | (F.col("open_p1") == "=>"))
+    step = F.when(body & (c.kind == "{"), 1).when(body, -1).otherwise(0)
+    df = df.withColumn("_nest", F.sum(step).over(by_pos()))
     around = Window.partitionBy("script_id", "_nest").orderBy("pos")
-    opened = F.last(F.when(body & (kind == "{"), F.col("pos")), ignorenulls=True).over(around)
+    opened = F.last(F.when(body & (c.kind == "{"), F.col("pos")), ignorenulls=True).over(around)
     construct = (
-        F.when(_keyword("YIELD"), F.when(n1 == "*", "yield*").otherwise("yield"))
-        .when(_keyword("AWAIT"), F.when(_true(p1 == "FOR"), "for await").otherwise("await"))
+        F.when(_keyword("YIELD"), F.when(c.n1 == "*", "yield*").otherwise("yield"))
+        .when(_keyword("AWAIT"), F.when(_true(c.p1 == "FOR"), "for await").otherwise("await"))
     )
     df = df.withColumns({"body_pos": F.when(F.col("_nest") > 0, opened), "construct": construct})
     return df.filter(F.col("construct").isNotNull()).select("script_id", "pos", "construct", "body_pos")
@@ -419,37 +428,37 @@ def constructs(tokens: DataFrame) -> DataFrame:
     df = _with_control(_with_declarators(detailed(tokens)))
     df = _with_member_chain(df)
     operator = _operator_class()
-    callee_end = p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(p2 == ".")
+    callee_end = c.p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(c.p2 == ".")
     is_call = (
-        (kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
+        (c.kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
         & (F.col("paren_role") != "arrow")
     )
-    name = F.when(kind.isin(NAMES), text)
+    name = F.when(c.kind.isin(NAMES), c.text)
     rows = {
-        "import": (_keyword("IMPORT") & n1.isin(NAMES + ["{", "*", "STRING"]), NO_TEXT),
-        "export": (_keyword("EXPORT"), NO_TEXT),
+        "import": (_keyword("IMPORT") & c.n1.isin(NAMES + ["{", "*", "STRING"]), no_text()),
+        "export": (_keyword("EXPORT"), no_text()),
         "var_decl": (F.col("declares"), name),
-        "function": (_keyword("FUNCTION"), F.when(n1.isin(NAMES), n1t).when((n1 == "*") & n2.isin(NAMES), n2t)),
-        "arrow": (kind == "=>", NO_TEXT),
-        "class": (_keyword("CLASS"), F.when(n1.isin(NAMES), n1t)),
+        "function": (_keyword("FUNCTION"), F.when(c.n1.isin(NAMES), c.n1t).when((c.n1 == "*") & c.n2.isin(NAMES), c.n2t)),
+        "arrow": (c.kind == "=>", no_text()),
+        "class": (_keyword("CLASS"), F.when(c.n1.isin(NAMES), c.n1t)),
         "method": (F.col("method").isNotNull(), F.col("method")["name"]),
-        "call": (is_call, F.when(p1.isin(NAMES + ["THIS", "SUPER"]) | _true(p2 == "."), p1t)),
+        "call": (is_call, F.when(c.p1.isin(NAMES + ["THIS", "SUPER"]) | _true(c.p2 == "."), c.p1t)),
         "member": (
-            ((kind == ".") & _true(n1.isin(A.WORDS + ["IDENTIFIER"])))
-            | ((kind == "[") & _true(p1.isin(OPERAND_END) | (p2 == ".")) & ~_true((p1 == "}") & F.col("newline_before"))),
-            F.when(kind == ".", n1t),
+            ((c.kind == ".") & _true(c.n1.isin(A.WORDS + ["IDENTIFIER"])))
+            | ((c.kind == "[") & _true(c.p1.isin(OPERAND_END) | (c.p2 == ".")) & ~_true((c.p1 == "}") & F.col("newline_before"))),
+            F.when(c.kind == ".", c.n1t),
         ),
-        "literal": (kind.isin("NUMBER", "STRING", "REGEX", "TRUE", "FALSE", "NULL", "UNDEFINED"), text),
-        "template": (kind.isin("TEMPLATE_NO_SUB", "TEMPLATE_HEAD"), NO_TEXT),
-        "identifier": (kind == "IDENTIFIER", text),
-        "yield": (_keyword("YIELD"), NO_TEXT),
-        "spread_or_rest": (kind == "...", NO_TEXT),
+        "literal": (c.kind.isin("NUMBER", "STRING", "REGEX", "TRUE", "FALSE", "NULL", "UNDEFINED"), c.text),
+        "template": (c.kind.isin("TEMPLATE_NO_SUB", "TEMPLATE_HEAD"), no_text()),
+        "identifier": (c.kind == "IDENTIFIER", c.text),
+        "yield": (_keyword("YIELD"), no_text()),
+        "spread_or_rest": (c.kind == "...", no_text()),
     }
     found = [
-        F.when(_true(c), F.struct(F.lit(n).alias("node"), v.cast("string").alias("name"))) for n, (c, v) in rows.items()
+        F.when(_true(test), F.struct(F.lit(n).alias("node"), v.cast("string").alias("name"))) for n, (test, v) in rows.items()
     ]
-    found.append(F.when(operator.isNotNull(), F.struct(operator.alias("node"), F.lower(kind).alias("name"))))
-    found.append(F.when(F.col("construct").isNotNull(), F.struct(F.col("construct").alias("node"), NO_TEXT.alias("name"))))
+    found.append(F.when(operator.isNotNull(), F.struct(operator.alias("node"), F.lower(c.kind).alias("name"))))
+    found.append(F.when(F.col("construct").isNotNull(), F.struct(F.col("construct").alias("node"), no_text().alias("name"))))
     df = df.select("script_id", "pos", F.array_compact(F.array(*found)).alias("_found")).filter(F.size("_found") > 0)
     return df.select("script_id", "pos", F.explode("_found").alias("_n")).select("script_id", "pos", "_n.node", "_n.name")
 
@@ -472,14 +481,14 @@ def node_census(nodes: DataFrame, scripts: DataFrame) -> DataFrame:
 def feature_stage(tokens: DataFrame) -> DataFrame:
     """Which of six language stages a script uses."""
     df = _with_clause(_with_declarators(detailed(tokens)))
-    binding = kind.isin("[", "{") & (F.col("declares") | ((F.col("after") == "=") & F.col("is_open")))
+    binding = c.kind.isin("[", "{") & (F.col("declares") | ((F.col("after") == "=") & F.col("is_open")))
     stages = {
         "destructuring": binding,
-        "arrows": kind == "=>",
-        "templates": kind.startswith("TEMPLATE"),
+        "arrows": c.kind == "=>",
+        "templates": c.kind.startswith("TEMPLATE"),
         "classes": _keyword("CLASS"),
-        "iteration_async": kind.isin("ASYNC", "AWAIT", "YIELD") | ((kind == "IDENTIFIER") & (text == "of") & _true(F.col("encl.p1") == "FOR"))
-        | (kind == "..."),
+        "iteration_async": c.kind.isin("ASYNC", "AWAIT", "YIELD") | ((c.kind == "IDENTIFIER") & (c.text == "of") & _true(F.col("encl.p1") == "FOR"))
+        | (c.kind == "..."),
         "modules": _keyword("IMPORT", "EXPORT"),
     }
     return df.groupBy("script_id").agg(*[F.max(_true(c).cast("int")).alias(n) for n, c in stages.items()])
@@ -488,7 +497,7 @@ def feature_stage(tokens: DataFrame) -> DataFrame:
 def nesting_stats(tokens: DataFrame) -> DataFrame:
     """Depths, length and tokens per statement of each script."""
     df = annotate(tokens)
-    statement_end = (kind == ";").cast("int") + F.col("asi_standard").isNotNull().cast("int")
+    statement_end = (c.kind == ";").cast("int") + F.col("asi_standard").isNotNull().cast("int")
     per_script = df.groupBy("script_id").agg(
         F.max("depth").alias("max_depth"),
         F.avg("depth").alias("avg_depth"),

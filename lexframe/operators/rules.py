@@ -13,7 +13,7 @@ from lexframe.functions import adjacency as A
 from lexframe.operators.structure import (
     CAN_END, NAMES, YIELD_NEWLINE_OK, annotate, brackets, conditionals, enclosing, neighbours,
 )
-from lexframe.operators.tokens import BY_POS, spread_scripts, token_positions
+from lexframe.operators.tokens import by_pos, spread_scripts, token_positions
 
 # --- fixed values -------------------------------------------------------------------------------------
 MESSAGES = {
@@ -53,7 +53,7 @@ def with_methods(df: DataFrame) -> DataFrame:
     def before(n: int, suffix: str) -> Column:
         """The n-th token before the key."""
         plain = F.col(f"p{n + 1}{suffix}")
-        bracketed = F.lag(f"open_p{n}{suffix}").over(BY_POS)
+        bracketed = F.lag(f"open_p{n}{suffix}").over(by_pos())
         return F.when(computed, bracketed).otherwise(plain)
 
     # staged as columns, so that the conditions below stay small
@@ -119,7 +119,7 @@ def _rule_columns() -> dict[str, Column]:
                                               "TEMPLATE_HEAD", "TEMPLATE_TAIL", "TEMPLATE_TAIL", "TEMPLATE_HEAD"]])
     in_for = (F.col("encl.p1") == "FOR") | ((F.col("encl.p1") == "AWAIT") & (F.col("encl.p2") == "FOR"))
     m = F.col("method")
-    rest_end = F.when(n1.isin("[", "{"), F.lead("after").over(BY_POS)).otherwise(n2)
+    rest_end = F.when(n1.isin("[", "{"), F.lead("after").over(by_pos())).otherwise(n2)
     params = (F.col("encl.kind") == "(") & (
         (F.col("encl.head_standard") == "function") | (F.col("encl.paren_role") == "arrow")
         | (F.col("encl.after") == "{")
@@ -154,7 +154,7 @@ def rule_ready(tokens: DataFrame) -> DataFrame:
 def _with_clause(df: DataFrame) -> DataFrame:
     """``clause_pos``: the import or export keyword whose clause (up to its source or end) holds the token."""
     kind = F.col("kind")
-    before = BY_POS.rowsBetween(Window.unboundedPreceding, -1)
+    before = by_pos().rowsBetween(Window.unboundedPreceding, -1)
     opens = kind.isin("IMPORT", "EXPORT") & ~_true(F.col("p1") == ".") & F.col("n1").isin(NAMES + ["{", "*"])
     ends = kind.isin("STRING", ";") | (kind.isin("IMPORT", "EXPORT", "VAR", "LET", "CONST", "FUNCTION", "CLASS", "="))
     mark = F.when(opens, F.col("pos")).when(ends, F.lit(-1))
@@ -175,7 +175,7 @@ def with_pairs(df: DataFrame, mode: str = "standard") -> DataFrame:
     right = A.right_class(F.col("kind"), F.col("text"), F.col("p1"), F.col("n1"))
     df = df.withColumn("right_class", right).withColumn("own_left", A.left_class(F.col("right_class")))
     left = F.when(F.col(f"asi_{mode}").isNotNull(), ";").otherwise(
-        F.coalesce(F.lag("own_left").over(BY_POS), F.lit("BOS"))
+        F.coalesce(F.lag("own_left").over(by_pos()), F.lit("BOS"))
     )
     return df.withColumn("left_class", left)
 

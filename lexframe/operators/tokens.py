@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 from lexframe.functions import patterns as P
 from lexframe.functions.tokenclass import number_value, token_family, token_kind, unquote
 
-#: The one ordering of the tokens of a script; every running window uses it.
-BY_POS = Window.partitionBy("script_id").orderBy("pos")
+
+def by_pos():
+    """The one ordering of the tokens of a script; every running window uses it."""
+    return Window.partitionBy("script_id").orderBy("pos")
 
 
 def _all(text: Column, pattern: str) -> Column:
@@ -138,11 +140,11 @@ def token_positions(tokens: DataFrame) -> DataFrame:
     lead_after = F.instr(F.reverse(lead_text), "\n") - 1
     df = tokens.withColumns(
         {
-            "_end": F.sum(size).over(BY_POS),
-            "_lines": F.sum(newlines).over(BY_POS),
+            "_end": F.sum(size).over(by_pos()),
+            "_lines": F.sum(newlines).over(by_pos()),
         }
     )
-    last_nl = F.max(F.when(newlines > 0, F.col("_end") - after)).over(BY_POS.rowsBetween(Window.unboundedPreceding, -1))
+    last_nl = F.max(F.when(newlines > 0, F.col("_end") - after)).over(by_pos().rowsBetween(Window.unboundedPreceding, -1))
     off = F.col("_end") - F.length(text)
     return df.withColumns(
         {
@@ -181,7 +183,7 @@ def lex_errors(tokens: DataFrame) -> DataFrame:
         "col",
         "text",
         F.when(F.col("text") == "`", "template_unparsed").otherwise("bad_character").alias("rule"),
-        (F.row_number().over(BY_POS) == 1).alias("is_first"),
+        (F.row_number().over(by_pos()) == 1).alias("is_first"),
     )
 
 
@@ -227,7 +229,7 @@ def template_segments(tokens: DataFrame) -> DataFrame:
     """Segments of template literals with their cooked-out text and nesting level."""
     kind, text = F.col("kind"), F.col("text")
     step = F.when(kind == "TEMPLATE_HEAD", 1).when(kind == "TEMPLATE_TAIL", -1).otherwise(0)
-    level = F.sum(step).over(BY_POS) + F.when(kind.isin("TEMPLATE_TAIL", "TEMPLATE_NO_SUB"), 1).otherwise(0)
+    level = F.sum(step).over(by_pos()) + F.when(kind.isin("TEMPLATE_TAIL", "TEMPLATE_NO_SUB"), 1).otherwise(0)
     body = F.expr("substring(text, 2, length(text) - 2)")
     inner = F.when(kind.isin("TEMPLATE_HEAD", "TEMPLATE_MIDDLE"), F.expr("substring(text, 2, length(text) - 3)"))
     return (

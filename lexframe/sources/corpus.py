@@ -132,15 +132,13 @@ def scan_scripts(spark: SparkSession, path: str, *, glob: str = "*") -> DataFram
     files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path)
     )
-    text = F.decode(F.col("content"), F.lit("UTF-8"))
+    text = F.col("content").cast("string")
     return files.select(
         F.col("path").alias("script_id"),
         "path",
         extension(F.col("path")).alias("ext"),
         F.col("length").alias("size"),
-        F.when(F.is_valid_utf8(F.col("content").cast("string")), text)
-        .otherwise(F.make_valid_utf8(F.col("content").cast("string")))
-        .alias("src"),
+        F.make_valid_utf8(text).alias("src"),
     )
 
 

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from lexframe.operators.logs import error_messages
-from lexframe.operators.rules import all_diagnostics, script_verdict, write_error_log
+from lexframe.operators.logs import error_messages, write_error_log
+from lexframe.operators.rules import all_diagnostics, script_verdict
 from lexframe.operators.tokens import tokenize
 from lexframe.operators.traces import read_trace
 from lexframe.sources.workdir import new_dir
