@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions import adjacency as A
+from lexframe.functions.memo import once_per_frame
 from lexframe.operators.structure import (
     CAN_END, NAMES, YIELD_NEWLINE_OK, annotate, brackets, conditionals, enclosing, neighbours,
 )
@@ -42,6 +43,7 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+@once_per_frame
 def with_methods(df: DataFrame) -> DataFrame:
     """Adds ``method``: facts of a method header on its opening parenthesis (null elsewhere).
 
@@ -151,6 +153,7 @@ def rule_ready(tokens: DataFrame) -> DataFrame:
     return _with_clause(df)
 
 
+@once_per_frame
 def _with_clause(df: DataFrame) -> DataFrame:
     """``clause_pos``: the import or export keyword whose clause (up to its source or end) holds the token."""
     kind = F.col("kind")

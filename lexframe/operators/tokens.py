@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions import patterns as P
+from lexframe.functions.memo import once_per_frame
 from lexframe.functions.tokenclass import number_value, token_family, token_kind, unquote
 
 
@@ -127,6 +128,7 @@ def module_mode(kind: Column, mode: Column) -> Column:
     return F.when((mode == "script") & kind.isin("IMPORT", "EXPORT"), "IDENTIFIER").otherwise(kind)
 
 
+@once_per_frame
 def token_positions(tokens: DataFrame) -> DataFrame:
     """Adds ``off`` (0-based), ``line`` and ``col`` (1-based, in characters)."""
     raw, text = F.col("raw"), F.col("text")

@@ -54,6 +54,12 @@ def lexical() -> dict[str, str]:
             "row_number() over (partition by script_id order by pos) = 1 as is_first from placed where kind = 'ERROR'",
         ),
         "token_counts": ("all", counts),
+        "write_tokens": (
+            "code",
+            """select lower(replace(ext, '.', '')) as ext, count(*) as n_tokens, count(distinct script_id) as n_scripts
+               from tok join scripts using (script_id) group by 1""",
+        ),
+        "scan_scripts": (scripts("pages"), "select '.txt' as ext, strlen(src) + 1 as size, src || chr(10) as src from scripts"),
         "identifier_freq": ("all", freq),
         "identifier_topk": ("all", freq + " order by n_uses desc, name limit 20"),
         "template_segments": (
@@ -244,6 +250,11 @@ def checks() -> dict[str, str]:
            count(*) filter (outcome = 'FAIL (unexpected success)') as unexpected
            from (select *, regexp_replace(path, '/[^/]*$', '') as dir from outcome) group by rollup(dir)""",
     )
+    pages_diag = diagnostic_ctes("pages")
+    out["stream_verdict"] = statement([*pages_diag, _VERDICT], "select * from verdict")
+    out["write_error_log"] = statement(
+        diagnostic_ctes("code"), "select path, line, col, message, false as _bad from diag join scripts using (script_id)"
+    )
     out["ext_gate"] = statement([scripts("all")], f"select script_id, path, {_EXT_OK} as ext_ok from scripts")
     out["expected_outcome"] = statement(
         [scripts("all")], f"select script_id, path, regexp_matches(path, '{R.EXPECT_ERROR}') as error_expected from scripts"
@@ -522,18 +533,13 @@ def nodes() -> dict[str, str]:
 
 
 def _edges_ctes() -> list[str]:
-    imp = [c for c in _imports_ctes("gen")]
-    # exports use their own copies of the shared stages
-    exp = _exports_ctes("gen")
-    seen = {c.split(" as ", 1)[0].split("(")[0].strip(): c for c in imp}
-    extra = [c for c in exp if c.split(" as ", 1)[0].split("(")[0].strip() not in seen and not c.startswith(("src_",))]
     resolve = """case when regexp_matches(source, '^\\.\\.?/') then
         case when len(folders_) - ups_ > 0 then array_to_string(folders_[1:len(folders_) - ups_], '/') || '/' else '' end
         || regexp_replace(source, '^(?:\\./|(?:\\.\\./)+)', '') end"""
     where = """string_split(path, '/')[1:len(string_split(path, '/')) - 1] as folders_,
         length(regexp_extract(source, '^((?:\\.\\./)*)', 1)) // 3 as ups_"""
     return [
-        *imp, *extra,
+        *chain("gen", "asi"), enclosing("asi"), clause_cte("enc"), _SOURCE.replace("<SRC>", "cl"), *_DECLARATORS,
         _SOURCE.replace("<SRC>", "dc").replace("src_ as", "esrc_ as", 1),
         f"imp_ as ({_import_select()})",
         f"exp_ as ({_export_select().replace('from src_', 'from esrc_')})",
@@ -586,6 +592,9 @@ def logs() -> dict[str, str]:
         "error_type_counts": statement(
             base, "select message, count(*) as n, min(line_no) as first_line, count(*) * 100.0::double / sum(count(*)) over () as share from msg group by 1"
         ),
+        "stream_error_counts": statement(
+            base, "select message, category, count(*) as n, min(line_no) as first_line from msg group by 1, 2"
+        ),
         "error_category_counts": statement(
             base, "select category, count(*) as n, count(*) * 100.0::double / sum(count(*)) over () as share from msg group by 1"
         ),
@@ -647,9 +656,9 @@ def traces() -> dict[str, str]:
             "select *, cast(rn as int) as rank", "select * exclude (rn), cast(rn as int) as rank"
         )
 
-    def peak(kinds: str) -> str:
+    def peak(kinds: str, select: str = "select trace_id, max(peak) as peak_alive from walk group by 1", extra: tuple = ()) -> str:
         return statement(
-            ["recursive " + base[0], *base[1:],
+            ["recursive " + base[0], *base[1:], *extra,
              f"""se as (select trace_id, kind, stack, parent, row_number() over (partition by trace_id order by line_no) as i from ev
                  where kind in {kinds} and (kind in ('cleanup', 'verdict') or (stack is not null and (kind = 'die' or parent is not null))))""",
              """walk(trace_id, i, live, peak) as (select distinct trace_id, 0::bigint, [0], 1 from ev union all
@@ -657,10 +666,19 @@ def traces() -> dict[str, str]:
                   select w.*, e.kind, case e.kind when 'split' then list_distinct(w.live || [e.stack]) when 'die' then list_filter(w.live, lambda x: x <> e.stack)
                     when 'rename' then case when list_contains(w.live, e.parent) then list_distinct(list_filter(w.live, lambda x: x <> e.parent) || [e.stack]) else w.live end
                     else []::int[] end as nl from walk w join se e on e.trace_id = w.trace_id and e.i = w.i + 1) w, lateral (select w.kind as kind) e)"""],
-            "select trace_id, max(peak) as peak_alive from walk group by 1",
+            select,
         )
 
+    stream = """select trace_id, last_line, max_stack, peak_alive, coalesce(n_splits, 0) as n_splits, top_token, top_rule, 0::bigint as late_lines
+        from (select trace_id, max(line_no) as last_line, coalesce(max(case when kind = 'split' then stack end), 0) as max_stack from ev
+              where kind in ('next_token', 'reduce', 'die', 'rename', 'split') group by 1)
+        join (select trace_id, max(peak) as peak_alive from walk group by 1) using (trace_id)
+        left join (select trace_id, cast(sum(n) as bigint) as n_splits, arg_max(token, {'n': n, 'f': -first_line}) as top_token from bt group by 1) using (trace_id)
+        left join (select trace_id, arg_max(rule || '@' || rule_line, {'n': n, 'f': -first_line}) as top_rule from bru group by 1) using (trace_id)"""
+    # the line-by-line analyzer counts only splits whose numbers it could read
+    read_tokens = tokens_.replace("where kind = 'split')", "where kind = 'split' and stack is not null)")
     return {
+        "stream_trace": peak("('split', 'die', 'rename')", stream, (read_tokens, rules_, by_token, by_rule)),
         "read_trace": statement(base, "select * from ev"),
         "split_tokens": statement([*base, tokens_], "select trace_id, line_no, stack, current as token from st"),
         "split_parent_rule": statement([*base, rules_], "select * from sr"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,10 +23,17 @@ def corpus(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
     return df
 
 
+_TOKENS: WeakKeyDictionary[SparkSession, dict[tuple[str, str], DataFrame]] = WeakKeyDictionary()
+
+
 def _tokens(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
+    """Token frame of a corpus; the lazy frame is shared by the queries of a session, its rows are not kept."""
     from lexframe.operators.tokens import tokenize
 
-    return tokenize(corpus(spark, sf_dir, which))
+    made = _TOKENS.setdefault(spark, {})
+    if (sf_dir, which) not in made:
+        made[sf_dir, which] = tokenize(corpus(spark, sf_dir, which))
+    return made[sf_dir, which]
 
 
 def _on_tokens(fn: Callable[..., DataFrame], which: str, *args) -> Query:
@@ -57,10 +65,9 @@ def token_class(tokens: DataFrame) -> DataFrame:
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict of every script."""
     from lexframe.operators import rules as R
-    from lexframe.operators.tokens import tokenize
 
     scripts = corpus(spark, sf_dir, "all")
-    return R.script_verdict(scripts, R.all_diagnostics(tokenize(scripts)))
+    return R.script_verdict(scripts, R.all_diagnostics(_tokens(spark, sf_dir, "all")))
 
 
 def _test_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,11 +80,10 @@ def _run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rule sets as two runs over the same scripts: clause rules only, then without two lexical rules."""
     from lexframe.operators import rules as R
     from lexframe.operators.logs import run_delta
-    from lexframe.operators.tokens import tokenize
     from lexframe.sources.workdir import checkpoint
 
     scripts = corpus(spark, sf_dir, "code")
-    found = checkpoint(R.all_diagnostics(tokenize(scripts)).select("script_id", "line", "col", "rule"))
+    found = checkpoint(R.all_diagnostics(_tokens(spark, sf_dir, "code")).select("script_id", "line", "col", "rule"))
     before = R.script_verdict(scripts, found.filter("rule <> 'adjacency'"))
     after = R.script_verdict(scripts, found.filter("rule not in ('bad_character', 'newline_arrow')"))
     return run_delta(before, after)
@@ -86,12 +92,11 @@ def _run_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.operators import modules as M
     from lexframe.operators import nodes as N
-    from lexframe.operators.tokens import tokenize
     from lexframe.sources.workdir import checkpoint
 
     scripts = corpus(spark, sf_dir, "gen")
     # each side is read more than once below
-    tokens = tokenize(scripts)
+    tokens = _tokens(spark, sf_dir, "gen")
     imports, exports = checkpoint(N.imports(tokens)), checkpoint(N.exports(tokens))
     return M.module_edges(imports, exports, scripts)
 
@@ -104,10 +109,9 @@ def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _census(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.operators import nodes as N
-    from lexframe.operators.tokens import tokenize
 
     scripts = corpus(spark, sf_dir, "code")
-    return N.node_census(N.constructs(tokenize(scripts)), scripts)
+    return N.node_census(N.constructs(_tokens(spark, sf_dir, "code")), scripts)
 
 
 def _visit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,22 +147,20 @@ def _write_and_read_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _write_and_read_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.operators import logs as L
     from lexframe.operators import rules as R
-    from lexframe.operators.tokens import tokenize
     from lexframe.sources.workdir import new_dir
 
     scripts = corpus(spark, sf_dir, "code")
     out = new_dir(spark, "log")
-    L.write_error_log(R.all_diagnostics(tokenize(scripts)).join(scripts.select("script_id", "path"), "script_id"), out)
+    L.write_error_log(R.all_diagnostics(_tokens(spark, sf_dir, "code")).join(scripts.select("script_id", "path"), "script_id"), out)
     return L.read_error_log(L.scan_log(spark, out)).select("path", "line", "col", "message", "_bad")
 
 
 def _scan_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the page scripts out as a tree of text files and scans that tree."""
+    """Writes each page script to a file of its own and scans the tree of files."""
     from lexframe.sources.workdir import new_dir
 
     out = new_dir(spark, "scripts")
-    pages = C.page_scripts(C.table(spark, sf_dir, "pages")).select("src", F.col("ext").alias("kind"))
-    pages.write.partitionBy("kind").text(out)
+    C.page_scripts(C.table(spark, sf_dir, "pages")).select("src").write.option("maxRecordsPerFile", 1).text(out)
     return C.scan_scripts(spark, out, glob="*.txt").select("ext", "size", "src")
 
 
