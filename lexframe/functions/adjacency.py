@@ -136,13 +136,13 @@ def right_class(df_kind: Column, text: Column, p1: Column, n1: Column) -> Column
 def left_class(right: Column) -> Column:
     """Class of a token as the left one: what it ends. Uses the structure columns of the row."""
     kind, p1 = F.col("kind"), F.col("p1")
-    class_body = F.col("open_p1").isin([c for c in CAN_END if c != "DEFAULT"] + ["CLASS"])
+    class_body = F.col("b.open_p1").isin([c for c in CAN_END if c != "DEFAULT"] + ["CLASS"])
     ends_operand = p1.isin([c for c in CAN_END if c not in ("DEFAULT", "++", "--")])
     return (
         F.when(kind == ")",
-               F.when(F.col("paren_role") == "arrow", "ARROW_HEAD")
-               .when(F.col("head_standard") == "control", "CONTROL_HEAD")
-               .when(F.col("head_standard") == "function", "FUNCTION_HEAD")
+               F.when(F.col("b.paren_role") == "arrow", "ARROW_HEAD")
+               .when(F.col("b.head_standard") == "control", "CONTROL_HEAD")
+               .when(F.col("b.head_standard") == "function", "FUNCTION_HEAD")
                .otherwise("CALL"))
         .when(kind == "}", F.when((F.col("brace_kind") == "object") & ~F.coalesce(class_body, F.lit(False)), "OBJECT").otherwise("BLOCK"))
         .when(kind.isin("++", "--"), F.when(ends_operand & ~F.col("newline_before"), "POSTFIX").otherwise("UPDATE"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lexframe.functions import adjacency as A
 from lexframe.operators.rules import _true, _with_clause, with_methods
 from lexframe.operators.structure import (
-    CAN_END, NAMES, annotate, brackets, conditionals, enclosing, neighbours,
+    CAN_END, NAMES, annotate, around, brackets, conditionals, enclosing, is_close, is_open, neighbours,
 )
 from lexframe.operators.tokens import by_pos, literal_values
 
@@ -46,11 +46,11 @@ def _name(k: Column, t: Column) -> Column:
 
 
 def bracketed(tokens: DataFrame) -> DataFrame:
-    return enclosing(brackets(neighbours(tokens)))
+    return around(enclosing(brackets(neighbours(tokens))))
 
 
 def detailed(tokens: DataFrame) -> DataFrame:
-    return with_methods(enclosing(annotate(tokens)))
+    return with_methods(around(enclosing(annotate(tokens))))
 
 
 def imports(tokens: DataFrame) -> DataFrame:
@@ -93,7 +93,7 @@ def _clause_kind(df: DataFrame) -> DataFrame:
 
 def exports(tokens: DataFrame) -> DataFrame:
     """One row per exported name, ``export *`` or default export."""
-    df = _with_clause_source(_clause_kind(_with_declarators(annotate(tokens))))
+    df = _with_clause_source(_clause_kind(_with_declarators(around(enclosing(annotate(tokens))))))
     spec = c.kind.isin(NAMES + ["DEFAULT"]) & (F.col("encl.kind") == "{") & (F.col("encl.p1") == "EXPORT") & c.p1.isin("{", ",")
     star = _keyword("EXPORT") & (c.n1 == "*")
     default = _keyword("EXPORT") & (c.n1 == "DEFAULT")
@@ -138,10 +138,9 @@ def _with_declarators(df: DataFrame) -> DataFrame:
 
     A comma separates declarators if the latest statement mark on its own nesting level is var, let or const.
     """
-    df = enclosing(df) if "encl" not in df.columns else df
     here = Window.partitionBy("script_id", "level").orderBy("pos")
     word = c.kind.isin(A.DECLARE) & ~_property()
-    ends = c.kind.isin(";", "IN") | ((c.kind == "IDENTIFIER") & (c.text == "of")) | F.col("is_open") | F.col(
+    ends = c.kind.isin(";", "IN") | ((c.kind == "IDENTIFIER") & (c.text == "of")) | is_open() | F.col(
         "asi_standard"
     ).isNotNull()
     mark = F.when(word, F.struct(F.lower(c.kind).alias("k"), (c.p1 == "EXPORT").alias("x"))).when(
@@ -157,21 +156,21 @@ def _with_declarators(df: DataFrame) -> DataFrame:
 
 
 def var_decls(tokens: DataFrame) -> DataFrame:
-    df = _with_declarators(annotate(tokens)).filter("declares")
+    df = _with_declarators(around(enclosing(annotate(tokens)))).filter("declares")
     pattern = c.kind.isin("{", "[")
     return df.select(
         "script_id", "pos", "decl_kind", _name(c.kind, c.text).alias("name"), pattern.alias("is_pattern"),
-        _true(F.when(pattern, F.col("after")).otherwise(c.n1) == "=").alias("has_initializer"),
+        _true(F.when(pattern, F.col("b.after")).otherwise(c.n1) == "=").alias("has_initializer"),
     )
 
 
 def functions(tokens: DataFrame) -> DataFrame:
     """``function`` declarations and expressions with their header."""
-    df = annotate(tokens)
+    df = around(annotate(tokens))
     star = _true(c.n1 == "*")
     named = F.when(star, c.n2.isin(NAMES)).otherwise(c.n1.isin(NAMES))
     step = 1 + star.cast("int") + named.cast("int")
-    items = [F.lead("items", i).over(by_pos()) for i in (1, 2, 3)]
+    items = [F.lead("b.items", i).over(by_pos()) for i in (1, 2, 3)]
     df = df.withColumns({f"_n{i + 1}": items[i] for i in range(3)})
     return df.filter(c.kind.eqNullSafe("FUNCTION") & ~_property()).select(
         "script_id", "pos", F.col("function_form").alias("form"),
@@ -184,9 +183,9 @@ def functions(tokens: DataFrame) -> DataFrame:
 
 def arrows(tokens: DataFrame) -> DataFrame:
     """Arrow functions; the single-identifier form has no parentheses."""
-    df = brackets(neighbours(tokens))
-    back = F.lag("items").over(by_pos())
-    before = F.lag("open_p1").over(by_pos())
+    df = around(brackets(neighbours(tokens)))
+    back = F.lag("b.items").over(by_pos())
+    before = F.lag("b.open_p1").over(by_pos())
     df = df.withColumns({"_items": back, "_before": before}).filter(c.kind == "=>")
     single = c.p1 != ")"
     return df.select(
@@ -204,10 +203,10 @@ def classes(tokens: DataFrame) -> DataFrame:
     named = c.n1.isin(NAMES)
     # members name their body; the body is the first brace on the level of the class keyword
     starts = _keyword("CLASS")
-    outer = F.when(F.col("is_open"), F.col("depth") - 1).otherwise(F.col("depth"))
+    outer = F.when(is_open(), F.col("depth") - 1).otherwise(F.col("depth"))
     df = df.withColumn("_outer", outer)
     here = Window.partitionBy("script_id", "_outer").orderBy("pos")
-    opener = F.col("is_open") & (c.kind == "{") & _true(F.col("open_p1").isin(OPERAND_END + ["CLASS"]))
+    opener = is_open() & (c.kind == "{") & _true(F.col("b.open_p1").isin(OPERAND_END + ["CLASS"]))
     df = df.withColumn("_class", F.last(F.when(starts, F.col("pos")), ignorenulls=True).over(here))
     df = df.withColumn("_opens", F.when(opener & F.col("_class").isNotNull(), F.col("_class")))
     first = F.row_number().over(Window.partitionBy("script_id", "_opens").orderBy("pos")) == 1
@@ -234,7 +233,7 @@ def classes(tokens: DataFrame) -> DataFrame:
 
 
 def methods(tokens: DataFrame) -> DataFrame:
-    df = with_methods(conditionals(brackets(neighbours(tokens)))).filter(F.col("method").isNotNull())
+    df = with_methods(around(conditionals(brackets(neighbours(tokens))))).filter(F.col("method").isNotNull())
     m = F.col("method")
     return df.select(
         "script_id", "pos", m.owner.alias("owner"), m["name"].alias("name"), m.computed.alias("computed"),
@@ -260,16 +259,15 @@ def _control_construct() -> Column:
 
 def control_flow(tokens: DataFrame) -> DataFrame:
     """Control statements; a ``for`` is told by the separator of its header."""
-    return _with_control(annotate(tokens)).filter(F.col("construct").isNotNull()).select("script_id", "pos", "construct")
+    return _with_control(around(annotate(tokens))).filter(F.col("construct").isNotNull()).select("script_id", "pos", "construct")
 
 
 def _with_control(df: DataFrame) -> DataFrame:
-    df = enclosing(df) if "encl" not in df.columns else df
     # the header of "for" ends with its closing parenthesis; the separator inside is seen from behind
     here = Window.partitionBy("script_id", "level").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     separator = (
         F.when(c.kind == ";", "for").when(c.kind == "IN", "for-in").when((c.kind == "IDENTIFIER") & (c.text == "of"), "for-of")
-        .when(F.col("is_close"), "none")
+        .when(is_close(), "none")
     )
     df = df.withColumn("_first", F.last(separator, ignorenulls=True).over(here))
     df = df.withColumns(
@@ -286,7 +284,7 @@ def _with_control(df: DataFrame) -> DataFrame:
 
 def calls(tokens: DataFrame) -> DataFrame:
     """Calls and ``new`` with the last name of the callee, its member depth and the number of arguments."""
-    df = _with_member_chain(brackets(neighbours(tokens)))
+    df = _with_member_chain(around(brackets(neighbours(tokens))))
     return _call_rows(df)
 
 
@@ -303,8 +301,8 @@ def _call_rows(df: DataFrame) -> DataFrame:
     df = df.withColumn("_chain", chain)
     callee_end = c.p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(c.p2 == ".")
     is_call = (
-        (c.kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
-        & (F.col("paren_role") != "arrow")
+        (c.kind == "(") & callee_end & F.col("b.head_standard").isNull() & (F.coalesce("b.after", F.lit("")) != "{")
+        & (F.col("b.paren_role") != "arrow")
     )
     dots = ((F.col("pos") - 1 - F.col("_chain.pos")) / 2).cast("int")
     return df.filter(is_call).select(
@@ -312,7 +310,7 @@ def _call_rows(df: DataFrame) -> DataFrame:
         F.when(c.p1.isin(NAMES + ["THIS", "SUPER"]) | _true(c.p2 == "."), c.p1t).alias("callee"),
         _true(F.col("_chain.p1") == "NEW").alias("is_new"),
         F.coalesce(F.when(F.col("_chain").isNotNull(), dots), F.lit(0)).alias("member_depth"),
-        F.coalesce("items", F.lit(0)).alias("arg_count"),
+        F.coalesce("b.items", F.lit(0)).alias("arg_count"),
     )
 
 
@@ -379,12 +377,12 @@ def patterns(tokens: DataFrame) -> DataFrame:
 
     ``position`` tells how the pattern is bound; nested patterns are counted by their outermost one.
     """
-    df = enclosing(brackets(neighbours(tokens)))
-    opener = c.kind.isin("[", "{") & F.col("is_open")
+    df = around(enclosing(brackets(neighbours(tokens))))
+    opener = c.kind.isin("[", "{") & is_open()
     statement = c.p1.isNull() | c.p1.isin(";", "{", "}", "(")
     position = (
         F.when(opener & c.p1.isin(A.DECLARE), "declaration")
-        .when(opener & (F.col("after") == "="), F.when(statement, "assignment").otherwise("default"))
+        .when(opener & (F.col("b.after") == "="), F.when(statement, "assignment").otherwise("default"))
         .when(opener & _true(c.p1 == "(") & (c.p2 == "CATCH"), "catch")
         .when((c.kind == "...") & (F.col("encl.kind") == "(") & (
             (F.col("encl.head_standard") == "function") | (F.col("encl.paren_role") == "arrow") | (F.col("encl.after") == "{")
@@ -395,7 +393,7 @@ def patterns(tokens: DataFrame) -> DataFrame:
     df = df.withColumn("position", position).filter(F.col("position").isNotNull())
     return df.select(
         "script_id", "pos", F.when(c.kind == "{", "object").when(c.kind == "[", "array").otherwise("element").alias("shape"),
-        "position", F.col("items").alias("item_count"),
+        "position", F.col("b.items").alias("item_count"),
     )
 
 
@@ -404,10 +402,10 @@ def generators_async(tokens: DataFrame) -> DataFrame:
 
     The body is the latest one of its nesting that is still open: an as-of on the same partitions.
     """
-    df = brackets(neighbours(tokens))
+    df = around(brackets(neighbours(tokens)))
     # braces after parentheses that head no control statement are a function's or a method's
-    after_head = (F.col("open_p1") == ")") & (F.coalesce("body_of_standard", F.lit("")) != "control")
-    body = c.kind.isin("{", "}") & _true(after_head | (F.col("open_p1") == "=>"))
+    after_head = (F.col("b.open_p1") == ")") & (F.coalesce("b.body_of_standard", F.lit("")) != "control")
+    body = c.kind.isin("{", "}") & _true(after_head | (F.col("b.open_p1") == "=>"))
     step = F.when(body & (c.kind == "{"), 1).when(body, -1).otherwise(0)
     df = df.withColumn("_nest", F.sum(step).over(by_pos()))
     around = Window.partitionBy("script_id", "_nest").orderBy("pos")
@@ -430,8 +428,8 @@ def constructs(tokens: DataFrame) -> DataFrame:
     operator = _operator_class()
     callee_end = c.p1.isin(NAMES + ["THIS", "SUPER", ")", "]", "}", "TEMPLATE_NO_SUB", "TEMPLATE_TAIL"]) | _true(c.p2 == ".")
     is_call = (
-        (c.kind == "(") & callee_end & F.col("head_standard").isNull() & (F.coalesce("after", F.lit("")) != "{")
-        & (F.col("paren_role") != "arrow")
+        (c.kind == "(") & callee_end & F.col("b.head_standard").isNull() & (F.coalesce("b.after", F.lit("")) != "{")
+        & (F.col("b.paren_role") != "arrow")
     )
     name = F.when(c.kind.isin(NAMES), c.text)
     rows = {
@@ -481,7 +479,7 @@ def node_census(nodes: DataFrame, scripts: DataFrame) -> DataFrame:
 def feature_stage(tokens: DataFrame) -> DataFrame:
     """Which of six language stages a script uses."""
     df = _with_clause(_with_declarators(detailed(tokens)))
-    binding = c.kind.isin("[", "{") & (F.col("declares") | ((F.col("after") == "=") & F.col("is_open")))
+    binding = c.kind.isin("[", "{") & (F.col("declares") | ((F.col("b.after") == "=") & is_open()))
     stages = {
         "destructuring": binding,
         "arrows": c.kind == "=>",

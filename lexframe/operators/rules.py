@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexframe.functions import adjacency as A
 from lexframe.functions.memo import once_per_frame
 from lexframe.operators.structure import (
-    CAN_END, NAMES, YIELD_NEWLINE_OK, annotate, brackets, conditionals, enclosing, neighbours,
+    CAN_END, NAMES, YIELD_NEWLINE_OK, annotate, around, brackets, conditionals, enclosing, is_close, is_open, neighbours,
 )
 from lexframe.operators.tokens import by_pos, spread_scripts, token_positions
 
@@ -47,16 +47,17 @@ def _true(c: Column) -> Column:
 def with_methods(df: DataFrame) -> DataFrame:
     """Adds ``method``: facts of a method header on its opening parenthesis (null elsewhere).
 
+    Takes the columns of ``around`` and ``conditionals``.
     A method is ``key ( ... ) {`` directly inside braces, its parentheses heading nothing else.
     """
     key_words = NAMES + ["STRING", "NUMBER", "]"] + [w for w in A.WORDS if w not in ("FUNCTION",)]
     computed = F.col("p1") == "]"
 
+    df = df.withColumn("_key", F.lag("b.key_before").over(by_pos()))
+
     def before(n: int, suffix: str) -> Column:
         """The n-th token before the key."""
-        plain = F.col(f"p{n + 1}{suffix}")
-        bracketed = F.lag(f"open_p{n}{suffix}").over(by_pos())
-        return F.when(computed, bracketed).otherwise(plain)
+        return F.when(computed, F.col(f"_key.p{n}{suffix}")).otherwise(F.col(f"p{n + 1}{suffix}"))
 
     # staged as columns, so that the conditions below stay small
     df = df.withColumns({f"_b{n}{x}": before(n, x) for n in (1, 2, 3, 4) for x in ("", "t")})
@@ -90,7 +91,7 @@ def with_methods(df: DataFrame) -> DataFrame:
     key_text = F.when(computed, F.lit(None).cast("string")).otherwise(F.col("p1t"))
     constructor = is_class & ~is_static & _true(key_text == "constructor")
     is_method = (
-        (F.col("kind") == "(") & (F.col("after") == "{") & F.col("head").isNull() & F.col("head_standard").isNull()
+        (F.col("kind") == "(") & (F.col("b.after") == "{") & F.col("b.head").isNull() & F.col("b.head_standard").isNull()
         & F.col("p1").isin(key_words) & (F.col("level") == F.col("brace.level") + 1)
         & ~_true(c("_b1").isin(".", "NEW"))
     )
@@ -102,7 +103,7 @@ def with_methods(df: DataFrame) -> DataFrame:
         star.alias("generator"),
         is_async.alias("is_async"),
         F.when(accessor.isNotNull(), accessor).when(constructor, "constructor").otherwise("method").alias("method_kind"),
-        F.col("items").alias("param_count"),
+        F.col("b.items").alias("param_count"),
         prefix_ok.alias("prefix_ok"),
         F.col("brace.pos").alias("owner_pos"),
     )
@@ -116,12 +117,12 @@ def _rule_columns() -> dict[str, Column]:
     n1, n2, n3 = F.col("n1"), F.col("n2"), F.col("n3")
     name = kind.isin(NAMES)
     in_clause = F.col("clause_pos").isNotNull()
-    bracket = F.col("is_open") | F.col("is_close")
+    bracket = is_open() | is_close()
     mates = F.create_map(*[F.lit(x) for x in ["(", ")", "[", "]", "{", "}", ")", "(", "]", "[", "}", "{",
                                               "TEMPLATE_HEAD", "TEMPLATE_TAIL", "TEMPLATE_TAIL", "TEMPLATE_HEAD"]])
     in_for = (F.col("encl.p1") == "FOR") | ((F.col("encl.p1") == "AWAIT") & (F.col("encl.p2") == "FOR"))
     m = F.col("method")
-    rest_end = F.when(n1.isin("[", "{"), F.lead("after").over(by_pos())).otherwise(n2)
+    rest_end = F.when(n1.isin("[", "{"), F.lead("b.after").over(by_pos())).otherwise(n2)
     params = (F.col("encl.kind") == "(") & (
         (F.col("encl.head_standard") == "function") | (F.col("encl.paren_role") == "arrow")
         | (F.col("encl.after") == "{")
@@ -131,8 +132,8 @@ def _rule_columns() -> dict[str, Column]:
     return {
         "template_unparsed": (kind == "ERROR") & (text == "`"),
         "bad_character": (kind == "ERROR") & (text != "`"),
-        "bracket_unmatched": bracket & F.col("partner_pos").isNull(),
-        "bracket_crossing": F.col("is_close") & (F.col("partner_kind") != mates[kind]),
+        "bracket_unmatched": bracket & F.col("b.partner_pos").isNull(),
+        "bracket_crossing": is_close() & (F.col("b.partner_kind") != mates[kind]),
         "newline_arrow": (kind == "=>") & F.col("newline_before"),
         "newline_yield": (p1 == "YIELD") & F.col("newline_before") & ~kind.isin(YIELD_NEWLINE_OK + ["EOF"]),
         "getter_arity": (m.method_kind == "get") & (m.param_count != 0),
@@ -149,8 +150,7 @@ def _rule_columns() -> dict[str, Column]:
 
 def rule_ready(tokens: DataFrame) -> DataFrame:
     """Tokens with what the clause rules look at; no brace kinds or insertions."""
-    df = with_methods(conditionals(enclosing(brackets(neighbours(tokens)))))
-    return _with_clause(df)
+    return with_methods(_with_clause(around(enclosing(conditionals(brackets(neighbours(tokens)))))))
 
 
 @once_per_frame
@@ -180,7 +180,7 @@ def with_pairs(df: DataFrame, mode: str = "standard") -> DataFrame:
     left = F.when(F.col(f"asi_{mode}").isNotNull(), ";").otherwise(
         F.coalesce(F.lag("own_left").over(by_pos()), F.lit("BOS"))
     )
-    return df.withColumn("left_class", left)
+    return df.withColumn("left_class", left).drop("own_left")
 
 
 def legal_pair_table(df: DataFrame) -> DataFrame:
@@ -199,8 +199,9 @@ def adjacency_errors(tokens: DataFrame, mode: str = "standard") -> DataFrame:
 
 def all_diagnostics(tokens: DataFrame, mode: str = "standard") -> DataFrame:
     """Diagnostics of every kind in one pass: ``script_id, pos, line, col, rule, message``."""
-    df = annotate(token_positions(tokens))
-    df = with_pairs(_with_clause(with_methods(enclosing(df))), mode)
+    # the wide neighbour columns come last, after every sort
+    df = with_pairs(enclosing(annotate(token_positions(tokens))), mode)
+    df = with_methods(around(_with_clause(df)))
     columns = _rule_columns()
     df = df.withColumn("_found", F.array_compact(F.array(*[F.when(c, r) for r, c in columns.items()])))
     legal = legal_pair_table(df).withColumn("_legal", F.lit(True))
