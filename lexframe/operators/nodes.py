@@ -408,8 +408,8 @@ def generators_async(tokens: DataFrame) -> DataFrame:
     body = c.kind.isin("{", "}") & _true(after_head | (F.col("b.open_p1") == "=>"))
     step = F.when(body & (c.kind == "{"), 1).when(body, -1).otherwise(0)
     df = df.withColumn("_nest", F.sum(step).over(by_pos()))
-    around = Window.partitionBy("script_id", "_nest").orderBy("pos")
-    opened = F.last(F.when(body & (c.kind == "{"), F.col("pos")), ignorenulls=True).over(around)
+    open_bodies = Window.partitionBy("script_id", "_nest").orderBy("pos")
+    opened = F.last(F.when(body & (c.kind == "{"), F.col("pos")), ignorenulls=True).over(open_bodies)
     construct = (
         F.when(_keyword("YIELD"), F.when(c.n1 == "*", "yield*").otherwise("yield"))
         .when(_keyword("AWAIT"), F.when(_true(c.p1 == "FOR"), "for await").otherwise("await"))
