@@ -549,7 +549,7 @@ def _edges_ctes() -> list[str]:
         f"""star_ as (select distinct s.script_id as target_id, t.target_id as star_id from
             (select script_id, {resolve} as star_path from (select e.*, path, {where} from exp_ e join scripts using (script_id) where is_all and alias is null)) s
             join target_ t on t.target_path = s.star_path)""",
-        """edges as (select w.script_id, w.pos, w.path, w.local, w.imported, w.source, w.target_path,
+        """edges as materialized (select w.script_id, w.pos, w.path, w.local, w.imported, w.source, w.target_path,
             coalesce(case when n.export_pos is null then b.star_id end, t.target_id) as target_script,
             case when w.target_path is null then 'external' when t.target_id is null then 'missing' when w.imported is null then 'module'
                  when n.export_pos is not null then 'resolved' when b.star_id is not null then 'resolved_star' else 'unresolved' end as status
@@ -659,7 +659,7 @@ def traces() -> dict[str, str]:
     def peak(kinds: str, select: str = "select trace_id, max(peak) as peak_alive from walk group by 1", extra: tuple = ()) -> str:
         return statement(
             ["recursive " + base[0], *base[1:], *extra,
-             f"""se as (select trace_id, kind, stack, parent, row_number() over (partition by trace_id order by line_no) as i from ev
+             f"""se as materialized (select trace_id, kind, stack, parent, row_number() over (partition by trace_id order by line_no) as i from ev
                  where kind in {kinds} and (kind in ('cleanup', 'verdict') or (stack is not null and (kind = 'die' or parent is not null))))""",
              """walk(trace_id, i, live, peak) as (select distinct trace_id, 0::bigint, [0], 1 from ev union all
                 select w.trace_id, w.i + 1, nl, case when e.kind = 'split' then greatest(w.peak, len(nl)) else w.peak end from (
