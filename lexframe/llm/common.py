@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lexframe.sources.shipping import ship
 from lexframe.sources.workdir import checkpoint
 
-__all__ = ["checkpoint", "components", "map_batches", "read", "ship"]
+__all__ = ["checkpoint", "components", "map_batches", "read", "ship", "small_batches"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,18 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of the batches with about ``chars`` of text each, and their texts; a longer text is a slice of its own."""
+    for batch in batches:
+        texts = batch.column(column).to_pylist()
+        start = size = 0
+        for i, text in enumerate(texts):
+            size += len(text or "") + 64
+            if size >= chars or i + 1 == len(texts):
+                yield batch.slice(start, i + 1 - start), texts[start: i + 1]
+                start, size = i + 1, 0
+
+
 def _fields(schema: str) -> list[str]:
     out, depth, start = [], 0, 0
     for i, c in enumerate(schema):

@@ -26,6 +26,14 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(chat.canonical_turns(rows.unionByName(extra))))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import path
+
+    from lexframe.llm.packing import pack
+
+    return pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
+
+
 _OP1_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -47,6 +55,7 @@ from sized group by conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op9_packing": op9_packing,
     }
 
 
