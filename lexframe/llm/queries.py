@@ -34,6 +34,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"), path("byte_bpe_50k.json"))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.simhash import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 _OP1_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -56,6 +62,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op9_packing": op9_packing,
+        "op10_simhash": op10_simhash,
     }
 
 
