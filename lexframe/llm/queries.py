@@ -40,6 +40,32 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.linededup import dedup_lines
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return dedup_lines(docs).select("doc_id", "text", "n_lines_removed")
+
+
+_OP4_SQL = r"""
+with lines as (
+  select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
+  from documents, lateral (select unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i) x
+), numbered as (
+  select *, cast(sum(case when visible then 1 else 0 end) over (partition by doc_id order by i) as bigint) as n from lines
+), windows as (
+  select doc_id, n, line as a, lead(line) over w as b, lead(line, 2) over w as c from numbered where visible window w as (partition by doc_id order by n)
+), later as (
+  select doc_id, n, row_number() over (partition by a, b, c order by doc_id, n) as k from windows where c is not null
+), covered as (
+  select distinct doc_id, n + d as n from later, range(3) r(d) where k > 1
+)
+select doc_id, coalesce(string_agg(line, chr(10) order by i) filter (not gone), any_value(case when text is null then null else '' end)) as text,
+       count(*) filter (gone and visible) as n_lines_removed
+from (select l.*, c.n is not null as gone from numbered l left join covered c using (doc_id, n))
+group by doc_id
+"""
+
 _OP1_SQL = r"""
 with turns as (
   select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -61,6 +87,7 @@ from sized group by conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op4_line_dedup": op4_line_dedup,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
@@ -69,4 +96,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": _OP1_SQL,
+        "op4_line_dedup": _OP4_SQL,
     }
