@@ -47,6 +47,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(docs).select("doc_id", "text", "n_lines_removed")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.langid import fit, predict
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return predict(docs, fit(docs))
+
+
 _OP4_SQL = r"""
 with lines as (
   select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
@@ -88,6 +95,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op4_line_dedup": op4_line_dedup,
+        "op5_language_id": op5_language_id,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
