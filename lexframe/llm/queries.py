@@ -40,6 +40,14 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.pii import find, fit
+
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find(docs, fit(docs))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.llm.linededup import dedup_lines
 
@@ -94,6 +102,7 @@ from sized group by conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
         "op5_language_id": op5_language_id,
         "op9_packing": op9_packing,
