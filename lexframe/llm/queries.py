@@ -62,6 +62,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.decontam import find
+
+    found = find(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("_items") > 0).alias("contaminated"), F.col("_items").alias("item_ids"),
+                        F.col("_share").alias("share"), (F.size("_items") == 0).alias("kept"))
+
+
 _OP4_SQL = r"""
 with lines as (
   select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
@@ -105,6 +113,7 @@ def queries() -> dict[str, Query]:
         "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
         "op5_language_id": op5_language_id,
+        "op7_decontamination": op7_decontamination,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
