@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from lexframe.sources.shipping import ship
 from lexframe.sources.workdir import checkpoint
 
-__all__ = ["checkpoint", "components", "map_batches", "read", "ship", "small_batches"]
+__all__ = ["checkpoint", "components", "forest", "map_batches", "ramp", "read", "runs", "ship", "small_batches"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,22 +54,56 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    """Links of a partition -> stars of its local components: never more rows than links came in."""
+def ramp(counts: np.ndarray) -> np.ndarray:
+    """0 .. n - 1 for each count n, one after the other."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.RecordBatch]:
+    """Sorted batches cut anew so that rows equal in the first ``keys`` columns stay together."""
+    held: pa.RecordBatch | None = None
+    for batch in batches:
+        rows = pa.Table.from_batches([held, batch] if held is not None and held.num_rows else [batch]).combine_chunks().to_batches()
+        if not rows:
+            continue
+        new = np.any([np.diff(rows[0].column(i).to_numpy(zero_copy_only=False)) != 0 for i in range(keys)], axis=0)
+        cut = int(np.flatnonzero(new)[-1]) + 1 if new.any() else 0
+        if cut:
+            yield rows[0].slice(0, cut)
+        held = rows[0].slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links those that join two trees: as many as there are nodes at most."""
     parent: dict[int, int] = {}
+    keep = []
+    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = _top(parent, x), _top(parent, y)
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            keep.append(i)
+    return a[keep], b[keep]
 
-    def top(x: int) -> int:
-        while parent.setdefault(x, x) != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
 
+def _top(parent: dict[int, int], x: int) -> int:
+    while parent.setdefault(x, x) != x:
+        parent[x] = parent[parent[x]]
+        x = parent[x]
+    return x
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Links of a partition -> stars of its local components: never more rows than links came in."""
+    parent: dict[int, int] = {}
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = top(a), top(b)
+            a, b = _top(parent, a), _top(parent, b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    pairs = [(x, top(x)) for x in parent if top(x) != x]
+    pairs = [(x, _top(parent, x)) for x in list(parent) if _top(parent, x) != x]
     yield {"u": pa.array([p[0] for p in pairs], pa.int64()), "v": pa.array([p[1] for p in pairs], pa.int64())}
 
 
@@ -80,7 +115,7 @@ def components(links: DataFrame) -> DataFrame:
     which is aggregated before the shuffle, and its rows meet that one minimum in a join that adaptive execution can split.
     """
     links = links.select(F.col("u").cast("long"), F.col("v").cast("long")).filter("u <> v")
-    stars = checkpoint(map_batches(links, _forest, "u long, v long").distinct())
+    stars = checkpoint(map_batches(links, _stars, "u long, v long").distinct())
 
     def state(df: DataFrame):
         return df.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()

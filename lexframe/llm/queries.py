@@ -62,6 +62,12 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, fit(docs))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.vectordup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.llm.decontam import find
 
@@ -113,6 +119,7 @@ def queries() -> dict[str, Query]:
         "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
         "op5_language_id": op5_language_id,
+        "op6_embedding_dedup": op6_embedding_dedup,
         "op7_decontamination": op7_decontamination,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import checkpoint, components, map_batches, small_batches
+from lexframe.llm.common import checkpoint, components, forest, map_batches, ramp, runs, small_batches
 
 SHINGLE = 4
 RADIUS = 4
@@ -120,20 +120,15 @@ class GrayIndex:
                 continue
             wide = count[b]
             left = np.repeat(np.arange(len(a)), count[a])
-            child = np.repeat(first[a], count[a]) + _ramp(count[a])
+            child = np.repeat(first[a], count[a]) + ramp(count[a])
             times = wide[left]
             x = np.repeat(child, times)
-            y = np.repeat(first[b][left], times) + _ramp(times)
+            y = np.repeat(first[b][left], times) + ramp(times)
             keep = x <= y
             x, y = x[keep], y[keep]
             todo += [(level - 1, x[i: i + SLICE], y[i: i + SLICE]) for i in range(0, len(x), SLICE)]
 
 
-def _ramp(counts: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(counts)
-    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
-
-
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Distinct fingerprints ``fp`` -> links ``u, v`` whose components are those of all pairs within ``radius``."""
     layouts = _layouts(radius + 2)
@@ -152,41 +147,19 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = rows.repartition("bucket").sortWithinPartitions("bucket", "rank").select("bucket", "code", "fp")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            held.append(np.column_stack([batch.column(i).to_numpy() for i in range(3)]))
-            rows = np.concatenate(held)
-            cut = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last bucket may go on
-            if cut:
-                yield from found(rows[:cut])
-            held = [rows[cut:]]
-        if held:
-            yield from found(np.concatenate(held))
+        for batch in runs(batches, 1):
+            yield from found(np.column_stack([batch.column(i).to_numpy() for i in range(3)]))
 
     def found(rows: np.ndarray) -> Iterator[dict]:
         code, fp = np.ascontiguousarray(rows[:, 1]).view(np.uint64), rows[:, 2]
         for a, b in GrayIndex(code, rows[:, 0]).close_pairs(radius):
             # a tree per slice: as many links at most as members
-            a, b = _forest_of(a, b)
+            a, b = forest(a, b)
             yield {"u": pa.array(fp[a]), "v": pa.array(fp[b])}
 
     return map_batches(placed, search, "u long, v long")
 
 
-def _forest_of(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    parent: dict[int, int] = {}
-    keep = []
-    for i, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
-        while (p := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(p, p)
-        while (p := parent.setdefault(y, y)) != y:
-            parent[y] = y = parent.setdefault(p, p)
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            keep.append(i)
-    return a[keep], b[keep]
-
-
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id, fingerprint`` (16 hex digits), ``component_id`` (smallest doc_id reachable), ``kept`` (is that document)."""
     rows = checkpoint(fingerprints(docs, size))
