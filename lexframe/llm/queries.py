@@ -40,6 +40,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.quality import classify
+
+    return classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.llm.pii import find, fit
 
@@ -116,6 +122,7 @@ from sized group by conv_id
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
+        "op2_quality": op2_quality,
         "op3_pii": op3_pii,
         "op4_line_dedup": op4_line_dedup,
         "op5_language_id": op5_language_id,
