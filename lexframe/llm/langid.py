@@ -196,3 +196,16 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
 
     out = map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def annotate(docs: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
+    """The rows of ``docs`` with the predicted language and its score in columns of the given names."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("struct<lang: string, score: double>")
+    def told(texts):
+        import pandas as pd
+
+        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
+
+    return docs.withColumn(lang, told("text")).select(*docs.columns, F.col(f"{lang}.lang").alias(lang), F.col(f"{lang}.score").alias(score))
