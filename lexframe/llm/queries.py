@@ -26,6 +26,12 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chat(chat.canonical_turns(rows.unionByName(extra))))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.suffixdup import dedup
+
+    return dedup(read(spark, sf_dir, "documents")).drop("kept")
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import path
 
@@ -128,6 +134,7 @@ def queries() -> dict[str, Query]:
         "op5_language_id": op5_language_id,
         "op6_embedding_dedup": op6_embedding_dedup,
         "op7_decontamination": op7_decontamination,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
     }
