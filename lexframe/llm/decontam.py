@@ -3,7 +3,8 @@
 Benchmark items are cut into passages, weighted by TF-IDF (frequencies over all documents) and factored by a distributed randomised SVD: a
 Gaussian sketch, power iterations by sums of partial products, then an eigen-decomposition of one small matrix. Every document is cut
 into overlapping windows of words; windows near an item in the latent space (cosine) are compared with it by longest common
-subsequence, and with the item's answer (its ``answer`` column, else its last sentence).
+subsequence of the words that tell (those not in a tenth of all documents), and with the item's answer (its ``answer`` column, else its
+last sentence).
 
 Bounds: vocabulary and factors of at most ``MAX_WORDS`` benchmark words are sent to the tasks at a time; a larger benchmark is worked
 through in parts by item, with the same result. Documents are never gathered.
@@ -33,8 +34,10 @@ POWER = 2
 MAX_WORDS = 1 << 16  # distinct benchmark words a part may have; RANK floats each
 MASS = 0.04  # share of a window's squared weight that benchmark words must hold
 COSINE = 0.35
-SEQUENCE = 0.6  # of an item's words, in order, within the region
-PARAPHRASE = 0.45  # the same if the answer is there too
+SEQUENCE = 0.5  # of the telling words of an item, in order, within the region
+PARAPHRASE = 0.35  # the same if the answer is there too
+COMMON = 0.1  # words in more than this share of the documents do not count in common subsequences ...
+FEW = 5  # ... unless an item has fewer others
 BLOCK = 1 << 15
 
 _WORD = re.compile(r"\w+")
@@ -87,7 +90,8 @@ class Latent:
 
     def __init__(self, words: dict[str, int], idf: np.ndarray, rare: float, factor: np.ndarray):
         self.words, self.idf, self.rare, self.factor = words, idf, rare, factor
-        self.items: list[tuple[int, list[str], list[str]]] = []
+        self.items: list[tuple[int, int, list[int], list[int], bool]] = []
+        self.telling = np.append(idf[:-1] >= -np.log(COMMON), False)
         self.of = np.zeros(0, np.int64)
         self.points = np.zeros((0, factor.shape[1]))
 
@@ -110,13 +114,16 @@ class Latent:
                 if norm > 1e-12:
                     points.append(z / norm)
                     of.append(len(self.items))
-            self.items.append((item_id, words, answer_of(text, answer)))
+            whole, told = self.ids(words), self.ids(answer_of(text, answer))
+            telling = int(self.telling[whole].sum()) >= FEW
+            pick = (lambda ids: ids[self.telling[ids]].tolist()) if telling else (lambda ids: ids[ids >= 0].tolist())
+            self.items.append((item_id, len(words), pick(whole), pick(told), telling))
         if points:
             self.points, self.of = np.array(points), np.array(of)
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
         """(first word of a window, item index) of windows near an item."""
-        weight = np.where(ids >= 0, self.idf[ids], self.rare) ** 2
+        weight = np.where(ids >= 0, self.idf[ids], self.rare) ** 2  # position -1 stands for words of no item
         known = np.where(ids >= 0, weight, 0.0)
         all_sum, known_sum = np.concatenate(([0.0], np.cumsum(weight))), np.concatenate(([0.0], np.cumsum(known)))
         starts = np.arange(0, max(1, len(ids) - STRIDE), STRIDE)
@@ -137,24 +144,25 @@ class Latent:
         if not len(self.points) or not text:
             return out
         words = words_of(text)
-        longest = max(len(i[1]) for i in self.items)
+        longest = max(i[1] for i in self.items)
         step = max(BLOCK, 4 * longest)
         for at in range(0, max(1, len(words)), step):  # neighbouring blocks share more than a region
             part = words[at: at + step + 2 * longest + 2 * WINDOW]
             ids = self.ids(part)
             regions: dict[int, list[tuple[int, int]]] = {}
             for start, item in sorted(set(self.candidates(ids))):
-                reach = len(self.items[item][1])
+                reach = self.items[item][1]
                 low, high = max(0, start - reach), min(len(part), start + WINDOW + reach)
                 known = regions.setdefault(item, [])
                 if known and known[-1][1] >= high - STRIDE and known[-1][0] <= low:
                     continue
                 known.append((low, high))
             for item, spans in regions.items():
-                item_id, item_words, answer = self.items[item]
+                item_id, _, wanted, answer, telling = self.items[item]
                 for low, high in spans:
-                    region = part[low:high]
-                    share = lcs(item_words, region) / len(item_words)
+                    region = ids[low:high]
+                    region = region[self.telling[region] if telling else region >= 0].tolist()
+                    share = lcs(wanted, region) / len(wanted)
                     if share >= SEQUENCE or share >= PARAPHRASE and answer and lcs(answer, region) >= 0.8 * len(answer):
                         out[item_id] = max(out.get(item_id, 0.0), round(share, 6))
         return out
