@@ -24,6 +24,7 @@ from lexframe.llm.common import map_batches, small_batches
 
 WINDOW = 3
 _ROW = "_line_dedup_row"
+_STARTS = "_line_dedup_starts"
 
 
 def window_hashes(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -51,7 +52,7 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """``row, starts``: for each row (numbered as by ``_numbered``) the lines where a later occurrence of a window starts."""
+    """For each row (numbered as by ``_numbered``) the lines where a later occurrence of a window starts."""
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, texts in small_batches(batches):
@@ -66,13 +67,13 @@ def repeated_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row", "line")
     first = rows.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("end")).filter("first <> end").select("h", "g", "first")
     later = rows.join(first, ["h", "g"]).filter((F.col("first.row") != F.col("row")) | (F.col("first.line") != F.col("line")))
-    return later.groupBy("row").agg(F.sort_array(F.collect_set("line")).alias("starts"))
+    return later.groupBy(F.col("row").alias(_ROW)).agg(F.sort_array(F.collect_set("line")).alias(_STARTS))
 
 
 def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     """Every row of ``docs`` with the remaining text in ``text``, and ``n_lines_removed``."""
     numbered = _numbered(docs)
-    joined = numbered.join(repeated_windows(numbered, size), F.col(_ROW) == F.col("row"), "left")
+    joined = numbered.join(repeated_windows(numbered, size), _ROW, "left")
 
     @F.pandas_udf("struct<text: string, n: long>")
     def rest(texts, starts):
@@ -81,6 +82,6 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
         done = [(t, 0) if s is None else remove_lines(t, s, size) for t, s in zip(texts, starts, strict=True)]
         return pd.DataFrame(done, columns=["text", "n"])
 
-    out = joined.withColumn("_rest", rest("text", "starts"))
-    return out.select(*[F.col("_rest.text").alias(c) if c == "text" else F.col(c) for c in docs.columns],
-                      F.col("_rest.n").alias("n_lines_removed"))
+    out = joined.withColumn(_STARTS, rest("text", _STARTS))
+    return out.select(*[F.col(f"{_STARTS}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns],
+                      F.col(f"{_STARTS}.n").alias("n_lines_removed"))
