@@ -144,8 +144,10 @@ def features(text: str, span: Span) -> list[float]:
 def _wider(kind: str, body: str) -> list[str]:
     digits = "".join(_DIGIT.findall(body))
     if kind == "email":
-        user, _, host = body.partition("@")
-        return [f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user}(at){host}", f"{user} at {host.replace('.', ' dot ')}"]
+        # also without digits, which the forms do not need
+        pairs = [b.partition("@")[::2] for b in (body, re.sub("[0-9]+", "", body))]
+        return [form for user, host in pairs for form in (
+            f"{user} [at] {host.replace('.', ' [dot] ')}", f"{user}(at){host}", f"{user} at {host.replace('.', ' dot ')}")]
     if kind == "ip":
         return [body.replace(".", "[.]"), body.replace(".", " . ")]
     if kind == "card":
