@@ -81,56 +81,18 @@ PLAIN_WORD = "[A-Zghjkmopquxz$_](?:[A-Za-z0-9$_]++|\\\\u[0-9a-fA-F]{4})*+"
 #: Template characters up to a substitution or the closing backtick.
 TEMPLATE_CHARS = r"(?:[^`\\$\x03]++|\\[^\x03]|\$++(?:[^{`\\$\x03]|\\[^\x03]))*+"
 
-TEMPLATE_DEPTH = 3
-BRACE_DEPTH = 2
-
-
-def _body(depth: int, braces: int) -> str:
-    """Pieces of a substitution body: plain runs, strings, comments, slashes, braces, inner templates."""
-    inner = f"|{template(depth - 1)}" if depth > 1 else ""
-    nested = rf"|\{{{_body(depth, braces - 1)}\}}" if braces > 0 else ""
-    return rf"(?:[^`\"'{{}}/\\\x03]++|\\[^\x03]|{_DQ}\"|{_SQ}'|{COMMENT}|/{nested}{inner})*+"
-
-
-def template(depth: int = TEMPLATE_DEPTH) -> str:
-    """A whole template literal whose substitutions nest to ``depth``."""
-    return (
-        r"`(?:[^`\\$\x03]++|\\[^\x03]|\$++(?:[^{`\\$\x03]|\\[^\x03]|\{"
-        + _body(depth, BRACE_DEPTH)
-        + r"\}))*+\$*+`"
-    )
-
-
-def lexeme(depth: int = TEMPLATE_DEPTH) -> str:
-    """Leading trivia plus one token.
-
-    A regex literal is recognised by what precedes it: it is matched together with the keyword or
-    operator before it (``split_head`` takes the two apart) or at the start of the text.
-    """
-    return (
-        rf"\A{TRIVIA}{REGEX}"
-        rf"|{TRIVIA}(?:{PLAIN_WORD}|{REGEX_HEAD}{TRIVIA}{REGEX}|{template(depth)}|{NUMBER}|{STRING}|{IDENTIFIER}|{_OPS}|[\s\S])"
-    )
-
-
-def body_lexeme(depth: int = TEMPLATE_DEPTH) -> str:
-    """``lexeme`` for a substitution body, where trailing trivia has no token to lead."""
-    return rf"{lexeme(depth)}|(?:[ \t\r\n]++|{COMMENT})++"
-
+_LEXEMES = (
+    rf"{TRIVIA}(?:{PLAIN_WORD}|{REGEX_HEAD}{TRIVIA}{REGEX}|`{TEMPLATE_CHARS}\$*+`|{NUMBER}|{STRING}|{IDENTIFIER}|{_OPS}|[\s\S])"
+)
+#: Leading trivia plus one token. A regex literal is recognised by what precedes it: it is matched together with the keyword or operator
+#: before it (``SPLIT_HEAD`` takes the two apart) or at the start of the text. Templates with substitutions are cut out beforehand.
+LEXEME = rf"\A{TRIVIA}{REGEX}|{_LEXEMES}"
+_TRAILING = rf"|(?:[ \t\r\n]++|{COMMENT})++"
+#: The same for code that ends at a template segment, where trailing trivia has no token to lead ...
+BODY_LEXEME = LEXEME + _TRAILING
+#: ... and for code after a finished template, where a slash is a division.
+AFTER_LEXEME = _LEXEMES + _TRAILING
 
 SPLIT_HEAD = rf"\A({TRIVIA}{REGEX_HEAD})({TRIVIA}{REGEX})\z"
 ONLY_TRIVIA = rf"\A{TRIVIA}\z"
 LEADING_TRIVIA = rf"\A{TRIVIA}"
-TEMPLATE_START = rf"\A{TRIVIA}`"
-_SEGMENT_END = r"(?:\$++\{|\$*+`)"
-TEMPLATE_HEAD = rf"\A{TRIVIA}`{TEMPLATE_CHARS}{_SEGMENT_END}"
-
-
-def template_unit(depth: int = TEMPLATE_DEPTH) -> str:
-    """One substitution body followed by the segment that closes it (groups 1 and 2)."""
-    return rf"({_body(depth, BRACE_DEPTH)})(\}}{TEMPLATE_CHARS}{_SEGMENT_END})"
-
-
-def template_parts(depth: int = TEMPLATE_DEPTH) -> str:
-    """Splits a whole template into its head and its units."""
-    return rf"{TEMPLATE_HEAD}|{_body(depth, BRACE_DEPTH)}\}}{TEMPLATE_CHARS}{_SEGMENT_END}"

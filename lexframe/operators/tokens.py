@@ -13,8 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.functions import patterns as P
+from lexframe.functions import templates
 from lexframe.functions.memo import once_per_frame
 from lexframe.functions.tokenclass import number_value, token_family, token_kind, unquote
+from lexframe.sources.shipping import ship
 
 
 def by_pos():
@@ -37,31 +39,28 @@ def _split_heads(lexemes: Column) -> Column:
     return F.flatten(F.transform(lexemes, split))
 
 
-def _open_templates(lexemes: Column) -> Column:
-    """Replaces each whole template with substitutions by its segments and the lexemes between them."""
-    unit_pattern = rf"\A{P.template_unit()}\z"
+def _template_lexemes(pieces: Column) -> Column:
+    """Lexemes of a text with template substitutions: its pieces of code, each followed by a template segment."""
 
-    def unit(u: Column) -> Column:
-        body, segment = F.regexp_extract(u, unit_pattern, 1), F.regexp_extract(u, unit_pattern, 2)
+    def lex(piece: Column) -> Column:
+        code = F.when(piece.after, _all(piece.code, P.AFTER_LEXEME)).otherwise(_all(piece.code, P.BODY_LEXEME))
         return F.transform(
-            F.array(F.struct(_split_heads(_all(body, P.body_lexeme())).alias("b"), segment.alias("s"))),
-            # trailing trivia of the body leads the segment
-            lambda p: F.when(
+            F.array(F.struct(_split_heads(code).alias("b"), piece.segment.alias("s"))),
+            # trailing trivia of the code leads the segment
+            lambda p: F.when(p.s == "", p.b).when(
                 (F.size(p.b) > 0) & F.element_at(p.b, -1).rlike(P.ONLY_TRIVIA),
                 F.concat(F.slice(p.b, F.lit(1), F.size(p.b) - 1), F.array(F.concat(F.element_at(p.b, -1), p.s))),
             ).otherwise(F.concat(p.b, F.array(p.s))),
         )[0]
 
-    def expand(x: Column) -> Column:
-        whole = x.endswith("`") & F.contains(x, F.lit("${")) & x.rlike(P.TEMPLATE_START)
-        parts = _all(x, P.template_parts())
-        opened = F.concat(
-            F.array(parts[0]),
-            F.flatten(F.transform(F.slice(parts, F.lit(2), F.size(parts)), unit)),
-        )
-        return F.when(whole & (F.size(parts) > 0), opened).otherwise(F.array(x))
+    return F.flatten(F.transform(pieces, lex))
 
-    return F.flatten(F.transform(lexemes, expand))
+
+def _cut(texts):
+    import pandas as pd
+
+    names = ("code", "segment", "after")
+    return pd.Series([None if t is None else [dict(zip(names, p, strict=True)) for p in templates.pieces(t)] for t in texts])
 
 
 def spread_scripts(scripts: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -79,22 +78,19 @@ def lexemes(scripts: DataFrame, *, spread: bool = True) -> DataFrame:
 
     Concatenating ``raw`` in ``pos`` order gives back the text (a final newline and the end mark added).
     """
-    base = scripts.select("script_id", "src")
-    if spread:
-        base = spread_scripts(base)
+    ship(scripts.sparkSession)
     ended = F.concat(F.translate("src", P.END_MARK, "�"), F.lit("\n" + P.END_MARK))
-    df = base.select("script_id", ended.alias("src"))
-    df = df.select("script_id", "src", _all(F.col("src"), P.lexeme()).alias("lx"))
-    df = df.select(
-        "script_id",
-        F.contains("src", F.lit("${")).alias("has_sub"),
-        F.when(F.contains("src", F.lit("/")), _split_heads(F.col("lx"))).otherwise(F.col("lx")).alias("lx"),
-    )
-    for _ in range(P.TEMPLATE_DEPTH):
-        df = df.select(
-            "script_id", "has_sub",
-            F.when(F.col("has_sub"), _open_templates(F.col("lx"))).otherwise(F.col("lx")).alias("lx"),
-        )
+    df = scripts.select("script_id", ended.alias("src"))
+    # a substitution needs a backtick as well; all other texts are tokenized by one expression. Texts are cut before they are
+    # spread, as Spark takes the output of Python for unpartitioned
+    has_sub = F.contains("src", F.lit("${")) & F.contains("src", F.lit("`"))
+    cut = F.pandas_udf(_cut, templates.PIECES)
+    df = df.select("script_id", F.when(~has_sub, F.col("src")).alias("src"), cut(F.when(has_sub, F.col("src"))).alias("pieces"))
+    if spread:
+        df = spread_scripts(df)
+    df = df.select("script_id", "pieces", F.contains("src", F.lit("/")).alias("slash"), _all(F.col("src"), P.LEXEME).alias("lx"))
+    plain = F.when(F.col("slash"), _split_heads(F.col("lx"))).otherwise(F.col("lx"))
+    df = df.select("script_id", F.coalesce(plain, _template_lexemes(F.col("pieces"))).alias("lx"))
     # the outer form keeps the optimizer from adding (and pushing to the scan) a filter on the array size,
     # which would tokenize every text twice; the array always holds the end mark
     return df.select("script_id", F.posexplode_outer("lx").alias("pos", "raw"))

@@ -27,6 +27,28 @@ def rx(pattern: str) -> str:
     return q(P.plain(pattern))
 
 
+# --- templates: this engine has no helper, so its patterns nest to a fixed depth, deep enough for the supplied tables ---
+
+TEMPLATE_DEPTH, BRACE_DEPTH = 3, 2
+_END = r"(?:\$++\{|\$*+`)"
+
+
+def _template_body(depth: int, braces: int) -> str:
+    inner = f"|{_template(depth - 1)}" if depth > 1 else ""
+    nested = rf"|\{{{_template_body(depth, braces - 1)}\}}" if braces > 0 else ""
+    return rf"(?:[^`\"'{{}}/\\\x03]++|\\[^\x03]|{P._DQ}\"|{P._SQ}'|{P.COMMENT}|/{nested}{inner})*+"
+
+
+def _template(depth: int) -> str:
+    return r"`(?:[^`\\$\x03]++|\\[^\x03]|\$++(?:[^{`\\$\x03]|\\[^\x03]|\{" + _template_body(depth, BRACE_DEPTH) + r"\}))*+\$*+`"
+
+
+_LEXEME = P.LEXEME.replace(rf"`{P.TEMPLATE_CHARS}\$*+`", _template(TEMPLATE_DEPTH))
+_BODY_LEXEME = P.BODY_LEXEME.replace(rf"`{P.TEMPLATE_CHARS}\$*+`", _template(TEMPLATE_DEPTH))
+_UNIT = rf"({_template_body(TEMPLATE_DEPTH, BRACE_DEPTH)})(\}}{P.TEMPLATE_CHARS}{_END})"
+_PARTS = rf"\A{P.TRIVIA}`{P.TEMPLATE_CHARS}{_END}|{_template_body(TEMPLATE_DEPTH, BRACE_DEPTH)}\}}{P.TEMPLATE_CHARS}{_END}"
+
+
 # --- corpora ---------------------------------------------------------------------------------------------
 
 
@@ -66,14 +88,14 @@ def _split_heads(lx: str) -> str:
 
 
 def _expand(lx: str) -> str:
-    unit = rx(rf"\A{P.template_unit()}\z")
-    body = _split_heads(f"regexp_extract_all(regexp_extract(u, {unit}, 1), {rx(P.body_lexeme())})")
+    unit = rx(rf"\A{_UNIT}\z")
+    body = _split_heads(f"regexp_extract_all(regexp_extract(u, {unit}, 1), {rx(_BODY_LEXEME)})")
     merged = f"""list_transform([{{'b': {body}, 's': regexp_extract(u, {unit}, 2)}}], lambda p:
         case when len(p.b) > 0 and regexp_matches(p.b[-1], {rx(P.ONLY_TRIVIA)})
              then p.b[:len(p.b) - 1] || [p.b[-1] || p.s] else p.b || [p.s] end)[1]"""
-    parts = f"regexp_extract_all(e, {rx(P.template_parts())})"
+    parts = f"regexp_extract_all(e, {rx(_PARTS)})"
     return f"""flatten(list_transform({lx}, lambda e:
-        case when ends_with(e, '`') and contains(e, '${{') and regexp_matches(e, {rx(P.TEMPLATE_START)}) and len({parts}) > 0
+        case when ends_with(e, '`') and contains(e, '${{') and regexp_matches(e, {rx(rf"\A{P.TRIVIA}`")}) and len({parts}) > 0
              then [{parts}[1]] || flatten(list_transform({parts}[2:], lambda u: {merged})) else [e] end))"""
 
 
@@ -96,12 +118,12 @@ def tokens() -> list[str]:
     rounds, lx = [], "lx"
     src = "(replace(src, chr(3), '�') || chr(10) || chr(3))"
     ctes = [
-        f"lex0 as (select script_id, contains(src, '${{') as subs, {_split_heads(f'regexp_extract_all({src}, {rx(P.lexeme())})')} as lx from scripts)"
+        f"lex0 as (select script_id, contains(src, '${{') as subs, {_split_heads(f'regexp_extract_all({src}, {rx(_LEXEME)})')} as lx from scripts)"
     ]
-    for i in range(P.TEMPLATE_DEPTH):
+    for i in range(TEMPLATE_DEPTH):
         ctes.append(f"lex{i + 1} as (select script_id, subs, case when subs then {_expand('lx')} else lx end as lx from lex{i})")
     ctes.append(
-        f"raws as (select script_id, unnest(lx) as raw, generate_subscripts(lx, 1) - 1 as pos from lex{P.TEMPLATE_DEPTH})"
+        f"raws as (select script_id, unnest(lx) as raw, generate_subscripts(lx, 1) - 1 as pos from lex{TEMPLATE_DEPTH})"
     )
     ctes.append(
         f"texts as (select script_id, cast(pos as int) as pos, raw, regexp_replace(raw, {rx(P.LEADING_TRIVIA)}, '') as text from raws)"

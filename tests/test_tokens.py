@@ -25,6 +25,40 @@ def test_kinds(spark, scripts_of):
         assert got == expected + ["EOF"], source
 
 
+H, M, T = "TEMPLATE_HEAD", "TEMPLATE_MIDDLE", "TEMPLATE_TAIL"
+DEEP = {
+    "`${" * 10 + "x" + "}`" * 10: [H] * 10 + ["IDENTIFIER"] + [T] * 10,
+    "t=`${f({a:{b:{c:1}}})}`;": ["IDENTIFIER", "=", H, "IDENTIFIER", "(", "{", "IDENTIFIER", ":", "{", "IDENTIFIER", ":", "{", "IDENTIFIER", ":", "NUMBER", "}", "}", "}", ")", T, ";"],
+    '`${s.replace(/"/g, "x")}`': [H, "IDENTIFIER", ".", "IDENTIFIER", "(", "REGEX", ",", "STRING", ")", T],
+    "`a${/}/}b${ '}' /* } */ }c` / 2": [H, "REGEX", M, "STRING", T, "/", "NUMBER"],
+    "`${a}${`$${b}` /c/ d}`": [H, "IDENTIFIER", M, H, "IDENTIFIER", T, "/", "IDENTIFIER", "/", "IDENTIFIER", T],
+    "`${g(function (x) { if (x) { for (;;) { y(); } } })}`": [H, "IDENTIFIER", "(", "FUNCTION", "(", "IDENTIFIER", ")", "{", "IF", "(", "IDENTIFIER", ")", "{", "FOR", "(", ";", ";", ")", "{", "IDENTIFIER", "(", ")", ";", "}", "}", "}", ")", T],
+    "a`b` + `c${ /* t */ }` // ${": ["IDENTIFIER", "TEMPLATE_NO_SUB", "+", H, T],
+    "`a ${ `b` + `c": ["ERROR", "IDENTIFIER", "IDENTIFIER", "{", "TEMPLATE_NO_SUB", "+", "ERROR", "IDENTIFIER"],
+    "x = { /re/: `${ { } }` }": ["IDENTIFIER", "=", "{", "REGEX", ":", H, "{", "}", T, "}"],
+}
+
+
+def test_templates_of_any_depth(spark, scripts_of):
+    from lexframe.operators import rules as R
+
+    scripts = scripts_of(*DEEP)
+    tokens = K.tokenize(scripts)
+    rows = tokens.orderBy("script_id", "pos").collect()
+    for i, (source, expected) in enumerate(DEEP.items()):
+        own = [r for r in rows if r.script_id == f"{i:03d}"]
+        assert [r.kind for r in own] == expected + ["EOF"], source
+        assert "".join(r.raw for r in own) == source + "\n\x03"
+    valid = [i for i, e in enumerate(DEEP.values()) if "ERROR" not in e and "/re/" not in list(DEEP)[i] and "/* t" not in list(DEEP)[i]]  # an empty substitution is no expression
+    failed = {r.script_id for r in R.script_verdict(scripts, R.all_diagnostics(tokens)).filter("verdict = 'FAIL'").collect()}
+    assert not failed & {f"{i:03d}" for i in valid}
+
+
+def test_a_long_script(spark, scripts_of):
+    part = "var a = `x${ f({ k: `${ b }` }) }y`; /* c */ call(a / 2, /re/);\n"
+    assert K.tokenize(scripts_of(part * 50_000)).count() == 25 * 50_000 + 1
+
+
 def test_lexemes_give_back_the_text(spark, scripts_of):
     sources = [*CASES, *N.ALL, "x" * 300_000, "f(" * 5_000, '"' + "a\\n" * 50_000 + '"', "/* " + "*" * 50_000 + "/ a"]
     rows = K.lexemes(scripts_of(*sources)).orderBy("script_id", "pos").collect()
