@@ -42,10 +42,10 @@ def read_error_log(lines: DataFrame, *, strict_path: bool = False) -> DataFrame:
     )
 
 
-def write_error_log(diagnostics: DataFrame, path: str) -> None:
-    """Appends diagnostics as text lines."""
+def write_error_log(diagnostics: DataFrame, path: str, mode: str = "append") -> None:
+    """Writes diagnostics as text lines, by default after those already there."""
     line = F.format_string("%s:%d:%d: %s", "path", "line", "col", "message")
-    diagnostics.select(line.alias("value")).write.mode("append").text(path)
+    diagnostics.select(line.alias("value")).write.mode(mode).text(path)
 
 
 def error_category(message: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexframe.operators.blocks import BLOCK, block_number, carry_last
+from lexframe.sources.shipping import ship
 
 # --- fixed values: line formats, tried in this order ----------------------------------------------
 NEXT_TOKEN = "Next token is token"
@@ -119,6 +120,22 @@ def trace_max_stack(events: DataFrame) -> DataFrame:
     return events.groupBy("trace_id").agg(F.coalesce(F.max(split), F.lit(0)).alias("max_stack"))
 
 
+def trace_report(events: DataFrame, block: int = BLOCK) -> DataFrame:
+    """One row per trace: last line, largest stack, peak of live stacks, splits, and the token and rule with most of them."""
+    kind = F.col("kind")
+    own = events.filter(kind.isin("next_token", "reduce", "die", "rename", "split"))
+    split = F.when(kind == "split", F.col("stack"))
+    facts = own.groupBy("trace_id").agg(F.max("line_no").alias("last_line"), F.coalesce(F.max(split), F.lit(0)).alias("max_stack"))
+    read = own.filter((kind != "split") | F.col("stack").isNotNull())
+    most = F.struct("n", -F.col("first_line"))
+    tokens = splits_by_token(read, block).groupBy("trace_id").agg(F.sum("n").alias("n_splits"), F.max_by("token", most).alias("top_token"))
+    rules = splits_by_rule(read, block).groupBy("trace_id").agg(
+        F.max_by(F.concat_ws("@", F.col("rule").cast("string"), F.col("rule_line").cast("string")), most).alias("top_rule"))
+    peaks = trace_peak_alive(own, clears=False, block=block)
+    return facts.join(peaks, "trace_id").join(tokens, "trace_id", "left").join(rules, "trace_id", "left").select(
+        "trace_id", "last_line", "max_stack", "peak_alive", F.coalesce("n_splits", F.lit(0)).alias("n_splits"), "top_token", "top_rule")
+
+
 def trace_compare(events: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
     """Splits per token of two traces side by side."""
     counts = splits_by_token(events.filter(F.col("trace_id").isin(a, b)), block)
@@ -262,6 +279,7 @@ def trace_peak_alive(
     ``clears=False`` ignores clean-up and verdict lines, as the line-by-line analyzer does.  No task holds
     more than one block of events or ``fan_out`` block summaries, except the last chain over superblocks.
     """
+    ship(events.sparkSession)
     wanted = _STATE_EVENTS if clears else _STATE_EVENTS[:3]
     complete = F.col("stack").isNotNull() & (F.col("parent").isNotNull() | (F.col("kind") == "die"))
     state = events.filter(

@@ -522,11 +522,11 @@ def nodes() -> dict[str, str]:
         """select count(*) as n_nodes, count(distinct node) as n_kinds, count(distinct script_id) as n_scripts,
            count(*) filter (node = 'call') as n_calls, max(length(name)) as longest_name from nodes""",
     )
-    out["module_edges"] = statement(_edges_ctes(), "select * from edges")
+    out["module_edges"] = statement(["recursive " + c if i == 0 else c for i, c in enumerate(_edges_ctes())], "select * from edges")
     out["module_reach"] = statement(
         ["recursive " + c if i == 0 else c for i, c in enumerate(_edges_ctes())]
         + ["""walk(src, dst, depth) as (select distinct path, target_path, 1 from edges where status <> 'external'
-              union select w.src, e.target_path, w.depth + 1 from walk w join (select distinct path, target_path from edges where status <> 'external') e on e.path = w.dst where w.depth < 32)"""],
+              union select w.src, e.target_path, w.depth + 1 from walk w join (select distinct path, target_path from edges where status <> 'external') e on e.path = w.dst where w.depth < (select count(*) from scripts))"""],
         "select src, dst, cast(min(depth) as int) as depth from walk group by 1, 2",
     )
     return out
@@ -549,13 +549,15 @@ def _edges_ctes() -> list[str]:
         f"""star_ as (select distinct s.script_id as target_id, t.target_id as star_id from
             (select script_id, {resolve} as star_path from (select e.*, path, {where} from exp_ e join scripts using (script_id) where is_all and alias is null)) s
             join target_ t on t.target_path = s.star_path)""",
+        """hops_(target_id, star_id) as (select target_id, star_id from star_
+            union select h.target_id, s.star_id from hops_ h join star_ s on s.target_id = h.star_id)""",
         """edges as materialized (select w.script_id, w.pos, w.path, w.local, w.imported, w.source, w.target_path,
             coalesce(case when n.export_pos is null then b.star_id end, t.target_id) as target_script,
             case when w.target_path is null then 'external' when t.target_id is null then 'missing' when w.imported is null then 'module'
                  when n.export_pos is not null then 'resolved' when b.star_id is not null then 'resolved_star' else 'unresolved' end as status
             from want_ w left join target_ t using (target_path)
             left join named_ n on n.script_id = t.target_id and n.exported = w.imported
-            left join (select s.target_id, n2.exported, min(s.star_id) as star_id from star_ s join named_ n2 on n2.script_id = s.star_id
+            left join (select s.target_id, n2.exported, min(s.star_id) as star_id from hops_ s join named_ n2 on n2.script_id = s.star_id
                        where n2.exported <> 'default' group by 1, 2) b on b.target_id = t.target_id and b.exported = w.imported)""",
     ]
 
@@ -669,7 +671,7 @@ def traces() -> dict[str, str]:
             select,
         )
 
-    stream = """select trace_id, last_line, max_stack, peak_alive, coalesce(n_splits, 0) as n_splits, top_token, top_rule, 0::bigint as late_lines
+    stream = """select trace_id, last_line, max_stack, peak_alive, coalesce(n_splits, 0) as n_splits, top_token, top_rule
         from (select trace_id, max(line_no) as last_line, coalesce(max(case when kind = 'split' then stack end), 0) as max_stack from ev
               where kind in ('next_token', 'reduce', 'die', 'rename', 'split') group by 1)
         join (select trace_id, max(peak) as peak_alive from walk group by 1) using (trace_id)

@@ -188,7 +188,7 @@ def _stream_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_dir(spark, "trace-lines")
     C.trace_lines(C.table(spark, sf_dir, "lineitem")).write.parquet(out)
     lines = spark.readStream.schema("trace_id long, line_no long, text string").parquet(out)
-    return spark.read.parquet(J.stream_trace(lines)).drop("batch")
+    return spark.read.parquet(J.stream_trace(lines))
 
 
 def queries() -> dict[str, Query]:

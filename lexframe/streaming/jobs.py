@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lexframe.operators.logs import error_messages, write_error_log
 from lexframe.operators.rules import all_diagnostics, script_verdict
 from lexframe.operators.tokens import tokenize
-from lexframe.operators.traces import read_trace
+from lexframe.operators.traces import read_trace, trace_report
 from lexframe.sources.workdir import new_dir
 
 
@@ -40,16 +35,22 @@ def _append_batches(stream: DataFrame, name: str, mode: str = "append", transfor
 def stream_verdict(scripts: DataFrame, *, log_path: str | None = None) -> str:
     """Checks arriving scripts; returns the folder of the verdict table.
 
-    With ``log_path`` the diagnostics are also appended there as log lines, at least once per batch.
+    With ``log_path`` the diagnostics are also written there as log lines, a folder per batch; they are computed once for both.
     """
+    out = new_dir(scripts.sparkSession, "verdicts")
 
-    def check(df: DataFrame) -> DataFrame:
-        diagnostics = all_diagnostics(tokenize(df))
-        if log_path is not None:
-            write_error_log(diagnostics.join(df.select("script_id", "path"), "script_id"), log_path)
-        return script_verdict(df, diagnostics)
-
-    return _append_batches(scripts, "verdicts", transform=check)
+    def write(df: DataFrame, batch_id: int) -> None:
+        diagnostics = all_diagnostics(tokenize(df)).persist()
+        try:
+            if log_path is not None:
+                located = diagnostics.join(df.select("script_id", "path"), "script_id")
+                write_error_log(located, f"{log_path}/batch={batch_id}", mode="overwrite")
+            script_verdict(df, diagnostics).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+        finally:
+            diagnostics.unpersist()
+
+    run_available(scripts, write, "append", f"{out}/checkpoint")
+    return f"{out}/data"
 
 
 def stream_error_counts(lines: DataFrame) -> str:
@@ -65,73 +66,25 @@ def latest_batch(df: DataFrame) -> DataFrame:
     return df.filter(F.col("batch") == df.agg(F.max("batch")).scalar()).drop("batch")
 
 
-# --- line-by-line traces -------------------------------------------------------------------------------
-
-_TRACE_OUT = (
-    "trace_id long, last_line long, max_stack int, peak_alive int, n_splits long, top_token string, "
-    "top_rule string, late_lines long"
-)
-
-
-def _advance(state: dict, rows: pd.DataFrame) -> None:
-    live, rules = set(state["live"]), state["rules"]
-    for e in rows.itertuples(index=False):
-        if e.line_no <= state["last_line"]:
-            state["late"] += 1
-            continue
-        state["last_line"] = int(e.line_no)
-        if e.kind == "next_token":
-            state["token"] = e.token
-        elif pd.isna(e.stack):
-            continue
-        elif e.kind == "reduce":
-            rules[str(int(e.stack))] = f"{int(e.rule)}@{int(e.rule_line)}"
-        elif e.kind == "die":
-            live.discard(int(e.stack))
-        elif e.kind == "rename":
-            if int(e.parent) in live:
-                live.discard(int(e.parent))
-                live.add(int(e.stack))
-        elif e.kind == "split":
-            live.add(int(e.stack))
-            state["max_stack"] = max(state["max_stack"], int(e.stack))
-            state["peak"] = max(state["peak"], len(live))
-            if state["token"]:
-                state["tokens"][state["token"]] = state["tokens"].get(state["token"], 0) + 1
-            rule = rules.get(str(int(e.parent)))
-            if rule:
-                state["split_rules"][rule] = state["split_rules"].get(rule, 0) + 1
-    state["live"] = sorted(live)
-
-
-def _first_most_common(counts: dict) -> str | None:
-    return max(counts, key=counts.get) if counts else None
-
-
-def _update_trace(keys: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-    state = json.loads(group.get[0]) if group.exists else {
-        "token": None, "rules": {}, "live": [0], "max_stack": 0, "peak": 1, "tokens": {}, "split_rules": {},
-        "last_line": -1, "late": 0,
-    }
-    _advance(state, pd.concat(list(batches)).sort_values("line_no", kind="stable"))
-    group.update((json.dumps(state),))
-    yield pd.DataFrame([(
-        keys[0], state["last_line"], state["max_stack"], state["peak"], sum(state["tokens"].values()),
-        _first_most_common(state["tokens"]), _first_most_common(state["split_rules"]), state["late"],
-    )], columns=[c.split()[0] for c in _TRACE_OUT.split(", ")])
-
-
-def trace_state(lines: DataFrame) -> DataFrame:
-    """Streaming state per trace: lookahead token, last rule per stack, live stacks and counters.
-
-    Lines are ordered within a micro-batch; a line at or below the last number seen is dropped and counted.
-    Only this state update is per-row Python; the lines are parsed by Spark expressions.
+# --- traces ----------------------------------------------------------------------------------------------
+
+
+def trace_events(lines: DataFrame) -> str:
+    """Keeps the events of arriving trace lines, a folder per micro-batch; returns the folder of the table.
+
+    A line's place in its trace is its number, not when it arrives, so nothing is ever late and nothing is dropped.
     """
-    events = read_trace(lines).filter(F.col("kind").isin("next_token", "reduce", "die", "rename", "split"))
-    return events.groupBy("trace_id").applyInPandasWithState(
-        _update_trace, _TRACE_OUT, "state string", "update", GroupStateTimeout.NoTimeout
-    )
+    return _append_batches(read_trace(lines), "trace-events")
 
 
 def stream_trace(lines: DataFrame) -> str:
-    return _append_batches(trace_state(lines), "traces", mode="update")
+    """Takes in all lines at hand and reports on each trace from all its events so far; returns the folder of the table.
+
+    The state is the table of events, cut into blocks by the batch operators: a long trace is never in one task, and a batch that is
+    run again replaces its own events.
+    """
+    spark = lines.sparkSession
+    events = spark.read.parquet(trace_events(lines)).drop("batch")
+    out = new_dir(spark, "traces")
+    trace_report(events).write.parquet(out)
+    return out
