@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexframe.functions.paths import normalize
 from lexframe.operators.blocks import BLOCK, block_number, running_count
+from lexframe.sources.workdir import checkpoint
 
 # --- fixed values: the two line formats ----------------------------------------------------------
 #: The path holds no colon.
@@ -99,12 +101,20 @@ def good_entries(lines: DataFrame, *, strict_path: bool) -> DataFrame:
     return read_error_log(lines, strict_path=strict_path).filter(~F.col("_bad")).drop("_bad")
 
 
+def _by_file(df: DataFrame) -> DataFrame:
+    """Adds the key that log entries and files meet by: the path without dot segments."""
+    return df.withColumn("_file", normalize(F.col("path")))
+
+
 def log_with_size(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Log entries with the size of their file; entries without a file are dropped.
 
-    ``files`` has one row per path, so a path with very many entries is split by adaptive skew handling.
+    ``files`` has one row per path, so a path with very many entries is split by adaptive skew handling. Of files whose paths differ in
+    dot segments only, the largest size counts.
     """
-    return good_entries(lines, strict_path=True).join(files.select("path", "size"), "path")
+    sizes = _by_file(files).groupBy("_file").agg(F.max("size").alias("size"))
+    found = _by_file(good_entries(lines, strict_path=True)).join(sizes, "_file").drop("_file")
+    return found.select("path", *[c for c in found.columns if c != "path"])
 
 
 def log_sorted_by_size(lines: DataFrame, files: DataFrame, *, ascending: bool = False, block: int = BLOCK) -> DataFrame:
@@ -113,7 +123,8 @@ def log_sorted_by_size(lines: DataFrame, files: DataFrame, *, ascending: bool =
     The rank is built from three parts: entries of other sizes, entries of this size in other line blocks,
     and the place within the block.  Only counts per size and per (size, block) are ordered as a whole.
     """
-    df = log_with_size(lines, files).withColumn("_b", block_number("line_no", block))
+    # read four times below
+    df = checkpoint(log_with_size(lines, files).withColumn("_b", block_number("line_no", block)))
     order = F.asc if ascending else F.desc
     per_block = df.groupBy("size", "_b").agg(F.count(F.lit(1)).alias("_n"))
     per_size = per_block.groupBy("size").agg(F.sum("_n").alias("_n"))
@@ -139,12 +150,12 @@ def error_files(lines: DataFrame) -> DataFrame:
 
 def missing_files(lines: DataFrame, files: DataFrame) -> DataFrame:
     """Paths of the log without a file; paths are made distinct before the join."""
-    return error_files(lines).join(files.select("path"), "path", "left_anti")
+    return _by_file(error_files(lines)).join(_by_file(files).select("_file"), "_file", "left_anti").select("path")
 
 
 def offending_scripts(lines: DataFrame, scripts: DataFrame) -> DataFrame:
     """Scripts of the log, one per base name: the last path in sort order."""
-    hit = scripts.join(error_files(lines), "path", "left_semi")
+    hit = _by_file(scripts).join(_by_file(error_files(lines)), "_file", "left_semi").drop("_file")
     base = F.regexp_extract("path", r"[^/]*$", 0)
     rest = [c for c in scripts.columns if c != "path"]
     picked = hit.groupBy(base.alias("basename")).agg(
@@ -154,19 +165,13 @@ def offending_scripts(lines: DataFrame, scripts: DataFrame) -> DataFrame:
 
 
 def run_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Scripts newly failing, newly passing and still failing between two verdict tables."""
-
-    def with_verdict(v: DataFrame, verdict: str) -> DataFrame:
-        return v.filter(F.col("verdict") == verdict).select("script_id")
-
-    old, new = with_verdict(before, "FAIL"), with_verdict(after, "FAIL")
-    parts = {
-        "newly failing": new.exceptAll(old),
-        "newly passing": with_verdict(after, "PASS").exceptAll(with_verdict(before, "PASS")),
-        "still failing": new.intersect(old),
-    }
-    out = None
-    for change, ids in parts.items():
-        df = ids.withColumn("change", F.lit(change))
-        out = df if out is None else out.unionByName(df)
-    return out
+    """Scripts newly failing, newly passing and still failing between two verdict tables, each with one row per script."""
+
+    old = before.select("script_id", F.col("verdict").alias("_old"))
+    new = after.select("script_id", F.col("verdict").alias("_new"))
+    failed, passed = (F.coalesce(F.col(c) == v, F.lit(False)) for c, v in (("_old", "FAIL"), ("_old", "PASS")))
+    fails, passes = (F.coalesce(F.col(c) == v, F.lit(False)) for c, v in (("_new", "FAIL"), ("_new", "PASS")))
+    change = (
+        F.when(fails & ~failed, "newly failing").when(passes & ~passed, "newly passing").when(fails & failed, "still failing")
+    )
+    return old.join(new, "script_id", "full_outer").select("script_id", change.alias("change")).filter("change is not null")

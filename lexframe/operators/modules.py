@@ -5,19 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.functions.paths import normalize
 from lexframe.sources.workdir import checkpoint
 
 
-def normalize(path: Column) -> Column:
-    """A path without ``.`` segments, ``..`` taking back the segment before it (never above the top)."""
-    return F.array_join(F.aggregate(
-        F.split(path, "/"), F.array().cast("array<string>"),
-        lambda kept, x: F.when(x == ".", kept)
-        .when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
-        .otherwise(F.concat(kept, F.array(x))),
-    ), "/")
-
-
 def resolve_path(path: Column, source: Column) -> Column:
     """Path a relative module source names, seen from ``path``; null for other sources."""
     folder = F.regexp_extract(path, r"^(.*/)?", 0)

@@ -341,7 +341,10 @@ def _operator_class() -> Column:
 
 def operators(tokens: DataFrame) -> DataFrame:
     df = neighbours(tokens).withColumn("operator_class", _operator_class()).filter(F.col("operator_class").isNotNull())
-    return df.select("script_id", "pos", F.lower(c.kind).alias("operator"), "operator_class")
+    # the lexical contract has no "**": two stars in a row are the power operator
+    power = (c.kind == "*") & F.coalesce(F.col("n1") == "*", F.lit(False))
+    df = df.filter(~((c.kind == "*") & F.coalesce(F.col("p1") == "*", F.lit(False))))
+    return df.select("script_id", "pos", F.when(power, "**").otherwise(F.lower(c.kind)).alias("operator"), "operator_class")
 
 
 def literals(tokens: DataFrame) -> DataFrame:
@@ -506,9 +509,12 @@ def nesting_stats(tokens: DataFrame) -> DataFrame:
 
 
 def nesting_quantiles(stats: DataFrame) -> DataFrame:
-    """Quantiles of depth and length over the corpus, from mergeable sketches."""
+    """Quantiles of depth and length over the corpus (values that occur), from counts per distinct value."""
+
+    def quantiles(name: str) -> Column:
+        parts = ", ".join(f"cast(percentile_disc({p}) within group (order by {name}) as bigint)" for p in (0.5, 0.9, 0.99))
+        return F.expr(f"array({parts})")
+
     return stats.agg(
-        F.percentile_approx("max_depth", [0.5, 0.9, 0.99], 10000).alias("depth_quantiles"),
-        F.percentile_approx("n_tokens", [0.5, 0.9, 0.99], 10000).alias("token_quantiles"),
-        F.max("n_tokens").alias("longest"),
+        quantiles("max_depth").alias("depth_quantiles"), quantiles("n_tokens").alias("token_quantiles"), F.max("n_tokens").alias("longest"),
     )

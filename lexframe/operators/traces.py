@@ -137,12 +137,20 @@ def trace_report(events: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def trace_compare(events: DataFrame, a: int, b: int, block: int = BLOCK) -> DataFrame:
-    """Splits per token of two traces side by side."""
-    counts = splits_by_token(events.filter(F.col("trace_id").isin(a, b)), block)
-    left = counts.filter(F.col("trace_id") == a).select("token", F.col("n").alias("n_a"))
-    right = counts.filter(F.col("trace_id") == b).select("token", F.col("n").alias("n_b"))
-    joined = left.join(right, "token", "full_outer").na.fill(0, ["n_a", "n_b"])
-    return joined.withColumn("delta", F.col("n_b") - F.col("n_a"))
+    """Two traces side by side: splits per token and per rule, largest stack and peak of live stacks (``measure, name, n_a, n_b, delta``)."""
+    own = events.filter(F.col("trace_id").isin(a, b))
+    rule = F.concat_ws("@", F.col("rule").cast("string"), F.col("rule_line").cast("string"))
+    none = F.lit(None).cast("string")
+    rows = splits_by_token(own, block).select("trace_id", F.lit("token").alias("measure"), F.col("token").alias("name"), "n")
+    rows = rows.unionByName(splits_by_rule(own, block).select("trace_id", F.lit("rule").alias("measure"), rule.alias("name"), "n"))
+    rows = rows.unionByName(trace_max_stack(own).select("trace_id", F.lit("max_stack").alias("measure"), none.alias("name"), F.col("max_stack").cast("long").alias("n")))
+    rows = rows.unionByName(trace_peak_alive(own, block=block).select("trace_id", F.lit("peak_alive").alias("measure"), none.alias("name"), F.col("peak_alive").cast("long").alias("n")))
+
+    def of(trace: int) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("trace_id") == trace, F.col("n"))), F.lit(0))
+
+    both = rows.groupBy("measure", "name").agg(of(a).alias("n_a"), of(b).alias("n_b"))
+    return both.withColumn("delta", F.col("n_b") - F.col("n_a"))
 
 
 # --- live stacks ----------------------------------------------------------------------------------

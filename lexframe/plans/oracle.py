@@ -129,7 +129,7 @@ def tokens() -> list[str]:
         f"texts as (select script_id, cast(pos as int) as pos, raw, regexp_replace(raw, {rx(P.LEADING_TRIVIA)}, '') as text from raws)"
     )
     ctes.append(
-        f"tok as (select *, {_FAMILY} as family from (select *, {_KIND} as kind, "
+        f"tok as materialized (select *, {_FAMILY} as family from (select *, {_KIND} as kind, "
         "contains(left(raw, length(raw) - length(text)), chr(10)) as newline_before from texts))"
     )
     return ctes

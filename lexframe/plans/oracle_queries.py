@@ -61,6 +61,7 @@ def lexical() -> dict[str, str]:
         ),
         "scan_scripts": (scripts("pages"), "select '.txt' as ext, strlen(src) + 1 as size, src || chr(10) as src from scripts"),
         "identifier_freq": ("all", freq),
+        "identifier_cardinality": ("all", "select script_id, count(distinct text) as n_distinct from tok where kind = 'IDENTIFIER' group by 1"),
         "identifier_topk": ("all", freq + " order by n_uses desc, name limit 20"),
         "template_segments": (
             "code",
@@ -468,7 +469,8 @@ def nodes() -> dict[str, str]:
     )
     out["operators"] = statement(
         chain("code", "nb"),
-        f"select script_id, pos, lower(kind) as operator, {_OPERATOR} as operator_class from nb where ({_OPERATOR}) is not null",
+        f"""select script_id, pos, case when kind = '*' and coalesce(n1 = '*', false) then '**' else lower(kind) end as operator, {_OPERATOR} as operator_class
+            from nb where ({_OPERATOR}) is not null and not (kind = '*' and coalesce(p1 = '*', false))""",
     )
     out["templates"] = statement(
         chain("code", "br"),
@@ -512,6 +514,12 @@ def nodes() -> dict[str, str]:
            cast(count(*) filter (kind = ';') + count(*) filter (asi_standard is not null) as bigint) as n_statements,
            count(*) / greatest(count(*) filter (kind = ';') + count(*) filter (asi_standard is not null), 1) as tokens_per_statement from asi group by 1""",
     )
+    out["nesting_quantiles"] = statement(
+        chain("code", "asi"),
+        """select [quantile_disc(d, 0.5), quantile_disc(d, 0.9), quantile_disc(d, 0.99)] as depth_quantiles,
+           [quantile_disc(n, 0.5), quantile_disc(n, 0.9), quantile_disc(n, 0.99)] as token_quantiles, max(n) as longest
+           from (select script_id, cast(max(depth) as bigint) as d, count(*) as n from asi group by 1)""",
+    )
     out["node_census"] = statement(
         _constructs_ctes("code"),
         """select node, ext, cast(sum(n) as bigint) as n_nodes, count(*) as n_scripts, cast(grouping(node, ext) as bigint) as level from
@@ -691,10 +699,16 @@ def traces() -> dict[str, str]:
         "trace_max_stack": statement(
             base, "select trace_id, coalesce(max(case when kind = 'split' then stack end), 0) as max_stack from ev group by 1"
         ),
-        "trace_compare": statement(
-            [*base, tokens_, by_token],
-            """select token, coalesce(a.n, 0) as n_a, coalesce(b.n, 0) as n_b, coalesce(b.n, 0) - coalesce(a.n, 0) as delta
-               from (select token, n from bt where trace_id = 0) a full join (select token, n from bt where trace_id = 1) b using (token)""",
+        "trace_compare": peak(
+            "('split', 'die', 'rename', 'cleanup', 'verdict')",
+            """select measure, name, n_a, n_b, n_b - n_a as delta from (
+                 select measure, name, cast(coalesce(sum(n) filter (trace_id = 0), 0) as bigint) as n_a, cast(coalesce(sum(n) filter (trace_id = 1), 0) as bigint) as n_b from (
+                   select trace_id, 'token' as measure, token as name, n from bt union all
+                   select trace_id, 'rule', rule || '@' || rule_line, n from bru union all
+                   select trace_id, 'max_stack', null, coalesce(max(case when kind = 'split' then stack end), 0) from ev group by 1 union all
+                   select trace_id, 'peak_alive', null, max(peak) from walk group by 1)
+                 where trace_id in (0, 1) group by 1, 2)""",
+            (tokens_, rules_, by_token, by_rule),
         ),
         "trace_peak_alive": peak("('split', 'die', 'rename', 'cleanup', 'verdict')"),
         "trace_peak_unbroken": peak("('split', 'die', 'rename')"),

@@ -1,3 +1,4 @@
+from lexframe.functions.paths import normalize
 from lexframe.operators import modules as M
 from pyspark.sql import functions as F
 
@@ -37,4 +38,4 @@ def test_reach_has_no_cap(spark):
 def test_paths(spark):
     cases = {"a/./b//c.js": "a/b//c.js", "/a/../b": "/b", "../x": "x", "a/b/../../c/.": "c", "": "", "./m.js": "m.js"}
     df = spark.createDataFrame(list(cases.items()), "p string, want string")
-    assert df.select(M.normalize(F.col("p")).alias("got"), "want").filter("got <> want").collect() == []
+    assert df.select(normalize(F.col("p")).alias("got"), "want").filter("got <> want").collect() == []

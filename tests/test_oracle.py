@@ -10,6 +10,7 @@ TABLES = "orders lineitem events documents pages".split()
 NAMES = [
     "page_scripts", "token_counts", "asi_points", "adjacency_errors", "imports", "calls", "methods",
     "error_type_counts", "log_sorted_by_size", "split_parent_rule", "topk_split_rules", "module_edges",
+    "module_reach", "trace_compare", "run_delta", "operators", "templates", "identifier_cardinality", "nesting_quantiles", "bracket_match",
 ]
 
 
@@ -43,5 +44,8 @@ def test_same_rows(spark, db, name):
     assert _rows(spark_frame) == _rows(oracle)
 
 
-def test_every_query_but_estimates_has_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"identifier_cardinality", "nesting_quantiles"}
+def test_every_query_has_sql():
+    from lexframe.plans.oracle_queries import all_statements
+    from lexframe.plans.registry import queries
+
+    assert set(queries()) == set(all_statements())
