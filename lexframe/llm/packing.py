@@ -23,66 +23,67 @@ from lexframe.llm.common import map_batches, small_batches
 
 END_ID = 0
 LIMIT = 1024
-CACHE = 600_000  # entries of the memo of a worker; it starts anew when full, which changes no result
+CACHE = 2_000_000  # entries of the memo of a worker; it starts anew when full, which changes no result
 
 _MEMO: dict[str, _Words] = {}
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" \s| \Z")
 
 
-class _Words(dict):
-    """Chunk of text -> its ids as little-endian 32-bit bytes, filled by the tokenizer.
+class _Words:
+    """Chunks of text -> their ids as little-endian 32-bit bytes, filled by the tokenizer.
 
-    The tokenizer always starts anew at a blank before a visible character, so a text may be cut there and its chunks be looked up.
-    A text with the special token's own string is encoded whole.
+    The tokenizer always starts anew at a blank before a visible character, so a text may be cut there and its chunks be looked up:
+    ``known`` has what follows such a blank, ``parts`` the pieces that the tokenizer's own pattern makes. A text with the special
+    token's own string is encoded whole.
     """
 
     def __init__(self, path: str):
-        super().__init__()
         import regex
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.encoder = Tokenizer.from_file(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
-        self.parts = regex.compile(PATTERN).findall
+        self.cut = regex.compile(PATTERN).findall
+        (self.line_end,) = self.encoder.encode("\n", add_special_tokens=False).ids
 
     def plain(self, text: str) -> bytes:
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        parts = self.parts(chunk)
-        for part in parts:
-            if part not in self:
-                self[part] = self.plain(part)
-        ids = self[chunk] = b"".join(map(self.get, parts))
-        return ids
-
-    def chunks(self, text: str) -> list[str]:
-        found = _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
-        return [found[0]] * bool(found[0]) + [" " + c for c in found[1:]]
-
     def learn(self, chunks: set[str]) -> None:
-        """Encodes the words among new chunks together: one call for many, cut by the tokenizer's own word numbers."""
-        new = {p for c in chunks if c not in self for p in self.parts(c) if p[0] == " " and p[1:].isalpha() and p not in self}
-        words = list(new)
-        for i in range(0, len(words), 1000):
-            some = words[i: i + 1000]
-            coded = self.encoder.encode("".join(some), add_special_tokens=False)
-            ids, of = coded.ids, np.asarray(coded.word_ids)
-            starts = np.flatnonzero(np.diff(of, prepend=-1)).tolist()
-            if len(starts) == len(some):  # else each is encoded when it is met
-                data = array("I", ids).tobytes()
-                for word, at, end in zip(some, starts, [*starts[1:], len(ids)], strict=True):
-                    self[word] = data[4 * at: 4 * end]
+        """Encodes new chunks; the words among them together, one call for many, with a line end after each to cut at."""
+        new = [c for c in chunks.difference(self.known)]
+        words = [c for c in new if c.isalpha()]
+        cut = {c: self.cut(" " + c) for c in new if not c.isalpha()}
+        inner = {p for parts in cut.values() for p in parts}
+        words += {p[1:] for p in inner if p[0] == " " and p[1:].isalpha()}.difference(self.known).difference(words)
+        for i in range(0, len(words), 4000):
+            some = words[i: i + 4000]
+            text = "\n".join([" " + w for w in some])
+            ids = np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self.line_end).tolist()
+            data = ids.tobytes()
+            if len(ends) == len(some) - 1:  # else each is encoded by itself
+                for word, at, end in zip(some, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
+                    self.known[word] = data[4 * at: 4 * end]
+            else:
+                self.known.update({w: self.plain(" " + w) for w in some})
+        for part in inner:
+            if part not in self.parts and not (part[0] == " " and part[1:] in self.known):
+                self.parts[part] = self.plain(part)
+        for chunk, parts in cut.items():
+            self.known[chunk] = b"".join([self.parts[p] if p in self.parts else self.known[p[1:]] for p in parts])
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self) > CACHE:
-            self.clear()
-        cut = [None if any(s in t for s in self.special) else self.chunks(t) for t in texts]
-        self.learn(set().union(*[c for c in cut if c]))
+        if len(self.known) + len(self.parts) > CACHE:
+            self.known, self.parts = {}, {}
+        cut = [None if any(s in t for s in self.special) else _BEFORE_WORD.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
+        self.learn(set().union(*[c[1:] for c in cut if c]))
         for text, chunks in zip(texts, cut, strict=True):
-            yield self.plain(text) if chunks is None else b"".join([self[c] for c in chunks])
+            yield self.plain(text) if chunks is None else self.plain(chunks[0]) + b"".join(map(self.known.get, chunks[1:]))
 
 
 def _words(path: str) -> _Words:
