@@ -219,7 +219,7 @@ _OUTCOME = f"""outcome as (select script_id, path, case when regexp_matches(path
 
 
 def checks() -> dict[str, str]:
-    rules_base = [*chain("code", "cond"), enclosing("cond"), *method_ctes("enc"), clause_cte("mth"), REST_END]
+    rules_base = [*chain("all", "cond"), enclosing("cond"), *method_ctes("enc"), clause_cte("mth"), REST_END]
     conditions = rule_conditions()
     groups = {
         "rule_bracket": ["bracket_unmatched", "bracket_crossing"],
@@ -239,7 +239,7 @@ def checks() -> dict[str, str]:
         for key, names in groups.items()
     }
     out["adjacency_errors"] = statement(
-        [*chain("code", "asi"), *pair_ctes("asi")], "select script_id, pos, left_class, right_class from adj where illegal"
+        [*chain("all", "asi"), *pair_ctes("asi")], "select script_id, pos, left_class, right_class from adj where illegal"
     )
     diag = diagnostic_ctes("all")
     out["all_diagnostics"] = statement(diag, "select script_id, pos, line, col, rule, message from diag")

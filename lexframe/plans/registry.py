@@ -14,7 +14,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def corpus(spark: SparkSession, sf_dir: str, which: str) -> DataFrame:
-    """``gen``: generated scripts; ``code``: with page scripts; ``all``: with prose as the negative corpus."""
+    """``gen``: generated scripts; ``code``: with page scripts; ``all``: with prose as the negative corpus.
+
+    Tokens, checks and verdicts are for any text, so they take all. Tables of code constructs take code: what they would find in
+    prose is chance. The module graph takes the scripts that have module paths.
+    """
     df = C.generated_scripts(spark, sf_dir)
     if which in ("code", "all"):
         df = df.unionByName(C.page_scripts(C.table(spark, sf_dir, "pages")))
@@ -40,6 +44,13 @@ def _on_tokens(fn: Callable[..., DataFrame], which: str, *args) -> Query:
     return lambda spark, sf_dir: fn(_tokens(spark, sf_dir, which), *args)
 
 
+def _on_scripts_with(mark: str, fn: Callable[..., DataFrame], which: str) -> Query:
+    """For a construct that no script without ``mark`` can hold: other texts are left out before they become tokens."""
+    from lexframe.operators.tokens import tokenize
+
+    return lambda spark, sf_dir: fn(tokenize(corpus(spark, sf_dir, which).filter(F.contains("src", F.lit(mark)))))
+
+
 def _on_log(fn: Callable[..., DataFrame]) -> Query:
     return lambda spark, sf_dir: fn(C.log_lines(C.table(spark, sf_dir, "events")))
 
@@ -237,15 +248,15 @@ def queries() -> dict[str, Query]:
         "function_position": _on_tokens(S.function_position, "code"),
         "asi_points": _on_tokens(S.asi_points, "code"),
         # checks
-        "rule_bracket": _on_tokens(R.rule_rows, "code", ["bracket_unmatched", "bracket_crossing"]),
-        "rule_newline_arrow": _on_tokens(R.rule_rows, "code", ["newline_arrow"]),
-        "rule_newline_yield": _on_tokens(R.rule_rows, "code", ["newline_yield"]),
-        "rule_accessor_arity": _on_tokens(R.rule_rows, "code", ["getter_arity", "setter_arity"]),
-        "rule_static_constructor": _on_tokens(R.rule_rows, "code", ["static_constructor"]),
-        "rule_class_prefix": _on_tokens(R.rule_rows, "code", ["class_prefix"]),
-        "rule_contextual": _on_tokens(R.rule_rows, "code", ["expected_from", "expected_as", "expected_of"]),
-        "rule_rest_last": _on_tokens(R.rule_rows, "code", ["rest_last"]),
-        "adjacency_errors": _on_tokens(R.adjacency_errors, "code"),
+        "rule_bracket": _on_tokens(R.rule_rows, "all", ["bracket_unmatched", "bracket_crossing"]),
+        "rule_newline_arrow": _on_tokens(R.rule_rows, "all", ["newline_arrow"]),
+        "rule_newline_yield": _on_tokens(R.rule_rows, "all", ["newline_yield"]),
+        "rule_accessor_arity": _on_tokens(R.rule_rows, "all", ["getter_arity", "setter_arity"]),
+        "rule_static_constructor": _on_tokens(R.rule_rows, "all", ["static_constructor"]),
+        "rule_class_prefix": _on_tokens(R.rule_rows, "all", ["class_prefix"]),
+        "rule_contextual": _on_tokens(R.rule_rows, "all", ["expected_from", "expected_as", "expected_of"]),
+        "rule_rest_last": _on_tokens(R.rule_rows, "all", ["rest_last"]),
+        "adjacency_errors": _on_tokens(R.adjacency_errors, "all"),
         "all_diagnostics": _on_tokens(R.all_diagnostics, "all"),
         "script_verdict": flagship,
         "test_report": _test_report,
@@ -296,4 +307,6 @@ def queries() -> dict[str, Query]:
         "member_access", "operators", "templates", "patterns", "generators_async", "feature_stage", "nesting_stats",
     ]:
         out[name] = _on_tokens(getattr(N, name), "code")
+    for name, mark in {"imports": "import", "exports": "export", "classes": "class", "arrows": "=>", "templates": "`"}.items():
+        out[name] = _on_scripts_with(mark, getattr(N, name), "code")
     return out
