@@ -92,10 +92,17 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 def sample(docs: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """At most ``per_language`` documents of each language: those with the smallest hashes of their ids."""
-    chosen = docs.select("lang", "doc_id", F.xxhash64("text").alias("h")).select(
-        "lang", "doc_id", "h", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")).alias("n")
-    ).filter(F.col("n") <= per_language)
-    return docs.withColumn("h", F.xxhash64("text")).join(chosen.select("lang", "doc_id", "h").distinct(), ["lang", "doc_id", "h"], "left_semi").select("lang", "doc_id", "text")
+    sizes = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes:
+        return docs.select("lang", "doc_id", "text")
+    # a share of the hash range that holds about four times the sample: no task sorts a whole language
+    share = F.element_at(F.create_map(*[F.lit(x) for l, n in sizes.items() for x in (l, min(1.0, 4 * per_language / n))]), F.col("lang"))
+    some = docs.select("lang", "doc_id", F.xxhash64("text").alias("h"), F.xxhash64("doc_id").alias("place")).filter(
+        (F.col("place") / 2.0**64 + 0.5) <= share)
+    rank = F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id", "h"))
+    chosen = some.withColumn("n", rank).filter(F.col("n") <= per_language).select("lang", "doc_id", "h").distinct()
+    # per_language rows of each language at most, fewer than the weights that the model sends to the tasks
+    return docs.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "doc_id", "h"], "left_semi").select("lang", "doc_id", "text")
 
 
 class Model:

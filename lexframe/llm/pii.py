@@ -236,7 +236,7 @@ def fit(docs: DataFrame, size: int = SAMPLE) -> Selector:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield {"doc_id": pa.array(columns[0], pa.int64())} | {n: pa.array(columns[i + 1], pa.string()) for i, n in enumerate(("kind", "a", "b", "c"))}
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(some, "doc_id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(some), "doc_id", "left_semi")  # size ids
     rows = map_batches(texts, examples, "doc_id long, kind string, a string, b string, c string").limit(8 * size).collect()
     return learn([(r.kind, r.a, r.b, r.c) for r in sorted(rows, key=lambda r: (r.doc_id, r.kind, r.a, r.b, r.c))])
 
