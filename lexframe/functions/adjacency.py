@@ -109,11 +109,16 @@ def legal_pairs() -> list[tuple[str, str]]:
     return sorted((left, right) for left, rights in _legal().items() for right in rights)
 
 
-def right_class(df_kind: Column, text: Column, p1: Column, n1: Column) -> Column:
+#: Before the name of a method, where any word may stand.
+METHOD_LEAD = ["get", "set", "static", "async", "*", ","]
+
+
+def right_class(df_kind: Column, text: Column, p1: Column, n1: Column, p1t: Column) -> Column:
     """Class of a token as the right one of a pair."""
     kind = df_kind
     word = kind.isin(WORDS + ["IDENTIFIER"])
-    key = kind.isin(WORDS) & (n1 == ":") & p1.isin("{", ",")
+    named = (n1 == "(") & p1t.isin(METHOD_LEAD) & ~kind.isin("FUNCTION", "AWAIT", "YIELD")
+    key = kind.isin(WORDS) & (((n1 == ":") & p1.isin("{", ",")) | F.coalesce(named, F.lit(False)))
     return (
         F.when((p1 == ".") & word, "PROPERTY")
         .when(key, "NAME")

@@ -175,7 +175,7 @@ def rule_rows(tokens: DataFrame, rules: list[str]) -> DataFrame:
 
 def with_pairs(df: DataFrame, mode: str = "standard") -> DataFrame:
     """Adds the classes of each token and its left neighbour, an inserted semicolon taking part."""
-    right = A.right_class(F.col("kind"), F.col("text"), F.col("p1"), F.col("n1"))
+    right = A.right_class(F.col("kind"), F.col("text"), F.col("p1"), F.col("n1"), F.lag("text").over(by_pos()))
     df = df.withColumn("right_class", right).withColumn("own_left", A.left_class(F.col("right_class")))
     left = F.when(F.col(f"asi_{mode}").isNotNull(), ";").otherwise(
         F.coalesce(F.lag("own_left").over(by_pos()), F.lit("BOS"))

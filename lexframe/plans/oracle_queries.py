@@ -176,6 +176,7 @@ def pair_ctes(source: str) -> list[str]:
     class_body = in_list([k for k in S.CAN_END if k != "DEFAULT"] + ["CLASS"])
     right = f"""case when p1 = '.' and kind in {WORDS_OR_ID} then 'PROPERTY'
         when kind in {in_list(A.WORDS)} and n1 = ':' and p1 in ('{{', ',') then 'NAME'
+        when kind in {in_list(A.WORDS)} and n1 = '(' and p1t in {in_list(A.METHOD_LEAD)} and kind not in ('FUNCTION', 'AWAIT', 'YIELD') then 'NAME'
         when kind = 'IDENTIFIER' and text in {in_list(A.CONTEXTUAL)} then upper(text)
         when kind in {NAMES} then 'NAME' when kind in ('NUMBER', 'REGEX', 'TRUE', 'FALSE', 'NULL') then 'LITERAL'
         when kind in ('THIS', 'SUPER') then 'SELF' when kind in ('TEMPLATE_NO_SUB', 'TEMPLATE_HEAD') then 'TEMPLATE'

@@ -47,6 +47,8 @@ VALID = [
     'var empty = {}, none = [], fnc = function () {}, arrow = () => {};\nfunction named() {}\nclass Bare {}\nif (empty) ; else none;\nwhile (false);\n',
     'async function main() {\n  await step(@K);\n  const all = await Promise.all([one(), two()]);\n  return all;\n}\nmain();\n',
     '\n\n   \t// only a comment @K\n/* and a block */\n',
+    'class Words@K {\n  get default() {\n    return @C;\n  }\n  set delete(v) {\n    this.v = v ** 2;\n  }\n  static new() {\n    return 1;\n  }\n  async import(u) {\n    return u;\n  }\n'
+    '  *in() {\n    yield 1;\n  }\n}\nconst words = { a, if() {\n  return "@S";\n}, async for(x) {} };\n',
     'a = b\n/re@C/g.exec(c);\nvar t = typeof /x/;\nvar m = [/a/, /b/i];\nvar g = { r: /c/ };\n',
 ]
 
