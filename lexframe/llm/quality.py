@@ -14,24 +14,22 @@ says toxic). Long texts are scored whole. An empty table gives no rows. Other co
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexframe.llm.blocks import blocks_of, texts_of
 from lexframe.llm.common import checkpoint, map_batches
-from lexframe.sources.workdir import new_dir
 
 ORDER = 4
-BLOCK = 1 << 23  # characters
+BLOCK = 1 << 23  # bytes
 QUANTILE = 0.998
 PART = 1 << 20
+SALTS = 64
 OTHER = 0xFFFF
 START = 1
 
@@ -63,46 +61,6 @@ def _parts(texts: list[str]) -> Iterator[tuple[int, list[str]]]:
             start, size = i + 1, 0
 
 
-def _unpack(payload: bytes, sizes) -> list[str]:
-    raw = zstandard.ZstdDecompressor().decompress(payload)
-    ends = np.cumsum(np.asarray(sizes, np.int64)).tolist()
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-
-
-def blocks_of(docs: DataFrame) -> DataFrame:
-    """``block, ids, langs, sizes, payload``: a bucketed table in the shared folder, one file for some blocks."""
-    spark = docs.sparkSession
-
-    def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        base, made = TaskContext.get().partitionId() << 24, 0
-        ids, langs, raw, size = [], [], [], 0
-
-        def block() -> dict:
-            return {"block": pa.array([base + made], pa.int64()), "ids": pa.array([ids], pa.list_(pa.int64())), "langs": pa.array([langs], pa.list_(pa.string())),
-                    "sizes": pa.array([[len(r) for r in raw]], pa.list_(pa.int64())),
-                    "payload": pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(raw))], pa.binary())}
-
-        for batch in batches:
-            for doc_id, lang, text in zip(*[batch.column(i).to_pylist() for i in range(3)], strict=True):
-                ids.append(doc_id)
-                langs.append(lang)
-                raw.append((text or "").encode("utf-8", "replace"))
-                size += len(raw[-1])
-                if size >= BLOCK:
-                    yield block()
-                    made += 1
-                    ids, langs, raw, size = [], [], [], 0
-        if ids:
-            yield block()
-
-    source = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    buckets = min(max(source.rdd.getNumPartitions(), 1), 50_000)
-    made = map_batches(source, collect, "block long, ids array<long>, langs array<string>, sizes array<long>, payload binary")
-    name = f"quality_blocks_{uuid.uuid4().hex}"
-    made.write.bucketBy(buckets, "block").option("path", new_dir(spark, name)).saveAsTable(name)
-    return spark.table(name)
-
-
 def trusted_ids(labels: DataFrame) -> DataFrame:
     facts = labels.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").alias("q"), F.max("toxic").alias("t"))
     return facts.filter("doc_id is not null and q = 1 and coalesce(t, 0) <> 1").select("doc_id")
@@ -110,20 +68,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 def count_grams(blocks: DataFrame, trusted: DataFrame) -> DataFrame:
     """``key, n``: n-grams of the highest order in the trusted documents."""
-    inside = blocks.select("block", F.explode("ids").alias("doc_id")).join(trusted, "doc_id").groupBy("block").agg(F.collect_set("doc_id").alias("chosen"))
-    flagged = blocks.join(inside, "block").select("ids", "sizes", "payload", "chosen")
+    chosen = blocks.select("block", F.explode("ids").alias("doc_id")).join(trusted, "doc_id").select(F.col("block").alias("at"), "doc_id")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                chosen = set(row["chosen"])
-                texts = [t for i, t in zip(row["ids"], _unpack(row["payload"], row["sizes"]), strict=True) if i in chosen]
-                found = [np.unique(keys_of(part)[0][-1], return_counts=True) for _, part in _parts(texts)]
-                if found:
-                    key, where = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
-                    yield {"key": pa.array(key.view(np.int64)), "n": pa.array(np.bincount(where, np.concatenate([f[1] for f in found])).astype(np.int64))}
+    def count(block: pd.DataFrame, inside: pd.DataFrame) -> pd.DataFrame:
+        ids = set(inside["doc_id"].tolist())
+        out = [pd.DataFrame({"key": [], "n": []}, dtype="int64")]
+        for own, sizes, payload in zip(block["ids"], block["sizes"], block["payload"], strict=True):
+            texts = [t for i, t in zip(own, texts_of(payload, sizes), strict=True) if i in ids]
+            found = [np.unique(keys_of(part)[0][-1], return_counts=True) for _, part in _parts(texts)]
+            if found:
+                key, where = np.unique(np.concatenate([f[0] for f in found]), return_inverse=True)
+                out.append(pd.DataFrame({"key": key.view(np.int64), "n": np.bincount(where, np.concatenate([f[1] for f in found])).astype(np.int64)}))
+        return pd.concat(out)
 
-    return map_batches(flagged, count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    grouped = blocks.select("block", "ids", "sizes", "payload").groupBy("block")
+    counts = grouped.cogroup(chosen.groupBy("at")).applyInPandas(count, "key long, n long")
+    return counts.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(counts: DataFrame) -> DataFrame:
@@ -160,7 +120,7 @@ def _questions(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for row in batch.to_pylist():
             asked = [np.zeros(1, np.uint64)]
-            for _, part in _parts(_unpack(row["payload"], row["sizes"])):
+            for _, part in _parts(texts_of(row["payload"], row["sizes"])):
                 asked.append(np.unique(keys_of(part)[0][-1]))
             top = np.unique(np.concatenate(asked))
             every = [top]
@@ -188,9 +148,9 @@ def log_probabilities(top: np.ndarray, key: np.ndarray, alpha: np.ndarray, gamma
 
 def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, lang, perplexity`` of every document."""
-    blocks = blocks_of(docs)
+    blocks = blocks_of(docs, BLOCK, lang=True)
     model = checkpoint(train(count_grams(blocks, trusted_ids(labels))))
-    symbols = model.filter("key > 0 and key < 65536").count() + 1
+    symbols = model.filter("alpha is not null and key > 0 and key < 65536").count() + 1
     asked = map_batches(blocks.select("block", "sizes", "payload"), _questions, "block long, key long")
     answers = asked.join(model, "key").select("block", "key", "alpha", "gamma")
 
@@ -201,7 +161,7 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
         out = []
         for ids, langs, sizes, payload in zip(block["ids"], block["langs"], block["sizes"], block["payload"], strict=True):
             values: list[float] = []
-            for _, part in _parts(_unpack(payload, sizes)):
+            for _, part in _parts(texts_of(payload, sizes)):
                 grams, lengths = keys_of(part)
                 if not len(key):
                     values += [np.nan] * len(part)
@@ -226,5 +186,8 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
     limit = F.percentile_approx("perplexity", quantile, 10_000)
     by_lang = known.filter("lang is not null").groupBy("lang").agg(limit.alias("own"))
     threshold = F.coalesce("own", F.lit(known.agg(limit).first()[0]).cast("double"))
-    return scored.join(by_lang, "lang", "left").select(
+    # a language may have most documents: its rows and its limit are spread over SALTS keys
+    salted = scored.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    limits = by_lang.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return salted.join(limits, ["lang", "salt"], "left").select(
         "doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= threshold, F.lit(True)).alias("kept"))
