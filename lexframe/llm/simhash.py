@@ -31,7 +31,6 @@ SHINGLE = 4
 RADIUS = 4
 SEED = 42
 FAN = 8
-_ROW = "_near_dedup_row"
 SLICE = 1 << 18  # node pairs looked at together
 
 
@@ -54,16 +53,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, size: int = SHINGLE, row: str | None = None) -> DataFrame:
-    """``doc_id, text`` -> ``doc_id, fp``: the fingerprint as a signed long; ``row`` names a column of longs to carry along."""
-    also = [F.col(row).alias("row")] if row else []
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``doc_id, text`` -> ``doc_id, fp``: the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, texts in small_batches(batches):
             found = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
-            yield {"doc_id": batch.column(0), "fp": pa.array(found)} | ({"row": batch.column(2)} if row else {})
+            yield {"doc_id": batch.column(0), "fp": pa.array(found)}
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text", *also), run, "doc_id long, fp long" + ", row long" * len(also))
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, fp long")
 
 
 def _layouts(blocks: int) -> list[list[tuple[int, int]]]:
@@ -174,18 +172,3 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
-
-
-def representatives(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """One row of ``docs`` for each group of near duplicates: that of the smallest doc_id (nulls last), of its rows the first in the input.
-
-    The input is read twice and its rows numbered each time: give a table on disk, or a checkpointed frame.
-    """
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row")
-    rows = checkpoint(fingerprints(numbered, size, _ROW))
-    firsts = rows.groupBy("fp").agg(F.min(place).alias("place"))
-    comps = components(links(firsts.select("fp"), radius))
-    named = firsts.join(comps, firsts["fp"] == comps["node"], "left").select("place", F.coalesce("component", "fp").alias("c"))
-    winners = named.groupBy("c").agg(F.min("place").alias("place")).select(F.col("place.row").alias(_ROW))
-    return numbered.join(winners, _ROW, "left_semi").select(*docs.columns)

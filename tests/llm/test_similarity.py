@@ -66,11 +66,32 @@ def test_simhash_against_brute_force(spark):
     want = sorted((i is None, i, f"{p:016x}", least[t]) for (i, _), p, t in zip(docs, prints, tops, strict=True))
     got = S.near_duplicates(df).collect()
     assert sorted((r.doc_id is None, r.doc_id, r.fingerprint, r.component_id) for r in got) == want
+    assert S.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_similar_documents_by_shingles(spark):
+    from lexframe.llm import shingledup as Q
     from lexframe.llm.common import checkpoint
 
-    kept = S.representatives(checkpoint(df)).collect()
-    assert sorted(r.doc_id for r in kept) == sorted(set(least.values())) and kept[0].fp == "clash"
-    assert S.near_duplicates(df.limit(0)).count() == 0
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    docs, truth = [], {}
+    for g in range(40):
+        words = [rng.choice(["the", "of", "and"]) if rng.random() < 0.3 else word() for _ in range(rng.randint(150, 500))]
+        for k in range(rng.randint(1, 3)):
+            copy = list(words)
+            for _ in range(len(words) * k // 100):  # a changed word changes five shingles
+                copy[rng.randrange(len(copy))] = word()
+            truth[len(docs)] = g
+            docs.append((len(docs), " ".join(copy).upper() if k == 2 else " ".join(copy)))
+    docs += [(900, None), (901, ""), (902, "one two"), (903, "Two one"), (0, docs[0][1]), (None, docs[1][1]), (None, "alone here")]
+    df = checkpoint(spark.createDataFrame(docs, "doc_id long, text string").withColumn("sig", F.lit("clash")))
+    kept = Q.representatives(df).collect()
+    want = {min(i for i, g in truth.items() if g == x) for x in truth.values()} | {900, 902, 903}
+    ids = [r.doc_id for r in kept]
+    assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1 and kept[0].sig == "clash"
+    assert Q.representatives(df.limit(0)).count() == 0
+    assert [Q.plan(n)[0] for n in (1, 10**5, 10**8, 10**12)] == [16, 16, 25, 32]
 
 
 def test_vectors_against_brute_force(spark):
