@@ -100,8 +100,15 @@ def train(counts: DataFrame) -> DataFrame:
         context = F.shiftrightunsigned("key", 16) if order > 1 else F.lit(0).cast("long")
         facts = level.select("key", "n", cut.alias("cut"), context.alias("context"))
         sums = facts.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("held"))
-        alpha = facts.join(sums, "context").select("key", ((F.col("n") - F.col("cut")) / F.col("total")).alias("alpha"), F.lit(None).cast("double").alias("gamma"))
-        gamma = sums.select(F.col("context").alias("key"), F.lit(None).cast("double").alias("alpha"), (F.col("held") / F.col("total")).alias("gamma"))
+        none = F.lit(None).cast("double")
+        share, rest = (F.col("n") - F.col("cut")) / F.col("total"), F.col("held") / F.col("total")
+        if order > 1:
+            whole = facts.join(sums, "context")
+        else:  # one context: its sums are two numbers
+            root = facts.agg(F.sum("n").alias("total"), F.sum("cut").alias("held")).first()
+            whole = facts.withColumn("total", F.lit(root.total))
+        alpha = whole.select("key", share.alias("alpha"), none.alias("gamma"))
+        gamma = sums.select(F.col("context").alias("key"), none.alias("alpha"), rest.alias("gamma"))
         both = alpha.unionByName(gamma)
         rows = both if rows is None else rows.unionByName(both)
     return rows.groupBy("key").agg(F.max("alpha").cast("float").alias("alpha"), F.max("gamma").cast("float").alias("gamma"))
