@@ -8,11 +8,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexframe.sources.shipping import ship
 from lexframe.sources.workdir import checkpoint
 
-__all__ = ["checkpoint", "components", "forest", "map_batches", "ramp", "read", "runs", "ship", "small_batches"]
+__all__ = ["append", "checkpoint", "components", "forest", "map_batches", "ramp", "read", "runs", "ship", "small_batches"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +55,21 @@ def _fields(schema: str) -> list[str]:
     return [*out, schema[start:]]
 
 
+def append(df: DataFrame, text: str, fn, added: str) -> DataFrame:
+    """Rows with the columns ``added`` that ``fn(slice, texts)`` makes; slices are small, so long texts do not pile up in a worker."""
+    ship(df.sparkSession)
+    new = T.StructType.fromDDL(added)
+    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in [*df.schema.fields, *new.fields]])
+    names, at, made = schema.names, df.columns.index(text), new.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in small_batches(batches, at):
+            columns = fn(part, texts)
+            yield pa.RecordBatch.from_arrays([*part.columns, *[columns[n] for n in made]], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def ramp(counts: np.ndarray) -> np.ndarray:
     """0 .. n - 1 for each count n, one after the other."""
     ends = np.cumsum(counts)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import checkpoint, map_batches, ship
+from lexframe.llm.common import append, checkpoint, map_batches, ship
 
 WINDOW = 64
 STRIDE = 32
@@ -290,17 +290,14 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         if not any(words_of(i[1]) for i in items):
             continue
         shared = docs.sparkSession.sparkContext.broadcast(fit(docs, items, some))
-        names = [f.name for f in docs.schema.fields]
-
-        @F.pandas_udf("struct<items: array<long>, share: double>")
-        def search(texts, shared=shared):
-            import pandas as pd
 
+        def search(_, texts: list, shared=shared) -> dict:
             found = [shared.value.matches(t) for t in texts]
-            return pd.DataFrame({"items": [sorted(x) for x in found], "share": [max(x.values(), default=0.0) for x in found]})
+            return {"_found": pa.array([sorted(x) for x in found], pa.list_(pa.int64())),
+                    "_most": pa.array([max(x.values(), default=0.0) for x in found], pa.float64())}
 
-        out = out.withColumn("_found", search("text")).select(
-            *names, F.array_sort(F.array_union("_items", "_found.items")).alias("_items"), F.greatest("_share", "_found.share").alias("_share"))
+        out = append(out, "text", search, "_found array<long>, _most double").select(
+            *docs.columns, F.array_sort(F.array_union("_items", "_found")).alias("_items"), F.greatest("_share", "_most").alias("_share"))
     return out
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import map_batches, small_batches
+from lexframe.llm.common import append, map_batches, small_batches
 
 ORDERS = (1, 2, 3)
 BITS = 15  # 2 ** BITS hashed features, the size of all that is sent to the driver
@@ -209,10 +209,8 @@ def annotate(docs: DataFrame, model: Model, lang: str, score: str) -> DataFrame:
     """The rows of ``docs`` with the predicted language and its score in columns of the given names."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("struct<lang: string, score: double>")
-    def told(texts):
-        import pandas as pd
+    def told(_, texts: list) -> dict:
+        found = [shared.value.predict(t) for t in texts]
+        return {lang: pa.array([x[0] for x in found], pa.string()), score: pa.array([x[1] for x in found], pa.float64())}
 
-        return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang", "score"])
-
-    return docs.withColumn(lang, told("text")).select(*docs.columns, F.col(f"{lang}.lang").alias(lang), F.col(f"{lang}.score").alias(score))
+    return append(docs, "text", told, f"{lang} string, {score} double")

@@ -20,11 +20,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import map_batches, small_batches
+from lexframe.llm.common import append, map_batches, small_batches
 
 WINDOW = 3
 _ROW = "_line_dedup_row"
 _STARTS = "_line_dedup_starts"
+_TEXT, _COUNT = "_line_dedup_text", "_line_dedup_count"
 
 
 def window_hashes(text: str | None, size: int = WINDOW) -> list[bytes]:
@@ -75,13 +76,11 @@ def dedup_lines(docs: DataFrame, size: int = WINDOW) -> DataFrame:
     numbered = _numbered(docs)
     joined = numbered.join(repeated_windows(numbered, size), _ROW, "left")
 
-    @F.pandas_udf("struct<text: string, n: long>")
-    def rest(texts, starts):
-        import pandas as pd
+    place = joined.columns.index(_STARTS)
 
-        done = [(t, 0) if s is None else remove_lines(t, s, size) for t, s in zip(texts, starts, strict=True)]
-        return pd.DataFrame(done, columns=["text", "n"])
+    def rest(part: pa.RecordBatch, texts: list) -> dict:
+        done = [(t, 0) if s is None else remove_lines(t, s, size) for t, s in zip(texts, part.column(place).to_pylist(), strict=True)]
+        return {_TEXT: pa.array([d[0] for d in done], pa.string()), _COUNT: pa.array([d[1] for d in done], pa.int64())}
 
-    out = joined.withColumn(_STARTS, rest("text", _STARTS))
-    return out.select(*[F.col(f"{_STARTS}.text").alias(c) if c == "text" else F.col(c) for c in docs.columns],
-                      F.col(f"{_STARTS}.n").alias("n_lines_removed"))
+    out = append(joined, "text", rest, f"{_TEXT} string, {_COUNT} long")
+    return out.select(*[F.col(_TEXT).alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col(_COUNT).alias("n_lines_removed"))
