@@ -211,3 +211,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids["packing"]) == set(ids["decontamination"])
     assert out["line_dedup"].filter("n_chars <> length(text)").count() == 0
     assert P.run(spark, str(tmp_path)).select("doc_id").distinct().count() == len(ids["decontamination"])
+
+
+def test_prefixes_meet_for_every_kind_of_edit():
+    from lexframe.llm import shingledup as Q
+
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    seen = 0
+    for n in [5, 8, 9, 12, 30, 100, 400, 2000] * 25:
+        words = [word() for _ in range(n)]
+        cut = max(1, round(n * rng.uniform(0.02, 0.2)))
+        for copy in (words[:-cut], words + [word() for _ in range(cut)], words[cut:], words[: n // 2] + [word()] + words[n // 2:]):
+            a, b = Q.shingles(" ".join(words)), Q.shingles(" ".join(copy))
+            both = len(np.intersect1d(a, b))
+            if 9 * both >= 4 * (len(a) + len(b)):
+                seen += 1
+                common = np.unique(rng.choices(a.tolist(), k=len(a) // 3 + 1)).astype(np.uint64)  # any order is right
+                for heavy, rank in ((common, np.arange(len(common)) + 1), (common[:0], np.zeros(0, np.int64))):
+                    assert len(np.intersect1d(Q.prefix(a, heavy, rank), Q.prefix(b, heavy, rank)))
+    assert seen > 300
