@@ -231,3 +231,23 @@ def test_prefixes_meet_for_every_kind_of_edit():
                 for heavy, rank in ((common, np.arange(len(common)) + 1), (common[:0], np.zeros(0, np.int64))):
                     assert len(np.intersect1d(Q.prefix(a, heavy, rank), Q.prefix(b, heavy, rank)))
     assert seen > 300
+
+
+def test_near_dedup_finds_appended_cut_and_short_copies(spark):
+    from lexframe.llm import shingledup as Q
+    from lexframe.llm.common import checkpoint
+
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    texts = []
+    for n in [8, 10, 14, 60, 150, 400] * 20:
+        words = [word() for _ in range(n)]
+        k = max(1, round((n - 4) * rng.choice([0.1, 0.15, 0.19])))
+        texts += [" ".join(words), " ".join(rng.choice([words[:-k], words[k:], words + [word() for _ in range(k)]]))]
+    hub = [word() for _ in range(200)]  # a group with different texts, some too far from each other
+    texts += [" ".join([word() for _ in range(rng.choice([0, 8, 15]))] + hub) for _ in range(60)]
+    sets = [set(Q.shingles(t).tolist()) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    want = sorted(set(groups(len(texts), pairs)))
+    df = checkpoint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in Q.representatives(df).collect()) == want
