@@ -1,10 +1,11 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items are cut into passages, weighted by TF-IDF (frequencies over all documents) and factored by a distributed randomised SVD: a
-Gaussian sketch, power iterations by sums of partial products, then an eigen-decomposition of one small matrix. Every document is cut
-into overlapping windows of words; windows near an item in the latent space (cosine) are compared with it by longest common
-subsequence of the words that tell (those not in a tenth of all documents), and with the item's answer (its ``answer`` column, else its
-last sentence).
+Benchmark items are cut into passages, weighted by TF-IDF (frequencies over all documents; the weight of a word everywhere is half that of one
+nowhere, so that an item many documents hold keeps its place) and factored by a distributed randomised SVD: a Gaussian sketch, power iterations by
+sums of partial products, then an eigen-decomposition of one small matrix. Every document is cut into overlapping windows of words. A region
+(a window with an item's length on both sides) is an item's if their longest common subsequence of the words that tell (those not in a tenth of all
+documents) has half of the item's, or if it has ``PARAPHRASE``, the item's answer is there (its ``answer`` column, else its last sentence) and the window is near the item
+in the latent space (cosine). A region with fewer of the item's words than the subsequence needs cannot be, and only those are passed over.
 
 Bounds: vocabulary and factors of at most ``MAX_WORDS`` benchmark words are sent to the tasks at a time; a larger benchmark is worked
 through in parts by item, with the same result. Documents are never gathered.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import append, checkpoint, map_batches, ship
+from lexframe.llm.common import append, checkpoint, map_batches, ramp, ship
 
 WINDOW = 64
 STRIDE = 32
@@ -32,8 +33,7 @@ RANK = 192
 OVERSAMPLE = 16
 POWER = 2
 MAX_WORDS = 1 << 16  # distinct benchmark words a part may have; RANK floats each
-MASS = 0.04  # share of a window's squared weight that benchmark words must hold
-COSINE = 0.35
+COSINE = 0.35  # of a window and an item of which it may be a paraphrase
 SEQUENCE = 0.5  # of the telling words of an item, in order, within the region
 PARAPHRASE = 0.35  # the same if the answer is there too
 COMMON = 0.1  # words in more than this share of the documents do not count in common subsequences ...
@@ -88,60 +88,71 @@ def _sum_by_feature(partial: DataFrame, width: int) -> DataFrame:
 class Latent:
     """Words -> rows of the right factor, their weights, and the benchmark passages in the latent space."""
 
-    def __init__(self, words: dict[str, int], idf: np.ndarray, rare: float, factor: np.ndarray):
-        self.words, self.idf, self.rare, self.factor = words, idf, rare, factor
+    def __init__(self, words: dict[str, int], idf: np.ndarray, weight: np.ndarray, factor: np.ndarray):
+        self.words, self.weight, self.factor = words, weight, factor
         self.items: list[tuple[int, int, list[int], list[int], bool]] = []
         self.telling = np.append(idf[:-1] >= -np.log(COMMON), False)
-        self.of = np.zeros(0, np.int64)
-        self.points = np.zeros((0, factor.shape[1]))
+        self.points: list[np.ndarray] = []  # of each item, its passages in the latent space
+        self.edge, self.holds = np.zeros(len(words) + 1, np.int64), np.zeros(0, np.int64)  # word -> items that want it
+        self.least, self.enough = np.zeros(0, np.int64), np.zeros(0, np.int64)  # words of an item that a region needs
 
     def ids(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
 
     def project(self, ids: np.ndarray) -> np.ndarray:
         known = ids[ids >= 0]
-        return (self.idf[known, None] * self.factor[known]).sum(axis=0)
+        return (self.weight[known, None] * self.factor[known]).sum(axis=0)
 
     def add_items(self, items: list[tuple[int, str, str | None]]) -> None:
-        points, of = [], []
         for item_id, text, answer in items:
             words = words_of(text)
             if not words:
                 continue
-            for passage in _passages(words):
-                z = self.project(self.ids(passage))
-                norm = np.sqrt(z @ z)
-                if norm > 1e-12:
-                    points.append(z / norm)
-                    of.append(len(self.items))
+            points = [self.project(self.ids(passage)) for passage in _passages(words)]
+            norms = [np.sqrt(z @ z) for z in points]
+            points = [z / norm for z, norm in zip(points, norms, strict=True) if norm > 1e-12]
+            self.points.append(np.array(points).reshape(-1, self.factor.shape[1]))
             whole, told = self.ids(words), self.ids(answer_of(text, answer))
             telling = int(self.telling[whole].sum()) >= FEW
             pick = (lambda ids: ids[self.telling[ids]].tolist()) if telling else (lambda ids: ids[ids >= 0].tolist())
             self.items.append((item_id, len(words), pick(whole), pick(told), telling))
-        if points:
-            self.points, self.of = np.array(points), np.array(of)
+        wanted = [np.unique(np.array(i[2], np.int64)) for i in self.items]
+        word = np.concatenate([np.zeros(0, np.int64), *wanted])
+        item = np.repeat(np.arange(len(wanted)), [len(w) for w in wanted])
+        self.holds = item[np.argsort(word, kind="stable")]
+        self.edge = np.searchsorted(np.sort(word), np.arange(len(self.words) + 1))
+        self.least, self.enough = (np.array([_least(len(i[2]), share) for i in self.items], np.int64) for share in (PARAPHRASE, SEQUENCE))
 
     def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(first word of a window, item index) of windows near an item."""
-        weight = np.where(ids >= 0, self.idf[ids], self.rare) ** 2  # position -1 stands for words of no item
-        known = np.where(ids >= 0, weight, 0.0)
-        all_sum, known_sum = np.concatenate(([0.0], np.cumsum(weight))), np.concatenate(([0.0], np.cumsum(known)))
+        """(first word of a window, item index) of all windows whose region has the words that a match needs."""
+        at = np.flatnonzero(ids >= 0)
+        first = self.edge[ids[at]]
+        n = self.edge[ids[at] + 1] - first
+        item, place = self.holds[np.repeat(first, n) + ramp(n)], np.repeat(at, n)
+        full = (np.bincount(item, minlength=len(self.items)) >= self.least)[item]
+        item, place = item[full], place[full]
+        order = np.argsort(item, kind="stable")
+        item, place = item[order], place[order]
         starts = np.arange(0, max(1, len(ids) - STRIDE), STRIDE)
         ends = np.minimum(starts + WINDOW, len(ids))
-        worth = known_sum[ends] - known_sum[starts] > MASS * (all_sum[ends] - all_sum[starts])
-        chosen = starts[worth]
-        for at in range(0, len(chosen), 256):
-            some = chosen[at: at + 256]
-            z = np.array([self.project(ids[s: s + WINDOW]) for s in some.tolist()])
-            norm = np.sqrt((z * z).sum(axis=1))
-            near = (z @ self.points.T) >= COSINE * np.maximum(norm, 1e-12)[:, None]
-            for row, column in zip(*np.nonzero(near), strict=True):
-                yield int(some[row]), int(self.of[column])
+        cuts = np.flatnonzero(np.diff(item, prepend=-1))
+        for low, high in zip(cuts.tolist(), np.append(cuts, len(item))[1:].tolist(), strict=True):
+            i, p = int(item[low]), place[low:high]
+            reach = self.items[i][1]
+            some = np.searchsorted(p, ends) > np.searchsorted(p, starts)
+            near = np.searchsorted(p, ends + reach) - np.searchsorted(p, starts - reach)
+            for s in starts[some & (near >= self.enough[i])].tolist():
+                yield s, i
+            if self.items[i][3]:
+                for s in starts[some & (near >= self.least[i]) & (near < self.enough[i])].tolist():
+                    z = self.project(ids[s: s + WINDOW])
+                    if len(self.points[i]) and (self.points[i] @ z).max() >= COSINE * max(np.sqrt(z @ z), 1e-12):
+                        yield s, i
 
     def matches(self, text: str | None) -> dict[int, float]:
         """Item ids found in a text, with their share of common subsequence."""
         out: dict[int, float] = {}
-        if not len(self.points) or not text:
+        if not self.items or not text:
             return out
         words = words_of(text)
         longest = max(i[1] for i in self.items)
@@ -154,7 +165,7 @@ class Latent:
                 reach = self.items[item][1]
                 low, high = max(0, start - reach), min(len(part), start + WINDOW + reach)
                 known = regions.setdefault(item, [])
-                if known and known[-1][1] >= high - STRIDE and known[-1][0] <= low:
+                if known and known[-1][1] >= high and known[-1][0] <= low:
                     continue
                 known.append((low, high))
             for item, spans in regions.items():
@@ -168,6 +179,11 @@ class Latent:
         return out
 
 
+def _least(n: int, share: float) -> int:
+    """The smallest count that is ``share`` of ``n`` or more."""
+    return next(k for k in range(max(0, int(share * n) - 1), n + 1) if k / n >= share)
+
+
 def document_frequencies(docs: DataFrame, words: dict[str, int]) -> tuple[np.ndarray, int]:
     """In how many documents each of the given words is; over all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
@@ -256,7 +272,7 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], benchmark: Da
     words = {w: i for i, w in enumerate(sorted({w for _, text, _ in items for w in words_of(text)}))}
     df, total = document_frequencies(docs, words)
     idf = np.log((1 + total) / (1 + df)) + 1e-3
-    rare = float(np.log(1 + total) + 1e-3)
+    weight = 1 + idf / (np.log(1 + total) + 1e-3)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         out_f, out_v = [], []
@@ -265,13 +281,13 @@ def fit(docs: DataFrame, items: list[tuple[int, str, str | None]], benchmark: Da
                 for passage in _passages(words_of(text)):
                     f, n = np.unique([words[w] for w in passage if w in words], return_counts=True)
                     if len(f):
-                        v = n * idf[f.astype(np.int64)]
+                        v = n * weight[f.astype(np.int64)]
                         out_f.append(f.astype(np.int64))
                         out_v.append(v / np.sqrt(v @ v))
         yield {"f": pa.array(out_f, pa.list_(pa.int64())), "v": pa.array(out_v, pa.list_(pa.float64()))}
 
     passages = checkpoint(map_batches(benchmark.select("text"), vectors, "f array<long>, v array<double>"))
-    latent = Latent(words, idf, rare, factor(passages, len(words), min(RANK, max(1, len(items)))))
+    latent = Latent(words, idf, weight, factor(passages, len(words), min(RANK, max(1, len(items)))))
     latent.add_items(items)
     return latent
 

@@ -251,3 +251,21 @@ def test_near_dedup_finds_appended_cut_and_short_copies(spark):
     want = sorted(set(groups(len(texts), pairs)))
     df = checkpoint(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
     assert sorted(r.doc_id for r in Q.representatives(df).collect()) == want
+
+
+def test_decontamination_finds_an_item_that_a_third_of_the_documents_hold(spark):
+    from lexframe.llm import decontam as D
+
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(7))
+    frequent, seldom = [word() for _ in range(15)], [word() for _ in range(55)]
+    items = [(1, " ".join(frequent)), (2, " ".join(seldom))] + [(k, " ".join(word() for _ in range(30))) for k in range(3, 40)]
+    docs, truth = [], {}
+    for i in range(300):  # all other words are of no item
+        words = [word() for _ in range(rng.randint(60, 300))]
+        truth[i] = [1] if i % 3 == 0 else [2] if i % 50 == 1 else []
+        at = rng.randrange(len(words))
+        words[at:at] = {1: frequent, 2: seldom}.get(sum(truth[i]), [])
+        docs.append((i, " ".join(words)))
+    found = D.find(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id: r._items for r in found.collect()} == truth
