@@ -88,6 +88,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("_share").alias("share"), (F.size("_items") == 0).alias("kept"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.lexsearch import search
+
+    return search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+
+
 _OP4_SQL = r"""
 with lines as (
   select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
@@ -125,6 +131,32 @@ from sized group by conv_id
 """
 
 
+_OP11_SQL = r"""
+with words as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents
+), held as (
+  select doc_id, r, w, cast(len(w) as hugeint) as n from words where len(w) > 0
+), total as (
+  select count(*) as docs, sum(n) as terms from held
+), wanted as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t
+  from benchmark
+), freq as (
+  select doc_id, r, n, t, count(*) as tf from (select doc_id, r, n, unnest(w) as t from held) where t in (select t from wanted) group by all
+), weight as (
+  select t, cast(floor(1000 * ln(cast(2 * docs + 2 as double) / cast(2 * count(*) + 1 as double))) as hugeint) as w from freq, total group by t, docs
+), scored as (
+  select item_id, doc_id, r, sum(w * ((cast(1000000000 as hugeint) * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms)))) as score
+  from wanted join freq using (t) join weight using (t), total group by item_id, doc_id, r
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last) as rank, doc_id, score from scored where score > 0
+)
+select item_id, cast(rank as integer) as rank, doc_id, cast(score as bigint) as score from ranked where rank <= 50
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
@@ -137,6 +169,7 @@ def queries() -> dict[str, Query]:
         "op8_suffix_dedup": op8_suffix_dedup,
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
+        "op11_lexical_search": op11_lexical_search,
     }
 
 
@@ -144,4 +177,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_formatting": _OP1_SQL,
         "op4_line_dedup": _OP4_SQL,
+        "op11_lexical_search": _OP11_SQL,
     }
