@@ -94,6 +94,12 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.spelling import variants
+
+    return variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _OP4_SQL = r"""
 with lines as (
   select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
@@ -170,6 +176,7 @@ def queries() -> dict[str, Query]:
         "op9_packing": op9_packing,
         "op10_simhash": op10_simhash,
         "op11_lexical_search": op11_lexical_search,
+        "op12_spelling": op12_spelling,
     }
 
 
