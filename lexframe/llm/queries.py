@@ -100,6 +100,13 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.llm.sharding import shard
+
+    placed = shard(read(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 _OP4_SQL = r"""
 with lines as (
   select doc_id, text, x.line, x.i, regexp_matches(x.line, '\S') as visible
@@ -177,6 +184,7 @@ def queries() -> dict[str, Query]:
         "op10_simhash": op10_simhash,
         "op11_lexical_search": op11_lexical_search,
         "op12_spelling": op12_spelling,
+        "op13_sharding": op13_sharding,
     }
 
 
