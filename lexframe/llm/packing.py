@@ -23,13 +23,39 @@ from lexframe.llm.common import map_batches, small_batches
 
 END_ID = 0
 LIMIT = 1024
-CACHE = 600_000  # entries of the memo of a worker; it starts anew when full, which changes no result
+MEMO = 96 << 20  # about the bytes of a generation of a worker's memo; it holds two, which changes no result
+ENTRY = 160  # bytes of an entry beside its text and ids
 
 _MEMO: dict[str, _Words] = {}
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" \s| \Z")
 
 
+class _Memo(dict):
+    """Strings -> ids as bytes, in two generations: when the new one is full, the old one goes; what is asked for moves up."""
+
+    def __init__(self) -> None:
+        self.old: dict[str, bytes] = {}
+        self.bytes = 0
+
+    def turn(self) -> None:
+        if self.bytes > MEMO:
+            self.old = dict(self)
+            self.clear()
+            self.bytes = 0
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Keys of neither generation; those of the old one are in the new one then."""
+        new = keys.difference(self)
+        again = {k: self.old[k] for k in new.intersection(self.old)}
+        self.add(again)
+        return list(new.difference(again))
+
+    def add(self, rows: dict[str, bytes]) -> None:
+        self.update(rows)
+        self.bytes += sum(map(len, rows)) + sum(map(len, rows.values())) + ENTRY * len(rows)
+
+
 class _Words:
     """Chunks of text -> their ids as little-endian 32-bit bytes, filled by the tokenizer.
 
@@ -43,8 +69,7 @@ class _Words:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        self.known, self.parts = _Memo(), _Memo()
         self.encoder = Tokenizer.from_file(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PATTERN).findall
@@ -55,11 +80,12 @@ class _Words:
 
     def learn(self, chunks: set[str]) -> None:
         """Encodes new chunks; the words among them together, one call for many, with a line end after each to cut at."""
-        new = [c for c in chunks.difference(self.known)]
+        new = self.known.missing(chunks)
         words = [c for c in new if c.isalpha()]
         cut = {c: self.cut(" " + c) for c in new if not c.isalpha()}
         inner = {p for parts in cut.values() for p in parts}
-        words += {p[1:] for p in inner if p[0] == " " and p[1:].isalpha()}.difference(self.known).difference(words)
+        alone = {p for p in inner if p[0] == " " and p[1:].isalpha()}  # words of the other memo
+        words += set(self.known.missing({p[1:] for p in alone})).difference(words)
         for i in range(0, len(words), 4000):
             some = words[i: i + 4000]
             text = "\n".join([" " + w for w in some])
@@ -67,19 +93,15 @@ class _Words:
             ends = np.flatnonzero(ids == self.line_end).tolist()
             data = ids.tobytes()
             if len(ends) == len(some) - 1:  # else each is encoded by itself
-                for word, at, end in zip(some, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True):
-                    self.known[word] = data[4 * at: 4 * end]
+                self.known.add({word: data[4 * at: 4 * end] for word, at, end in zip(some, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)})
             else:
-                self.known.update({w: self.plain(" " + w) for w in some})
-        for part in inner:
-            if part not in self.parts and not (part[0] == " " and part[1:] in self.known):
-                self.parts[part] = self.plain(part)
-        for chunk, parts in cut.items():
-            self.known[chunk] = b"".join([self.parts[p] if p in self.parts else self.known[p[1:]] for p in parts])
+                self.known.add({w: self.plain(" " + w) for w in some})
+        self.parts.add({p: self.plain(p) for p in self.parts.missing(inner - alone)})
+        self.known.add({c: b"".join([self.known[p[1:]] if p in alone else self.parts[p] for p in parts]) for c, parts in cut.items()})
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) + len(self.parts) > CACHE:
-            self.known, self.parts = {}, {}
+        self.known.turn()
+        self.parts.turn()
         cut = [None if any(s in t for s in self.special) else _BEFORE_WORD.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
         self.learn(set().union(*[c[1:] for c in cut if c]))
         for text, chunks in zip(texts, cut, strict=True):

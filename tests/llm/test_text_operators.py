@@ -298,6 +298,26 @@ def test_packing_memo_equals_tokenizer():
         assert next(words.ids([text])) == words.plain(text), repr(text)
 
 
+def test_packing_memo_turns_over(monkeypatch):
+    from public_tokenizers import path
+
+    from lexframe.llm import packing as P
+
+    monkeypatch.setattr(P, "MEMO", 2000)
+    words = P._Words(path("byte_bpe_50k.json"))
+    rng = random.Random(4)
+    some = ["".join(rng.choice("abcdé.1'") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    turns, moved = 0, 0
+    for _ in range(200):
+        texts = [" ".join(rng.choices(some, k=12)) for _ in range(3)]
+        old = set(words.known.old)
+        assert list(words.ids(texts)) == [words.plain(t) for t in texts]
+        turns += old != set(words.known.old)
+        moved += len(old & set(words.known))
+        assert words.known.bytes < 2000 + 40 * 300
+    assert turns > 5 and moved > 50
+
+
 # --- suffix dedup --------------------------------------------------------------------------------------
 
 
