@@ -25,13 +25,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexframe.llm.common import checkpoint, components, forest, map_batches, ramp, runs, small_batches
+from lexframe.llm.common import append, checkpoint, components, forest, map_batches, ramp, runs, small_batches
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
 FAN = 8
 SLICE = 1 << 18  # node pairs looked at together
+_ROW = "_simhash_row"
 
 
 def fingerprint(text: str | None, size: int = SHINGLE) -> int:
@@ -172,3 +173,19 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS)
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id",
         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"),
     )
+
+
+def representatives(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """One row of ``docs`` (a table: it is read twice) per group: smallest doc_id, null last; of repeated rows the first. Rows that go are
+    named by an anti join, so texts stay in place as long as those fit a broadcast that adaptive execution sizes."""
+    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
+    prints = append(numbered.select(_ROW, F.col("doc_id").cast("long").alias("doc_id"), "text"), "text",
+                    lambda _, texts: {"fp": pa.array(np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64))}, "fp long")
+    rows = checkpoint(prints.select("doc_id", _ROW, "fp"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(_ROW).alias("row"))
+    first = rows.groupBy("fp").agg(F.min(place).alias("first"))
+    comps = components(links(first.select("fp"), radius))
+    named = first.join(comps, first["fp"] == comps["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
+    best = named.groupBy("c").agg(F.min("first").alias("best"))
+    gone = rows.join(named.join(best, "c").select("fp", F.col("best.row").alias("stays")), "fp").filter(F.col(_ROW) != F.col("stays"))
+    return numbered.join(gone.select(_ROW), _ROW, "left_anti").select(*docs.columns)
