@@ -12,7 +12,8 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,39 +30,53 @@ ENTRY = 160  # bytes of an entry beside its text and ids
 _MEMO: dict[str, _Words] = {}
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _ODD_SPACE = re.compile(r" \s| \Z")
+# a sign after a letter and a line end between visible characters are pieces of their own, too
+_SIGN = re.compile(r"[.,;:!?](?=\s\S)(?<=[^\W\d_].)")
+_LINE = re.compile(r"\n(?=\S)(?<=\S\n)")
+_MARK = "\ue000"  # begins a chunk that has no blank before it; texts with this character are cut at blanks only
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary: itself if visible, else the next one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
+_LETTERS = _byte_letters()
+_ID = attrgetter("id")
 
 
 class _Memo(dict):
-    """Strings -> ids as bytes, in two generations: when the new one is full, the old one goes; what is asked for moves up."""
+    """Strings -> ids as bytes, made when first asked for, in two generations: when the new one is full, the old one goes; what is asked for moves up."""
 
-    def __init__(self) -> None:
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        self.make = make
         self.old: dict[str, bytes] = {}
         self.bytes = 0
 
+    def __missing__(self, key: str) -> bytes:
+        ids = self.old.get(key)
+        if ids is None:
+            ids = self.make(key)
+        self[key] = ids
+        self.bytes += ENTRY + len(key) + len(ids)
+        return ids
+
     def turn(self) -> None:
         if self.bytes > MEMO:
             self.old = dict(self)
             self.clear()
             self.bytes = 0
 
-    def missing(self, keys: set[str]) -> list[str]:
-        """Keys of neither generation; those of the old one are in the new one then."""
-        new = keys.difference(self)
-        again = {k: self.old[k] for k in new.intersection(self.old)}
-        self.add(again)
-        return list(new.difference(again))
-
-    def add(self, rows: dict[str, bytes]) -> None:
-        self.update(rows)
-        self.bytes += sum(map(len, rows)) + sum(map(len, rows.values())) + ENTRY * len(rows)
-
 
 class _Words:
     """Chunks of text -> their ids as little-endian 32-bit bytes, filled by the tokenizer.
 
-    The tokenizer always starts anew at a blank before a visible character, so a text may be cut there and its chunks be looked up:
-    ``known`` has what follows such a blank, ``parts`` the pieces that the tokenizer's own pattern makes. A text with the special
-    token's own string is encoded whole.
+    The tokenizer always starts anew at a blank before a visible character, so a text may be cut there and its chunks be looked up. It does
+    so as well at a sign between a letter and a blank and at a single line end; a chunk that begins there starts with a mark. ``known`` has
+    the chunks, ``parts`` the pieces that the tokenizer's own pattern makes of the others. A text with the special token's own string is
+    encoded whole.
     """
 
     def __init__(self, path: str):
@@ -69,43 +84,40 @@ class _Words:
         from public_tokenizers import PATTERN
         from tokenizers import Tokenizer
 
-        self.known, self.parts = _Memo(), _Memo()
+        self.known, self.parts = _Memo(self.chunk), _Memo(lambda p: self.word(p) if p.isalpha() else self.plain(p))
         self.encoder = Tokenizer.from_file(path)
         self.special = [t.content for t in self.encoder.get_added_tokens_decoder().values()]
         self.cut = regex.compile(PATTERN).findall
-        (self.line_end,) = self.encoder.encode("\n", add_special_tokens=False).ids
+        self.piece = self.encoder.model.tokenize
 
     def plain(self, text: str) -> bytes:
         return array("I", self.encoder.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes new chunks; the words among them together, one call for many, with a line end after each to cut at."""
-        new = self.known.missing(chunks)
-        words = [c for c in new if c.isalpha()]
-        cut = {c: self.cut(" " + c) for c in new if not c.isalpha()}
-        inner = {p for parts in cut.values() for p in parts}
-        alone = {p for p in inner if p[0] == " " and p[1:].isalpha()}  # words of the other memo
-        words += set(self.known.missing({p[1:] for p in alone})).difference(words)
-        for i in range(0, len(words), 4000):
-            some = words[i: i + 4000]
-            text = "\n".join([" " + w for w in some])
-            ids = np.array(self.encoder.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(ids == self.line_end).tolist()
-            data = ids.tobytes()
-            if len(ends) == len(some) - 1:  # else each is encoded by itself
-                self.known.add({word: data[4 * at: 4 * end] for word, at, end in zip(some, [0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)})
-            else:
-                self.known.add({w: self.plain(" " + w) for w in some})
-        self.parts.add({p: self.plain(p) for p in self.parts.missing(inner - alone)})
-        self.known.add({c: b"".join([self.known[p[1:]] if p in alone else self.parts[p] for p in parts]) for c, parts in cut.items()})
+    def word(self, piece: str) -> bytes:
+        """Ids of a piece of letters and a blank before them: what the model makes of its bytes."""
+        shown = piece.replace(" ", _LETTERS[32]) if piece.isascii() else "".join([_LETTERS[b] for b in piece.encode()])
+        return array("I", map(_ID, self.piece(shown))).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        """Ids of a chunk: of its word, or of the pieces it is cut into."""
+        if text.isalpha():
+            return self.word(" " + text)
+        pieces = self.cut(text[1:] if text[0] == _MARK else " " + text)
+        return b"".join([self.known[p[1:]] if p[0] == " " and p[1:].isalpha() else self.parts[p] for p in pieces])
+
+    def chunks(self, text: str) -> list[str] | None:
+        if any(s in text for s in self.special):
+            return None
+        if _MARK not in text:
+            text = _LINE.sub(f" {_MARK}\n {_MARK}", _SIGN.sub(rf" {_MARK}\g<0>", text))
+        return _BEFORE_WORD.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         self.known.turn()
         self.parts.turn()
-        cut = [None if any(s in t for s in self.special) else _BEFORE_WORD.split(t) if _ODD_SPACE.search(t) else t.split(" ") for t in texts]
-        self.learn(set().union(*[c[1:] for c in cut if c]))
-        for text, chunks in zip(texts, cut, strict=True):
-            yield self.plain(text) if chunks is None else self.plain(chunks[0]) + b"".join(map(self.known.get, chunks[1:]))
+        for text in texts:
+            chunks = self.chunks(text)
+            yield self.plain(text) if chunks is None else self.plain(chunks[0]) + b"".join(map(self.known.__getitem__, chunks[1:]))
 
 
 def _words(path: str) -> _Words:
