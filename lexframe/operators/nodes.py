@@ -375,31 +375,6 @@ def templates(tokens: DataFrame) -> DataFrame:
     )
 
 
-def patterns(tokens: DataFrame) -> DataFrame:
-    """Destructuring patterns and spread: brackets in binding or assignment position.
-
-    ``position`` tells how the pattern is bound; nested patterns are counted by their outermost one.
-    """
-    df = around(enclosing(brackets(neighbours(tokens))))
-    opener = c.kind.isin("[", "{") & is_open()
-    statement = c.p1.isNull() | c.p1.isin(";", "{", "}", "(")
-    position = (
-        F.when(opener & c.p1.isin(A.DECLARE), "declaration")
-        .when(opener & (F.col("b.after") == "="), F.when(statement, "assignment").otherwise("default"))
-        .when(opener & _true(c.p1 == "(") & (c.p2 == "CATCH"), "catch")
-        .when((c.kind == "...") & (F.col("encl.kind") == "(") & (
-            (F.col("encl.head_standard") == "function") | (F.col("encl.paren_role") == "arrow") | (F.col("encl.after") == "{")
-        ), "rest")
-        .when((c.kind == "...") & F.col("encl.kind").isin("[", "{") & _true(F.col("encl.p1").isin(A.DECLARE) | (F.col("encl.after") == "=")), "rest")
-        .when(c.kind == "...", "spread")
-    )
-    df = df.withColumn("position", position).filter(F.col("position").isNotNull())
-    return df.select(
-        "script_id", "pos", F.when(c.kind == "{", "object").when(c.kind == "[", "array").otherwise("element").alias("shape"),
-        "position", F.col("b.items").alias("item_count"),
-    )
-
-
 def generators_async(tokens: DataFrame) -> DataFrame:
     """``yield``, ``yield*``, ``await`` and ``for await`` with the innermost function body around them.
 

@@ -324,6 +324,46 @@ _CONTROL = [
 ]
 
 
+#: Patterns from the top down: brackets that are patterns by what is around them, then those inside them, level by level.
+_PATTERN_TREE = [
+    """pt_count as (select *, sum(case when kind = ',' then 1 else 0 end) over (partition by script_id, level order by pos) as commas_ from dc)""",
+    """pt_own as (select *, last_value(case when is_open then {'pos': pos, 'kind': kind, 'head': head_std, 'role': paren_role, 'after': after, 'p1': p1, 'p2': p2, 'commas': commas_} end ignore nulls) over w as own_,
+         last_value(case when kind in (',', '=') or is_open then kind end ignore nulls) over w as mark2_
+       from pt_count window w as (partition by script_id, level order by pos))""",
+    """pt_in as (select *, case when is_open then lag(own_) over w else own_ end as parent, case when is_open then lag(mark2_) over w else mark2_ end as seen,
+         case when is_open then lag(commas_) over w else commas_ end as commas_here
+       from pt_own window w as (partition by script_id order by pos))""",
+    f"""pt_facts as (select *, coalesce((parent.kind = '[' and p1 in ('[', ',', '...')) or (parent.kind = '{{' and ((p1 = ':' and seen <> '=') or p1 = '...')), false) as placed_,
+         coalesce(parent.kind = '(' and (coalesce(parent.head = 'function', false) or coalesce(parent.role = 'arrow', false) or (parent.after = '{{' and parent.head is null)), false) as param,
+         coalesce(kind in {in_list(S.NAMES)} and parent.kind = '{{' and p1 in ('{{', ',') and n1 in (',', '}}', '='), false) as shorthand_
+       from pt_in)""",
+    f"""pt_roots as (select *, case when kind in ('[', '{{') then case when coalesce(declares, false) then 'declaration'
+         when p1 = '(' and coalesce(parent.kind = '(' and parent.p1 = 'CATCH' and coalesce(parent.p2, '') <> '.', false) then 'catch'
+         when param and p1 in ('(', ',', '...') then case when parent.role = 'arrow' then 'arrow_parameter' else 'parameter' end
+         when coalesce(parent.kind = '(' and parent.p1 in ('FOR', 'AWAIT') and p1 = '(' and (after = 'IN' or (after = 'IDENTIFIER' and after_t = 'of')), false) then 'loop'
+         when after = '=' and not placed_ and (coalesce(p1 not in {in_list(S.CAN_END)}, true) or asi_standard is not null or coalesce(statement_position, false)) then 'assignment' end end as root_,
+         case when p1 = '...' then '...' when parent.kind = '[' then '[' || cast(commas_here - parent.commas as int) || ']'
+              when p1 = ':' then case when p2 = ']' then '[*]' else '.' || p2t end
+              when kind in {in_list(S.NAMES)} then '.' || text else '' end as step_
+       from pt_facts)""",
+    """pt_tree as (with recursive t(script_id, pos, root_pos, position, path, nesting) as (
+         select script_id, pos, pos, root_, '', 0 from pt_roots where root_ is not null
+         union all select c.script_id, c.pos, t.root_pos, t.position, t.path || c.step_, t.nesting + 1 from t
+           join pt_roots c on c.script_id = t.script_id and c.parent.pos = t.pos where c.kind in ('[', '{') and c.placed_ and c.root_ is null)
+       select * from t)""",
+    """pt_all as (select r.script_id, r.pos, r.kind, r.items, r.after, t.position, t.nesting, t.path from pt_roots r join pt_tree t using (script_id, pos)
+       union all select script_id, pos, kind, items, after, 'assignment', 0, '' from pt_roots r
+         where kind in ('[', '{') and placed_ and root_ is null and after = '=' and not exists (select 1 from pt_tree t where t.script_id = r.script_id and t.pos = r.pos))""",
+    f"""pt_items as (select r.script_id, r.pos, r.text, r.p1, t.pos as parent_pos, t.root_pos, t.position, t.path, r.step_ as step,
+         case when kind = ',' then 'hole' when kind in ('[', '{{') then 'bracket' when n1 in ('.', '[', '(') then 'member' else 'name' end as what,
+         case when kind in ('[', '{{') then coalesce(after = '=', false) else coalesce(n1 = '=', false) end as has_default,
+         shorthand_ as shorthand, coalesce(p1 = ':' and p2 = ']', false) as computed
+       from pt_roots r join pt_tree t on t.script_id = r.script_id and t.pos = r.parent.pos
+       where (kind in {in_list([*S.NAMES, 'THIS'])} and (placed_ or shorthand_)) or (kind = ',' and r.parent.kind = '[' and p1 in ('[', ','))
+         or (kind in ('[', '{{') and placed_ and root_ is null))""",
+]
+
+
 def _import_select() -> str:
     return f"""select script_id, pos, row_.l as local, row_.i as imported, row_.n as is_namespace, row_.d as is_default, source from (
       select *, case
@@ -480,16 +520,24 @@ def nodes() -> dict[str, str]:
               and m.level = t.level and m.pos > t.pos and m.pos < t.partner_pos) end as int) as substitutions
             from br t where t.kind in ('TEMPLATE_NO_SUB', 'TEMPLATE_HEAD')""",
     )
-    declare = in_list(A.DECLARE)
+    tree = [*decl, *_PATTERN_TREE]
     out["patterns"] = statement(
-        [*chain("code", "br"), enclosing("br")],
-        f"""select script_id, pos, case kind when '{{' then 'object' when '[' then 'array' else 'element' end as shape, position_ as position, items as item_count from (
-            select *, case when kind in ('[', '{{') and p1 in {declare} then 'declaration'
-              when kind in ('[', '{{') and after = '=' then case when p1 is null or p1 in (';', '{{', '}}', '(') then 'assignment' else 'default' end
-              when kind in ('[', '{{') and p1 = '(' and p2 = 'CATCH' then 'catch'
-              when kind = '...' and encl.kind = '(' and (coalesce(encl.head_std = 'function', false) or encl.paren_role = 'arrow' or coalesce(encl.after = '{{', false)) then 'rest'
-              when kind = '...' and encl.kind in ('[', '{{') and (coalesce(encl.p1 in {declare}, false) or coalesce(encl.after = '=', false)) then 'rest'
-              when kind = '...' then 'spread' end as position_ from enc) where position_ is not null""",
+        tree,
+        """select b.script_id, b.pos, case b.kind when '{' then 'object' else 'array' end as shape, b.position, b.items as item_count, b.nesting, b.path,
+             coalesce(b.after = '=', false) as has_default,
+             cast(count(*) filter (i.what = 'name') as int) as names, cast(count(*) filter (i.what <> 'hole' and i.has_default) as int) as defaults,
+             cast(count(*) filter (i.what = 'hole') as int) as holes, cast(count(*) filter (i.shorthand) as int) as shorthands,
+             cast(count(*) filter (i.what <> 'hole' and i.computed) as int) as computed_keys
+           from pt_all b left join pt_items i on i.script_id = b.script_id and i.parent_pos = b.pos group by all
+           union all
+           select script_id, pos, 'element', case when in_pattern or param then 'rest' else 'spread' end, null, null, null, null, 0, 0, 0, 0, 0
+           from (select f.*, t.pos is not null and f.parent.kind in ('[', '{') as in_pattern from pt_facts f left join pt_tree t on t.script_id = f.script_id and t.pos = f.parent.pos)
+           where kind = '...'""",
+    )
+    out["pattern_bindings"] = statement(
+        tree,
+        """select script_id, pos, text as name, root_pos, position, path || step as path, what as target, has_default, coalesce(p1 = '...', false) as is_rest, shorthand, computed
+           from pt_items where what in ('name', 'member')""",
     )
     out["generators_async"] = statement(
         [*chain("code", "br"),

@@ -205,6 +205,7 @@ def _stream_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     from lexframe.operators import logs as L
     from lexframe.operators import nodes as N
+    from lexframe.operators import patterns as B
     from lexframe.operators import rules as R
     from lexframe.operators import structure as S
     from lexframe.operators import tokens as K
@@ -271,6 +272,8 @@ def queries() -> dict[str, Query]:
         "module_edges": _edges,
         "module_reach": _reach,
         "nesting_quantiles": lambda spark, d: N.nesting_quantiles(N.nesting_stats(_tokens(spark, d, "code"))),
+        "patterns": _on_tokens(B.patterns, "code"),
+        "pattern_bindings": _on_tokens(B.pattern_bindings, "code"),
         # logs
         "read_error_log": _on_log(L.read_error_log),
         "error_category": _on_log(L.error_messages),
@@ -304,7 +307,7 @@ def queries() -> dict[str, Query]:
     }
     for name in [
         "imports", "exports", "var_decls", "functions", "arrows", "classes", "methods", "control_flow", "calls",
-        "member_access", "operators", "templates", "patterns", "generators_async", "feature_stage", "nesting_stats",
+        "member_access", "operators", "templates", "generators_async", "feature_stage", "nesting_stats",
     ]:
         out[name] = _on_tokens(getattr(N, name), "code")
     for name, mark in {"imports": "import", "exports": "export", "classes": "class", "arrows": "=>", "templates": "`"}.items():

@@ -49,6 +49,8 @@ VALID = [
     '\n\n   \t// only a comment @K\n/* and a block */\n',
     'class Words@K {\n  get default() {\n    return @C;\n  }\n  set delete(v) {\n    this.v = v ** 2;\n  }\n  static new() {\n    return 1;\n  }\n  async import(u) {\n    return u;\n  }\n'
     '  *in() {\n    yield 1;\n  }\n}\nconst words = { a, if() {\n  return "@S";\n}, async for(x) {} };\n',
+    'function open@K({ a, b: { c = @C, ...d } = {} }, [e, , g = 2] = [], ...rest) {}\nconst pick = ({ r, [key]: v }, [s, { t: [u] }]) => r + s;\n'
+    '({ p: obj.x, q: [m[0], this.n], "z z": w } = load("@S"));\nfor ({ k } of list) use(k);\nclass Opt { set size({ w = [1] }) {} m([i, ...j]) {} }\n',
     'a = b\n/re@C/g.exec(c);\nvar t = typeof /x/;\nvar m = [/a/, /b/i];\nvar g = { r: /c/ };\n',
 ]
 
