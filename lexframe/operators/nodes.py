@@ -33,8 +33,11 @@ def no_text() -> Column:
 
 
 def _property() -> Column:
-    """A keyword used as a property name: after a dot, or as a key before a colon."""
-    return _true(c.p1 == ".") | _true((c.n1 == ":") & c.p1.isin("{", ","))
+    """A keyword used as a property name: after a dot, as a key before a colon, or as the name of a method behind its modifiers."""
+    modifier = (c.p1 == "ASYNC") | ((c.p1 == "IDENTIFIER") & c.p1t.isin("get", "set", "static") & ~c.kind.isin("IN", "INSTANCEOF"))
+    star = (c.p1 == "*") & (c.p2.isin("{", "}", ";", ",", "ASYNC") | (c.p2t == "static"))
+    method = c.kind.isin([w for w in A.WORDS if w != "FUNCTION"]) & (c.n1 == "(") & (modifier | star) & ~F.col("newline_before")
+    return _true(c.p1 == ".") | _true((c.n1 == ":") & c.p1.isin("{", ",")) | _true(method)
 
 
 def _keyword(*names: str) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lexframe.functions import adjacency as A
 from lexframe.functions.memo import once_per_frame
 from lexframe.operators.structure import (
-    CAN_END, NAMES, YIELD_NEWLINE_OK, annotate, around, brackets, conditionals, enclosing, is_close, is_open, neighbours,
+    BLOCK_AFTER, CAN_END, CONTROL, NAMES, YIELD_NEWLINE_OK, annotate, around, brackets, conditionals, enclosing, is_close, is_open, neighbours,
 )
 from lexframe.operators.tokens import by_pos, spread_scripts, token_positions
 
@@ -32,6 +32,14 @@ MESSAGES = {
     "expected_as": "Expected 'as' in module statement",
     "expected_of": "Expected 'of' in for-of statement",
     "rest_last": "rest element must be last",
+    "empty_header": "header needs an expression",
+    "for_header": "header of a loop needs two semicolons, 'in' or 'of'",
+    "list_comma": "comma without an item before it",
+    "switch_body": "body of a switch starts with 'case' or 'default'",
+    "try_alone": "try needs 'catch' or 'finally'",
+    "do_alone": "do needs 'while'",
+    "ternary_open": "conditional expression needs ':'",
+    "unnamed": "declaration needs a name",
     "adjacency": "syntax error, unexpected token",
 }
 JS_EXTENSIONS = [".js", ".mjs", ".cjs"]
@@ -43,6 +51,12 @@ def _true(c: Column) -> Column:
     return F.coalesce(c, F.lit(False))
 
 
+def in_members() -> Column:
+    """For a parenthesis before a brace: directly inside braces that are no block, so its keyword is the name of a method."""
+    brace = F.col("brace")
+    return _true((F.col("b.after") == "{") & (F.col("level") == brace.level + 1) & ~brace.p1.isin(BLOCK_AFTER))
+
+
 @once_per_frame
 def with_methods(df: DataFrame) -> DataFrame:
     """Adds ``method``: facts of a method header on its opening parenthesis (null elsewhere).
@@ -90,8 +104,9 @@ def with_methods(df: DataFrame) -> DataFrame:
     )
     key_text = F.when(computed, F.lit(None).cast("string")).otherwise(F.col("p1t"))
     constructor = is_class & ~is_static & _true(key_text == "constructor")
+    plain = F.col("b.head").isNull() & F.col("b.head_standard").isNull()
     is_method = (
-        (F.col("kind") == "(") & (F.col("b.after") == "{") & F.col("b.head").isNull() & F.col("b.head_standard").isNull()
+        (F.col("kind") == "(") & (F.col("b.after") == "{") & (plain | (F.col("p1").isin(CONTROL) & in_members()))
         & F.col("p1").isin(key_words) & (F.col("level") == F.col("brace.level") + 1)
         & ~_true(c("_b1").isin(".", "NEW"))
     )
@@ -148,6 +163,41 @@ def _rule_columns() -> dict[str, Column]:
     }
 
 
+def _clause_columns() -> dict[str, Column]:
+    """Clauses that lack a part, from the counts of each bracket and what stands around it; takes annotated tokens."""
+    kind, b = F.col("kind"), F.col("b")
+    p1, p2, n1, n2 = F.col("p1"), F.col("p2"), F.col("n1"), F.col("n2")
+    header = (kind == "(") & (b.head_standard == "control")
+    loop = p1.isin("FOR", "AWAIT")
+    # a function among the members of a class or an object is a method of that name
+    inner = F.when(n1 == "*", F.lead("brace", 2).over(by_pos())).otherwise(F.lead("brace").over(by_pos()))
+    stands = inner.pos.isNull() | inner.p1.isNull() | inner.p1.isin(BLOCK_AFTER)
+    nameless = (n1 == "(") | ((n1 == "*") & (n2 == "("))
+    default = _true(p1.isin("DEFAULT", "CASE")) | _true((p1 == "ASYNC") & p2.isin("DEFAULT", "CASE"))
+    return {
+        "empty_header": header & ~in_members() & ~loop & (b.empty | (b.semis > 0)),
+        "for_header": header & ~in_members() & loop & ~((b.semis == 2) | ((b.semis == 0) & (b.loops > 0))),
+        "list_comma": kind.isin(")", "}", "EOF") & (b.gaps > 0),
+        "switch_body": (kind == "{") & (b.body_p1 == "SWITCH") & ~b.empty & ~n1.isin("CASE", "DEFAULT"),
+        "try_alone": (kind == "}") & (b.open_p1 == "TRY") & ~n1.isin("CATCH", "FINALLY"),
+        "do_alone": kind.isin(")", "]", "}", "EOF") & (b.does > 0),
+        "ternary_open": F.col("ternary_open"),
+        "unnamed": ((kind == "FUNCTION") & (F.col("function_form") == "declaration") & nameless & stands & ~default)
+        | ((kind == "CLASS") & F.col("statement_position") & n1.isin("{", "EXTENDS") & ~default),
+    }
+
+
+CLAUSE_RULES = ["empty_header", "for_header", "list_comma", "switch_body", "try_alone", "do_alone", "ternary_open", "unnamed"]
+
+
+def clause_rows(tokens: DataFrame) -> DataFrame:
+    """Clauses that lack a part: ``script_id, pos, rule``."""
+    df = around(annotate(tokens))
+    columns = _clause_columns()
+    df = df.withColumn("_rules", F.array_compact(F.array(*[F.when(columns[r], r) for r in CLAUSE_RULES])))
+    return df.filter(F.size("_rules") > 0).select("script_id", "pos", F.explode("_rules").alias("rule"))
+
+
 def rule_ready(tokens: DataFrame) -> DataFrame:
     """Tokens with what the clause rules look at; no brace kinds or insertions."""
     return with_methods(_with_clause(around(enclosing(conditionals(brackets(neighbours(tokens)))))))
@@ -202,7 +252,7 @@ def all_diagnostics(tokens: DataFrame, mode: str = "standard") -> DataFrame:
     # the wide neighbour columns come last, after every sort
     df = with_pairs(enclosing(annotate(token_positions(tokens))), mode)
     df = with_methods(around(_with_clause(df)))
-    columns = _rule_columns()
+    columns = _rule_columns() | _clause_columns()
     df = df.withColumn("_found", F.array_compact(F.array(*[F.when(c, r) for r, c in columns.items()])))
     legal = legal_pair_table(df).withColumn("_legal", F.lit(True))
     df = df.join(legal, ["left_class", "right_class"], "left")

@@ -179,21 +179,32 @@ _CONTROL = f"coalesce(p1 in {in_list(S.CONTROL)} and coalesce(p2, '') <> '.', fa
 _AWAIT = "coalesce(p1 = 'AWAIT' and p2 = 'FOR', false)"
 
 
+_MARKS = ", ".join(
+    f"cast(sum(case {c} else 0 end) over (partition by script_id, level order by pos) as int) as s_{n}" for n, c in {
+        "semis": "when kind = ';' then 1", "loops": "when kind = 'IN' or (kind = 'IDENTIFIER' and text = 'of') then 1",
+        "gaps": "when kind = ',' and p1 in (',', '(', '{') then 1",
+        "does": "when kind = 'DO' and coalesce(p1, '') <> '.' and coalesce(n1, '') not in (':', '(') then 1 when kind = 'WHILE' then -1",
+    }.items()
+)
+
+
 def brackets() -> list[str]:
     """Partners by a self join on (level, nth bracket of the level): odd one out against lag and lead."""
     heads = f"""heads as (select *,
         case when kind = '(' then case when {_FUNCTION} then 'function' when {_CONTROL} then 'control' end end as own_head,
         case when kind = '(' then case when {_FUNCTION} or {_GENERATOR} then 'function' when {_CONTROL} or {_AWAIT} then 'control' end end as own_head_std,
         sum(case when kind = ',' then 1 else 0 end) over (partition by script_id, level order by pos) as commas,
+        {_MARKS},
         row_number() over (partition by script_id, level, is_open or is_close order by pos) as nth from nb)"""
     pairs = """pairs as (select o.script_id, o.pos as open_pos, c.pos as close_pos, o.kind as open_kind, c.kind as close_kind,
+        c.pos = o.pos + 1 as empty_, c.s_semis - o.s_semis as semis, c.s_loops - o.s_loops as loops, c.s_gaps - o.s_gaps as gaps, c.s_does - o.s_does as does,
         case when c.pos = o.pos + 1 then 0 else c.commas - o.commas + 1 - case when c.p1 = ',' then 1 else 0 end end as items,
         c.n1 as after, c.n1t as after_t, o.p1 as open_p1, o.p2 as open_p2, o.p3 as open_p3, o.p4 as open_p4,
         o.p1t as open_p1t, o.p2t as open_p2t, o.p3t as open_p3t, o.p4t as open_p4t, o.newline_before as open_newline,
         o.own_head as head, o.own_head_std as head_std, o.level as pair_level, o.nth as open_nth
         from heads o join heads c on o.script_id = c.script_id and o.level = c.level and c.nth = o.nth + 1
         where o.is_open and c.is_close)"""
-    bodies = """bodies as (select b.script_id, b.open_pos, h.head as body_of, h.head_std as body_of_std
+    bodies = """bodies as (select b.script_id, b.open_pos, h.open_p1 as body_p1, h.head as body_of, h.head_std as body_of_std
         from pairs b join pairs h on b.script_id = h.script_id and h.close_pos = b.open_pos - 1
         where b.open_kind = '{' and h.close_kind = ')' and b.pair_level = h.pair_level)"""
     br = """br as (select t.*, coalesce(p.open_pos, c.open_pos) is not null as paired,
@@ -208,7 +219,9 @@ def brackets() -> list[str]:
         case when t.is_open then t.p3t else c.open_p3t end as open_p3t, case when t.is_open then t.p4t else c.open_p4t end as open_p4t,
         case when t.is_open then t.newline_before else c.open_newline end as open_newline,
         case when t.is_open then t.own_head else c.head end as head, case when t.is_open then t.own_head_std else c.head_std end as head_std,
-        b.body_of, b.body_of_std,
+        b.body_of, b.body_of_std, b.body_p1, coalesce(p.empty_, c.empty_, false) as empty_,
+        coalesce(p.semis, c.semis, case when t.kind = 'EOF' then t.s_semis end) as semis, coalesce(p.loops, c.loops, case when t.kind = 'EOF' then t.s_loops end) as loops,
+        coalesce(p.gaps, c.gaps, case when t.kind = 'EOF' then t.s_gaps end) as gaps, coalesce(p.does, c.does, case when t.kind = 'EOF' then t.s_does end) as does,
         case when t.kind in ('(', ')') then case when case when t.is_open then p.after else t.n1 end = '=>' then 'arrow'
              else coalesce(case when t.is_open then t.own_head else c.head end, 'other') end end as paren_role
         from heads t left join pairs p on t.is_open and t.script_id = p.script_id and t.pos = p.open_pos
@@ -233,6 +246,7 @@ def conditionals() -> list[str]:
         """cm as (select *, coalesce(qsum - least(min(qsum) over (partition by script_id, brace_depth, brace.pos order by pos), 0), 0) as pending from cs)""",
         """cp as (select *, coalesce(lag(pending) over (partition by script_id, brace_depth, brace.pos order by pos), 0) as pending_before from cm)""",
         """cond as (select *, case kind when ':' then pending_before > 0 when '?' then true end as conditional,
+            case when kind in (';', 'EOF') then pending_before > 0 end as ternary_open,
             case when kind = '?' then pending when kind = ':' and pending_before > 0 then pending_before end as cond_level from cp)""",
     ]
 

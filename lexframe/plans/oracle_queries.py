@@ -14,7 +14,8 @@ from lexframe.sources import snippets as N
 NAMES = in_list(S.NAMES)
 OPERAND_END = [k for k in S.CAN_END if k not in ("DEFAULT", "++", "--")]
 WORDS_OR_ID = in_list(A.WORDS + ["IDENTIFIER"])
-_PROPERTY = "(coalesce(p1 = '.', false) or coalesce(n1 = ':' and p1 in ('{', ','), false))"
+_PROPERTY = f"""(coalesce(p1 = '.', false) or coalesce(n1 = ':' and p1 in ('{{', ','), false) or coalesce(n1 = '(' and kind in {in_list([w for w in A.WORDS if w != "FUNCTION"])}
+    and not newline_before and (p1 = 'ASYNC' or (p1 = 'IDENTIFIER' and p1t in ('get', 'set', 'static') and kind not in ('IN', 'INSTANCEOF')) or (p1 = '*' and (p2 in ('{{', '}}', ';', ',', 'ASYNC') or coalesce(p2t = 'static', false)))), false))"""
 
 
 def _kw(*names: str) -> str:
@@ -108,6 +109,9 @@ def structural() -> dict[str, str]:
 # --- methods, clauses, rules -------------------------------------------------------------------------------
 
 
+_MEMBERS = f"coalesce(after = '{{' and level = brace.level + 1 and brace.p1 not in {in_list(S.BLOCK_AFTER)}, false)"
+
+
 def method_ctes(source: str) -> list[str]:
     keys = in_list(S.NAMES + ["STRING", "NUMBER", "]"] + [w for w in A.WORDS if w != "FUNCTION"])
     before = ", ".join(
@@ -125,7 +129,7 @@ def method_ctes(source: str) -> list[str]:
             case when is_async then c2t else c1t end as word1,
             not is_async and coalesce(c2 = 'IDENTIFIER', false) as named2,
             case when is_async then c3t else c2t end as word2 from ma)""",
-        f"""mth as (select *, coalesce(kind = '(' and after = '{{' and head is null and head_std is null and p1 in {keys}
+        f"""mth as (select *, coalesce(kind = '(' and after = '{{' and ((head is null and head_std is null) or (p1 in {in_list(S.CONTROL)} and {_MEMBERS})) and p1 in {keys}
             and level = brace.level + 1 and coalesce(b1, '') not in ('.', 'NEW'), false) as is_method,
             coalesce(brace.p1 in {class_ends}, false) as in_class,
             p1 = ']' as computed, case when p1 = ']' then null else p1t end as mname,
@@ -169,6 +173,29 @@ def rule_conditions() -> dict[str, str]:
     }
 
 
+def clause_conditions() -> dict[str, str]:
+    header = "(kind = '(' and head_std = 'control')"
+    loop = "coalesce(p1 in ('FOR', 'AWAIT'), false)"
+    default = "(coalesce(p1 in ('DEFAULT', 'CASE'), false) or coalesce(p1 = 'ASYNC' and p2 in ('DEFAULT', 'CASE'), false))"
+    stands = f"(inner_.pos is null or inner_.p1 is null or inner_.p1 in {in_list(S.BLOCK_AFTER)})"
+    return {
+        "empty_header": f"{header} and not {_MEMBERS} and not {loop} and (empty_ or semis > 0)",
+        "for_header": f"{header} and not {_MEMBERS} and {loop} and not (semis = 2 or (semis = 0 and loops > 0))",
+        "list_comma": "kind in (')', '}', 'EOF') and gaps > 0",
+        "switch_body": "kind = '{' and body_p1 = 'SWITCH' and not empty_ and n1 not in ('CASE', 'DEFAULT')",
+        "try_alone": "kind = '}' and open_p1 = 'TRY' and n1 not in ('CATCH', 'FINALLY')",
+        "do_alone": "kind in (')', ']', '}', 'EOF') and does > 0",
+        "ternary_open": "ternary_open",
+        "unnamed": f"(kind = 'FUNCTION' and function_form = 'declaration' and (n1 = '(' or (n1 = '*' and n2 = '(')) and {stands} and not {default}) "
+        f"or (kind = 'CLASS' and statement_position and n1 in ('{{', 'EXTENDS') and not {default})",
+    }
+
+
+def inner_cte(source: str) -> str:
+    return f"""inn as (select *, case when n1 = '*' then lead(brace, 2) over w else lead(brace) over w end as inner_
+        from {source} window w as (partition by script_id order by pos))"""
+
+
 REST_END = """re as (select *, case when n1 in ('[', '{') then lead(after) over (partition by script_id order by pos) else n2 end as rest_end from cl)"""
 
 
@@ -200,11 +227,11 @@ def pair_ctes(source: str) -> list[str]:
 
 
 def diagnostic_ctes(corpus: str) -> list[str]:
-    conditions = {**rule_conditions(), "adjacency": "illegal"}
+    conditions = {**rule_conditions(), **clause_conditions(), "adjacency": "illegal"}
     message = " ".join(f"when {q(k)} then {q(v)}" for k, v in R.MESSAGES.items())
     cases = ", ".join(f"case when {c} then {q(r)} end" for r, c in conditions.items())
     return [
-        *chain(corpus, "asi", placed=True), enclosing("asi"), *method_ctes("enc"), clause_cte("mth"), REST_END, *pair_ctes("re"),
+        *chain(corpus, "asi", placed=True), enclosing("asi"), *method_ctes("enc"), clause_cte("mth"), REST_END, inner_cte("re"), *pair_ctes("inn"),
         f"""diag as (select script_id, pos, line, col, rule, case rule {message} end as message from
             (select script_id, pos, line, col, unnest(list_filter([{cases}], lambda r: r is not null)) as rule from adj))""",
     ]
@@ -242,6 +269,10 @@ def checks() -> dict[str, str]:
     out["adjacency_errors"] = statement(
         [*chain("all", "asi"), *pair_ctes("asi")], "select script_id, pos, left_class, right_class from adj where illegal"
     )
+    out["rule_clause"] = statement(
+        [*chain("all", "asi"), inner_cte("asi")],
+        " union all ".join(f"select script_id, pos, {q(r)} as rule from inn where {c}" for r, c in clause_conditions().items()),
+    )
     diag = diagnostic_ctes("all")
     out["all_diagnostics"] = statement(diag, "select script_id, pos, line, col, rule, message from diag")
     out["script_verdict"] = statement([*diag, _VERDICT], "select * from verdict")

@@ -257,6 +257,7 @@ def queries() -> dict[str, Query]:
         "rule_class_prefix": _on_tokens(R.rule_rows, "all", ["class_prefix"]),
         "rule_contextual": _on_tokens(R.rule_rows, "all", ["expected_from", "expected_as", "expected_of"]),
         "rule_rest_last": _on_tokens(R.rule_rows, "all", ["rest_last"]),
+        "rule_clause": _on_tokens(R.clause_rows, "all"),
         "adjacency_errors": _on_tokens(R.adjacency_errors, "all"),
         "all_diagnostics": _on_tokens(R.all_diagnostics, "all"),
         "script_verdict": flagship,

@@ -62,6 +62,8 @@ INVALID = [
     'class A@K {\n  get size(x) { return x; }\n  set size() {}\n  static constructor() {}\n  odd thing() {}\n}\nfunction f(...rest, last) {}\n',
     'if (ok@K) {\n  call((1 + 2];\n',
     'const t = `value ${}`;\nvar n = @K é;\nlet open = `never closed @C;\n',
+    'while () go(@K);\nfor (let i = 0; i < @C) go(i);\ntry { go() }\nlast(1,,2);\n',
+    'function () { return @K }\nswitch (a) { b }\nconst pick = a ? b;\ndo go(@C);\n',
     'import { a of b } form "x@K";\nfor (const v = 0 of list) v;\nexport * az ns from "y";\n',
 ]
 
