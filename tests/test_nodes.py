@@ -11,7 +11,7 @@ SCRIPTS = [
     "function* g(a, b = 1) {\n  yield a;\n}\nconst h = async (x) => await x;\nconst one = y => y ** 2;\n",
     "if (a) b.c(1); else for (const k of o) f(k);\nlet q = new Foo(1), r = a.b.c();\n",
     "const t = `x${a}y${b}`;\ntag`z`;\nx += 1;\n!y;\nconst u = `${`${`${1}`}`}`;\n",
-    "class A { static async *delete() {} set if(v) {} }\nconst o = { async for(x) {}, catch() {} };\n",
+    "class A { static async *delete() {} set if(v) {} }\nconst o = { async for(x) {}, async catch() {} };\n",
 ]
 EXPECTED = {
     "imports": ("local imported is_namespace is_default source", [
@@ -28,7 +28,7 @@ EXPECTED = {
         (1, "class", "constructor", False, False, False, "constructor", 0), (1, "class", "k", True, False, False, "get", 0),
         (1, "class", "it", False, True, True, "method", 0), (5, "class", "delete", True, True, True, "method", 0),
         (5, "class", "if", False, False, False, "set", 1), (5, "object", "for", False, False, True, "method", 1),
-        (5, "object", "catch", False, False, False, "method", 0)]),
+        (5, "object", "catch", False, False, True, "method", 0)]),
     "control_flow": ("construct", [(1, "return"), (3, "if"), (3, "else"), (3, "for-of")]),
     "calls": ("callee is_new member_depth arg_count", [
         (1, "super", False, 0, 0), (3, "c", False, 1, 1), (3, "f", False, 0, 1), (3, "Foo", True, 0, 1), (3, "c", False, 2, 0)]),
