@@ -307,13 +307,18 @@ def _call_rows(df: DataFrame) -> DataFrame:
         (c.kind == "(") & callee_end & F.col("b.head_standard").isNull() & (F.coalesce("b.after", F.lit("")) != "{")
         & (F.col("b.paren_role") != "arrow")
     )
-    dots = ((F.col("pos") - 1 - F.col("_chain.pos")) / 2).cast("int")
-    return df.filter(is_call).select(
+    # "new" without parentheses: a chain that ends in its last name
+    goes_on = F.coalesce(c.n1, F.lit("")).isin("(", ".", "[", "TEMPLATE_NO_SUB", "TEMPLATE_HEAD")
+    bare = _true((F.col("chain.p1") == "NEW") & (c.kind != ".")) & ~goes_on
+    own = F.when(bare, F.col("chain")).otherwise(F.col("_chain"))
+    dots = ((F.col("pos") - F.when(bare, 0).otherwise(1) - own.pos) / 2).cast("int")
+    callee = F.when(c.p1.isin(NAMES + ["THIS", "SUPER"]) | _true(c.p2 == "."), c.p1t)
+    return df.filter(is_call | bare).select(
         "script_id", "pos",
-        F.when(c.p1.isin(NAMES + ["THIS", "SUPER"]) | _true(c.p2 == "."), c.p1t).alias("callee"),
-        _true(F.col("_chain.p1") == "NEW").alias("is_new"),
-        F.coalesce(F.when(F.col("_chain").isNotNull(), dots), F.lit(0)).alias("member_depth"),
-        F.coalesce("b.items", F.lit(0)).alias("arg_count"),
+        F.when(bare, c.text).otherwise(callee).alias("callee"),
+        _true(own.p1 == "NEW").alias("is_new"),
+        F.coalesce(F.when(own.isNotNull(), dots), F.lit(0)).alias("member_depth"),
+        F.when(bare, 0).otherwise(F.coalesce("b.items", F.lit(0))).alias("arg_count"),
     )
 
 

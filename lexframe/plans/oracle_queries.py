@@ -533,7 +533,9 @@ def nodes() -> dict[str, str]:
         [*chain("code", "br"), _CHAIN.replace("<SRC>", "br"),
          "cc as (select *, lag(chain_) over (partition by script_id order by pos) as link_ from chn)"],
         f"""select script_id, pos, {_CALLEE} as callee, coalesce(link_.p1 = 'NEW', false) as is_new,
-            coalesce(cast(floor((pos - 1 - link_.pos) / 2) as int), 0) as member_depth, coalesce(items, 0) as arg_count from cc where {_IS_CALL}""",
+            coalesce(cast(floor((pos - 1 - link_.pos) / 2) as int), 0) as member_depth, coalesce(items, 0) as arg_count from cc where {_IS_CALL}
+            union all select script_id, pos, text, true, cast(floor((pos - chain_.pos) / 2) as int), 0 from chn
+            where part and chain_.p1 = 'NEW' and kind <> '.' and coalesce(n1, '') not in ('(', '.', '[', 'TEMPLATE_NO_SUB', 'TEMPLATE_HEAD')""",
     )
     out["member_access"] = statement(
         chain("code", "nb"),

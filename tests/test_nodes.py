@@ -12,6 +12,7 @@ SCRIPTS = [
     "if (a) b.c(1); else for (const k of o) f(k);\nlet q = new Foo(1), r = a.b.c();\n",
     "const t = `x${a}y${b}`;\ntag`z`;\nx += 1;\n!y;\nconst u = `${`${`${1}`}`}`;\n",
     "class A { static async *delete() {} set if(v) {} }\nconst o = { async for(x) {}, async catch() {} };\n",
+    "new X;\nnew a.b.C;\nnew D();\n",
 ]
 EXPECTED = {
     "imports": ("local imported is_namespace is_default source", [
@@ -31,7 +32,8 @@ EXPECTED = {
         (5, "object", "catch", False, False, True, "method", 0)]),
     "control_flow": ("construct", [(1, "return"), (3, "if"), (3, "else"), (3, "for-of")]),
     "calls": ("callee is_new member_depth arg_count", [
-        (1, "super", False, 0, 0), (3, "c", False, 1, 1), (3, "f", False, 0, 1), (3, "Foo", True, 0, 1), (3, "c", False, 2, 0)]),
+        (1, "super", False, 0, 0), (3, "c", False, 1, 1), (3, "f", False, 0, 1), (3, "Foo", True, 0, 1), (3, "c", False, 2, 0),
+        (6, "X", True, 0, 0), (6, "C", True, 2, 0), (6, "D", True, 0, 0)]),
     "templates": ("tagged substitutions", [(4, False, 2), (4, True, 0), (4, False, 1), (4, False, 1), (4, False, 1)]),
     "generators_async": ("construct", [(2, "yield"), (2, "await")]),
     "operators": ("operator operator_class", [
