@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from lexframe.operators.blocks import BLOCK, block_number
 from lexframe.operators.logs import error_messages, write_error_log
 from lexframe.operators.rules import all_diagnostics, script_verdict
-from lexframe.operators.runs import merged, summarize
+from lexframe.operators.runs import merged
 from lexframe.operators.tokens import tokenize
 from lexframe.operators.traces import read_trace
 from lexframe.sources.shipping import ship
@@ -80,37 +80,41 @@ _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvid
 PAGE = 1 << 16
 
 
-class _Blocks(StatefulProcessor):
-    """State of one block of a trace: its pages of events, each with its summary."""
+def _blocks(page: int) -> StatefulProcessor:
+    """A processor that travels by value: Spark also loads it in a process of the driver that lacks shipped packages."""
 
-    def __init__(self, page: int) -> None:
-        self._page = page
+    class Blocks(StatefulProcessor):
+        """State of one block of a trace: its pages of events, each with its summary."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._pages = handle.getMapState("pages", "page long", "events string")
-        self._runs = handle.getMapState("runs", "page long", "run string")
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self._pages = handle.getMapState("pages", "page long", "events string")
+            self._runs = handle.getMapState("runs", "page long", "run string")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        arrived: dict[int, dict[int, tuple]] = {}
-        for pdf in rows:
-            pdf = pdf.astype(object).where(pdf.notna(), None)
-            for line, *event in zip(pdf["line_no"], *(pdf[c] for c in _EVENT)):
-                # frames carry integers that have gaps as floats
-                numbers = [None if v is None else int(v) for v in event[2:]]
-                arrived.setdefault(int(line) // self._page, {})[int(line)] = (*event[:2], *numbers)
-        runs = {number: run for (number,), (run,) in self._runs.iterator()}
-        for number, events in arrived.items():
-            if number in runs:
-                held = json.loads(self._pages.getValue((number,))[0])
-                events = {line: tuple(event) for line, event in held} | events
-            runs[number] = summarize(events).dump()
-            self._pages.updateValue((number,), (json.dumps(list(events.items())),))
-            self._runs.updateValue((number,), (runs[number],))
-        total = merged([runs[number] for number in sorted(runs)])
-        yield pd.DataFrame({"trace_id": [key[0]], "block": [key[1]], "run": [total.dump()]})
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+            from lexframe.operators.runs import merged, summarize
 
-    def close(self) -> None:
-        pass
+            arrived: dict[int, dict[int, tuple]] = {}
+            for pdf in rows:
+                pdf = pdf.astype(object).where(pdf.notna(), None)
+                for line, *event in zip(pdf["line_no"], *(pdf[c] for c in _EVENT)):
+                    # frames carry integers that have gaps as floats
+                    numbers = [None if v is None else int(v) for v in event[2:]]
+                    arrived.setdefault(int(line) // page, {})[int(line)] = (*event[:2], *numbers)
+            runs = {number: run for (number,), (run,) in self._runs.iterator()}
+            for number, events in arrived.items():
+                if number in runs:
+                    held = json.loads(self._pages.getValue((number,))[0])
+                    events = {line: tuple(event) for line, event in held} | events
+                runs[number] = summarize(events).dump()
+                self._pages.updateValue((number,), (json.dumps(list(events.items())),))
+                self._runs.updateValue((number,), (runs[number],))
+            total = merged([runs[number] for number in sorted(runs)])
+            yield pd.DataFrame({"trace_id": [key[0]], "block": [key[1]], "run": [total.dump()]})
+
+        def close(self) -> None:
+            pass
+
+    return Blocks()
 
 
 def _report(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -138,7 +142,7 @@ def trace_summaries(lines: DataFrame, state_dir: str, *, block: int = BLOCK, pag
     kinds = ["next_token", "reduce", "die", "rename", "split"]
     events = read_trace(lines).filter(F.col("kind").isin(kinds)).withColumn("block", block_number("line_no", block))
     keyed = events.select("trace_id", "block", "line_no", *_EVENT).groupBy("trace_id", "block")
-    blocks = keyed.transformWithStateInPandas(_Blocks(page), _SUMMARY, "Update", "None")
+    blocks = keyed.transformWithStateInPandas(_blocks(page), _SUMMARY, "Update", "None")
 
     def write(df: DataFrame, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{state_dir}/data/batch={batch_id}")
