@@ -613,12 +613,25 @@ def nodes() -> dict[str, str]:
            count(*) filter (node = 'call') as n_calls, max(length(name)) as longest_name from nodes""",
     )
     out["module_edges"] = statement(["recursive " + c if i == 0 else c for i, c in enumerate(_edges_ctes())], "select * from edges")
+    edges_ = ["recursive " + c if i == 0 else c for i, c in enumerate(_edges_ctes())]
     out["module_reach"] = statement(
-        ["recursive " + c if i == 0 else c for i, c in enumerate(_edges_ctes())]
+        edges_
         + ["""walk(src, dst, depth) as (select distinct path, target_path, 1 from edges where status <> 'external'
               union select w.src, e.target_path, w.depth + 1 from walk w join (select distinct path, target_path from edges where status <> 'external') e on e.path = w.dst where w.depth < (select count(*) from scripts))"""],
         "select src, dst, cast(min(depth) as int) as depth from walk group by 1, 2",
     )
+    closure = edges_ + [
+        "link_ as materialized (select distinct path, target_path from edges where status <> 'external')",
+        "pair_(src, dst) as (select * from link_ union select p.src, l.target_path from pair_ p join link_ l on l.path = p.dst)",
+        "module_ as (select path from link_ union select target_path from link_)",
+    ]
+    out["module_components"] = statement(
+        closure + ["both_ as (select a.src, a.dst from pair_ a join pair_ b on a.src = b.dst and a.dst = b.src)",
+                   "comp_ as (select path, coalesce(min(dst), path) as component, min(dst) is not null as cyclic from module_ left join both_ on src = path group by path)"],
+        "select path, component, count(*) over (partition by component) as size, cyclic from comp_",
+    )
+    out["module_reach_sizes"] = statement(
+        closure, "select path, count(dst) as n_reached from module_ left join pair_ on src = path group by path")
     return out
 
 

@@ -118,6 +118,20 @@ def _reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return module_reach(_edges(spark, sf_dir).filter("status <> 'external'"))
 
 
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.operators.components import strong_components
+
+    return strong_components(_edges(spark, sf_dir).filter("status <> 'external'"))
+
+
+def _reach_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lexframe.operators.components import reach_sizes, strong_components
+    from lexframe.sources.workdir import checkpoint
+
+    edges = checkpoint(_edges(spark, sf_dir).filter("status <> 'external'").select("path", "target_path").distinct())
+    return reach_sizes(edges, strong_components(edges))
+
+
 def _census(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lexframe.operators import nodes as N
 
@@ -272,6 +286,8 @@ def queries() -> dict[str, Query]:
         "visit": _visit,
         "module_edges": _edges,
         "module_reach": _reach,
+        "module_components": _components,
+        "module_reach_sizes": _reach_sizes,
         "nesting_quantiles": lambda spark, d: N.nesting_quantiles(N.nesting_stats(_tokens(spark, d, "code"))),
         "patterns": _on_tokens(B.patterns, "code"),
         "pattern_bindings": _on_tokens(B.pattern_bindings, "code"),
