@@ -18,30 +18,65 @@ def _trim(edges: DataFrame) -> DataFrame:
     return edges.join(into, "src", "left_semi").join(out_of, "dst", "left_semi")
 
 
-def _contract(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Folds modules with one way out into the module it leads to; ``(edges left, (path, into, before) rows)``.
+def _chains(edges: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """Where modules with one way out lead to: ``(jumps, ends)``, doubling the distance each round.
 
-    None folds into one that is folded itself: a module rises if the next has several ways out or a larger number drawn for the turn, and
-    those fold that rise to one that does not. ``before`` are the modules that led to the folded one; it shares the component of ``into`` if
-    one of them does.
+    ``jumps[k]`` has ``path, at``: the module ``2 ** k`` steps on, or the first with another number of ways out if that comes before. ``ends`` has
+    ``path, at, low, ends``: ``at`` the end of the chain; those that never end lead into a ring without a way out, ``at`` is a module of the ring then and
+    ``low`` the smallest of it if ``path`` is on it.
     """
+    single = edges.groupBy(F.col("src").alias("path")).agg(F.max("dst").alias("at"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    goes_on = single.select(F.col("path").alias("at"), F.lit(True).alias("goes_on"))
+    state = checkpoint(
+        single.join(goes_on, "at", "left")
+        .select("path", "at", F.col("path").alias("low"), F.col("goes_on").isNull().alias("ends"), F.lit(True).alias("new")))
+    jumps, before = [state.select("path", "at")], None
+    while True:
+        onward = state.select(F.col("path").alias("at"), F.col("at").alias("far"), F.col("low").alias("far_low"), F.col("ends").alias("far_ends"))
+        lower = F.col("far_low") < F.col("low")
+        state = checkpoint(state.join(onward, "at", "left").select(
+            "path", F.coalesce("far", "at").alias("at"), F.when(lower, F.col("far_low")).otherwise(F.col("low")).alias("low"),
+            F.coalesce("far_ends", "ends").alias("ends"), F.coalesce(lower, F.lit(False)).alias("new")))
+        # on a ring the smallest is known to all once a round changes none; tails are passed once the modules led to are no fewer than before
+        open_ = state.filter("not ends")
+        now = open_.agg(F.count(F.lit(1)), F.count_distinct("at"), F.coalesce(F.max("new"), F.lit(False))).first()
+        if now[0] == 0 or (before is not None and now[:2] == before[:2] and not now[2]):
+            return jumps, state.drop("new")
+        jumps.append(state.select("path", "at"))
+        before = now
+
+
+def _contract(edges: DataFrame) -> tuple[DataFrame, DataFrame, tuple]:
+    """Folds every chain of modules with one way out into its end; ``(edges left, path and component of rings, what _unfold needs)``."""
+    jumps, ends = _chains(edges)
+    on_ring = ends.filter("not ends").select(F.col("at").alias("path")).distinct()
+    rings = checkpoint(ends.join(on_ring, "path", "left_semi").select("path", F.col("low").alias("component")))
+    entries = checkpoint(
+        edges.join(ends.select(F.col("path").alias("src")), "src", "left_anti")
+        .join(ends.select(F.col("path").alias("dst"), "at", "ends"), "dst", "left")
+    )
+    kept = entries.filter("ends is null or ends").select("src", F.coalesce("at", "dst").alias("dst")).filter("src <> dst")
+    return checkpoint(kept.distinct()), rings, (jumps, entries.filter("ends").select("src", F.col("dst").alias("path"), "at"))
+
 
-    def drawn(path: Column) -> Column:
-        return F.struct(F.xxhash64(path, F.lit(turn)), path)
-
-    single = edges.groupBy(F.col("src").alias("path")).agg(F.max("dst").alias("into"), F.count(F.lit(1)).alias("n")).filter("n = 1").drop("n")
-    is_single = single.select(F.col("path").alias("into"), F.lit(True).alias("goes_on"))
-    rises = F.col("goes_on").isNull() | (drawn(F.col("path")) < drawn(F.col("into")))
-    step = checkpoint(single.join(is_single, "into", "left").select("path", "into", rises.alias("rises")))
-    onward = step.select(F.col("path").alias("into"), F.col("rises").alias("next_rises"))
-    single = step.join(onward, "into", "left").filter(F.col("rises") & ~F.coalesce("next_rises", F.lit(False))).select("path", "into")
-    moved = checkpoint(
-        edges.join(single.select(F.col("path").alias("src"), F.lit(True).alias("leaves")), "src", "left")
-        .join(single.select(F.col("path").alias("dst"), "into"), "dst", "left").filter("leaves is null").drop("leaves")
+def _unfold(found: DataFrame, fold: tuple) -> DataFrame:
+    """``path, component`` of the folded modules that share the component of their chain's end.
+
+    They do from where a module of that component leads into the chain; the jumps, longest first, mark all that come after.
+    """
+    jumps, entries = fold
+    label = lambda end: found.select(F.col("path").alias(end), F.col("component").alias(f"{end}_component"))
+    joint = _label(F.col("at"), F.col("at_component"))
+    marked = checkpoint(
+        entries.join(label("at"), "at", "left").join(label("src"), "src", "left")
+        .filter(joint == _label(F.col("src"), F.col("src_component"))).select("path", joint.alias("component")).distinct()
     )
-    left = moved.select("src", F.coalesce("into", "dst").alias("dst")).filter("src <> dst").distinct()
-    folded = moved.filter("into is not null").select(F.col("dst").alias("path"), "into", F.col("src").alias("before"))
-    return checkpoint(left), folded
+    for jump in reversed(jumps):
+        if marked.isEmpty():
+            break
+        onward = marked.join(jump, "path").select(F.col("at").alias("path"), "component")
+        marked = checkpoint(marked.unionByName(onward).distinct())
+    return marked.join(jumps[0].select("path"), "path", "left_semi")
 
 
 def _colours(edges: DataFrame) -> DataFrame:
@@ -85,37 +120,30 @@ def _coloured_components(edges: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame) -> DataFrame:
     """``path, component, size, cyclic``: modules that reach each other; the component is its smallest path.
 
-    ``edges`` have ``path`` and ``target_path``; a null at either end is no edge. Modules on no cycle are cut off and modules with one way out
-    fold into the next, which takes a number of rounds that grows with the logarithm of a chain or a ring. What is left is coloured by the
+    ``edges`` have ``path`` and ``target_path``; a null at either end is no edge. Modules on no cycle are cut off and chains of modules with one way
+    out fold into their end by pointers that double their reach each round; rings are found on the way. What is left is coloured by the
     smallest module that leads to it; those of a colour that lead back to it are its component. There is never a row per pair.
     """
     named = edges.select(F.col("path").alias("src"), F.col("target_path").alias("dst")).filter("src is not null and dst is not null")
     links = checkpoint(named.distinct())
     nodes = links.select(F.explode(F.array("src", "dst")).alias("path")).distinct()
-    work, folds, turn = checkpoint(_trim(links.filter("src <> dst"))), [], 0
+    work, folds = checkpoint(_trim(links.filter("src <> dst"))), []
+    found = nodes.select("path", F.col("path").alias("component")).limit(0)
     before = links.count()
     while (n := work.count()) > 0:
-        single = work.groupBy("src").count().filter("count = 1")
-        if n == before and single.isEmpty():
-            break
+        if work.groupBy("src").count().filter("count = 1").isEmpty():
+            if n == before:
+                break
+        else:
+            work, rings, fold = _contract(work)
+            folds.append(fold)
+            found = found.unionByName(rings)
         before = n
-        work, folded = _contract(work, turn)
-        folds.append(folded)
         work = checkpoint(_trim(work))
-        turn += 1
-    found = _coloured_components(work)
-    if found is None:
-        found = nodes.select("path", F.col("path").alias("component")).limit(0)
-    for folded in reversed(folds):
-        into = found.select(F.col("path").alias("into"), F.col("component").alias("into_component"))
-        prior = found.select(F.col("path").alias("before"), F.col("component").alias("before_component"))
-        joint = _label(F.col("into"), F.col("into_component"))
-        back = (
-            folded.join(into, "into", "left").join(prior, "before", "left")
-            .filter(joint == _label(F.col("before"), F.col("before_component")))
-            .select("path", joint.alias("component")).distinct()
-        )
-        found = checkpoint(found.unionByName(back))
+    if n:
+        found = found.unionByName(_coloured_components(work))
+    for fold in reversed(folds):
+        found = checkpoint(found.unionByName(_unfold(found, fold)))
     labelled = nodes.join(found, "path", "left").withColumn("component", _label(F.col("path"), F.col("component")))
     groups = labelled.groupBy("component").agg(F.min("path").alias("smallest"), F.count(F.lit(1)).alias("size"))
     loops = links.filter("src = dst").select(F.col("src").alias("path"), F.lit(True).alias("loop"))
