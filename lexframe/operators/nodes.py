@@ -137,7 +137,7 @@ def exports(tokens: DataFrame) -> DataFrame:
 
 
 def _with_declarators(df: DataFrame) -> DataFrame:
-    """``declares``: the token starts a declarator; ``decl_kind`` and ``decl_export`` of its statement.
+    """``declares``: the token starts a declarator; ``decl_kind`` and ``decl_export`` of its statement; ``separates``: a comma between declarators.
 
     A comma separates declarators if the latest statement mark on its own nesting level is var, let or const.
     """
@@ -150,8 +150,8 @@ def _with_declarators(df: DataFrame) -> DataFrame:
         ends, F.struct(no_text().alias("k"), F.lit(False).alias("x"))
     )
     df = df.withColumn("_mark", F.last(mark, ignorenulls=True).over(here))
-    splits = word | ((c.kind == ",") & F.col("_mark.k").isNotNull())
-    df = df.withColumn("_split", F.when(splits, F.col("_mark")))
+    separates = (c.kind == ",") & F.col("_mark.k").isNotNull()
+    df = df.withColumns({"_split": F.when(word | separates, F.col("_mark")), "separates": _true(separates)})
     prev = F.lag("_split").over(by_pos())
     return df.withColumns({"declares": prev.isNotNull() & c.kind.isin(NAMES + ["{", "["]), "_prev": prev}).withColumns(
         {"decl_kind": F.col("_prev.k"), "decl_export": _true(F.col("_prev.x"))}
@@ -347,12 +347,113 @@ def _operator_class() -> Column:
     )
 
 
+# --- fixed values: binding strength of operators, loosest first ---------------------------------------------
+COMMA, ARROW, ASSIGNMENT, CONDITIONAL, UNARY, POWER, POSTFIX = 0, 1, 2, 3, 14, 15, 16
+STRENGTH = {
+    "||": 4, "&&": 5, "|": 6, "^": 7, "&": 8,
+    "==": 9, "!=": 9, "===": 9, "!==": 9,
+    "<": 10, ">": 10, "<=": 10, ">=": 10, "IN": 10, "INSTANCEOF": 10,
+    "<<": 11, ">>": 11, ">>>": 11,
+    "+": 12, "-": 12, "*": 13, "/": 13, "%": 13,
+}
+STATEMENT_WORDS = ["RETURN", "THROW", "VAR", "LET", "CONST", "CASE", "DEFAULT", "ELSE", "DO", "EXPORT", "IMPORT", "YIELD"]
+# ------------------------------------------------------------------------------------------------------------
+_FIRM, _OPERAND_ONLY = -1, 17
+
+
+def _sequence_comma() -> Column:
+    """A comma that is an operator: not between arguments, parameters, elements, properties, specifiers or declarators."""
+    p1, p2 = F.col("around_it.p1"), F.col("around_it.p2")
+    called = p1.isin(OPERAND_END + ["ASYNC"]) | _true(p2 == ".")
+    control = _true(F.col("around_it.head_standard") == "control") & ~_true(p2.isin(".", "ASYNC", "*"))
+    grouping = control | (F.col("around_it.head_standard").isNull() & (F.col("around_it.paren_role") != "arrow") & ~_true(called))
+    kind = F.col("around_it.kind")
+    inside = (
+        F.when(kind.isNull(), True).when(kind == "(", grouping).when(kind == "[", _true(p1.isin(OPERAND_END)))
+        .when(kind == "{", F.col("around_it.brace_kind") != "object").otherwise(True)
+    )
+    return (c.kind == ",") & _true(inside) & ~F.col("separates") & ~_true(c.p2 == "IMPORT")
+
+
+def _strengths(mapping: dict[str, int]) -> Column:
+    return F.create_map(*[F.lit(x) for pair in mapping.items() for x in pair])[c.kind]
+
+
 def operators(tokens: DataFrame) -> DataFrame:
-    df = neighbours(tokens).withColumn("operator_class", _operator_class()).filter(F.col("operator_class").isNotNull())
+    """Operators with their class and the tokens of their operands: the left one starts at ``left_start``, the right one ends at ``right_end``.
+
+    A prefix operator has no left operand and a postfix one no right operand; a conditional reaches from its condition to its last branch. A ``sequence`` is a
+    comma between expressions. An operand ends at the nearest token of its nesting level that binds less than the operator, so one running maximum (or
+    minimum, from behind) per binding strength over the same window gives all of them. Statement words and heads, blocks, inserted semicolons
+    and the bracket around it end any operand.
+    """
+    df = _with_declarators(around(enclosing(annotate(tokens))))
+    inside = Window.partitionBy("script_id", "level").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    facts = F.struct("pos", "kind", "b.head_standard", "b.paren_role", "brace_kind", F.col("b.open_p1").alias("p1"), F.col("b.open_p2").alias("p2"))
+    df = df.withColumn("around_it", F.last(F.when(is_open(), facts), ignorenulls=True).over(inside))
     # the lexical contract has no "**": two stars in a row are the power operator
-    power = (c.kind == "*") & F.coalesce(F.col("n1") == "*", F.lit(False))
-    df = df.filter(~((c.kind == "*") & F.coalesce(F.col("p1") == "*", F.lit(False))))
-    return df.select("script_id", "pos", F.when(power, "**").otherwise(F.lower(c.kind)).alias("operator"), "operator_class")
+    power, second = _true((c.kind == "*") & (c.n1 == "*")), _true((c.kind == "*") & (c.p1 == "*"))
+    df = df.withColumn("operator_class", F.when(second, None).when(_sequence_comma(), "sequence").otherwise(_operator_class()))
+    cls = F.col("operator_class")
+    colon = _true((c.kind == ":") & F.col("conditional"))
+    strength = (
+        F.when(cls == "sequence", COMMA).when(cls == "assignment", ASSIGNMENT).when((cls == "ternary") | colon, CONDITIONAL)
+        .when(cls.isin("unary", "update_prefix"), UNARY).when(cls == "update_postfix", POSTFIX)
+        .when(cls.isNotNull(), F.when(power, POWER).otherwise(_strengths(STRENGTH)))
+    )
+    df = df.withColumns({"_on": F.col("depth") + F.when(is_open(), -1).when(is_close(), 1).otherwise(0), "_strength": strength})
+    infix = cls.isin("sequence", "assignment", "ternary", "binary", "logical") | colon
+    inserted = F.col("asi_standard").isNotNull()
+    of = (c.kind == "IDENTIFIER") & (c.text == "of") & _true(c.p1.isin(NAMES + ["]", "}"]))
+    firm = c.kind.isin(";", ",", ":", "TEMPLATE_MIDDLE") & F.col("_strength").isNull() | is_close()
+    head = (c.kind == "(") & _true(F.col("b.head_standard") == "control")
+    # bodies of function and class declarations end a statement, those of expressions do not
+    before = Window.partitionBy("script_id", "_on").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    declared = F.when(_keyword("FUNCTION"), _true(F.col("function_form") == "declaration") | inserted).when(
+        _keyword("CLASS"), _true(F.col("statement_position")) | inserted)
+    df = df.withColumn("_declared", _true(F.last(declared, ignorenulls=True).over(before)))
+    class_body = _true((F.col("brace_kind") == "object") & F.col("b.open_p1").isin(OPERAND_END + ["CLASS"]))
+    body = (F.col("brace_kind") == "function") | class_body
+    block = (c.kind == "{") & _true((F.col("brace_kind") == "block") | (body & F.col("_declared"))) & ~_true(F.col("b.open_p1") == "=>")
+    # where an operand behind the token may start at the earliest, and how strong an operator does not look past it
+    prefix = cls.isin("unary", "update_prefix")
+    starts = F.when(head | block, F.col("b.partner_pos") + 1).when(
+        firm | infix | of | _keyword(*STATEMENT_WORDS) | prefix | (c.kind == "=>"), F.col("pos") + 1)
+    looser = F.when(infix | prefix, F.col("_strength")).when(c.kind == "=>", ARROW).otherwise(_FIRM)
+    behind = Window.partitionBy("script_id", "_on").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumns({"_start": starts, "_looser": F.when(starts.isNotNull(), looser), "_inserted": F.when(inserted, F.col("pos"))})
+    ends = firm | inserted | (c.kind == "EOF")
+    df = df.withColumn("_ends", F.when(ends, _FIRM).when(_true(infix), F.col("_strength")))
+    # weakest operators that may be part of the left and of the right operand
+    kept_left = (
+        F.when(prefix, None).when(cls == "ternary", CONDITIONAL + 1).when(cls == "assignment", _OPERAND_ONLY)
+        .when(power | (cls == "update_postfix"), POSTFIX).otherwise(F.col("_strength"))
+    )
+    kept_right = (
+        F.when(cls == "update_postfix", None).when(cls.isin("ternary", "assignment"), ASSIGNMENT).when(power, POWER).otherwise(F.col("_strength") + 1)
+    )
+    binary = sorted(set(STRENGTH.values()))
+    left = {k: F.max(F.when(F.col("_looser") < k, F.col("_start")).otherwise(F.col("_inserted"))).over(before) for k in [COMMA, *binary, POSTFIX, _OPERAND_ONLY]}
+    right = {k: F.min(F.when(F.col("_ends") < k, F.col("pos"))).over(behind) for k in [COMMA + 1, ASSIGNMENT, *[k + 1 for k in binary], POWER]}
+
+    def of_strength(found: dict[int, Column], wanted: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(None).cast("int"))
+        for k, value in found.items():
+            out = out.when(wanted == k, value)
+        return out
+
+    df = df.withColumn("_left", F.when(kept_left.isNotNull(), F.coalesce(F.greatest(of_strength(left, kept_left), F.col("around_it.pos") + 1), F.lit(0))))
+    # as for bodies of arrows: the colon of a conditional that was open before ends what is open in its branch
+    closing = F.coalesce(F.sum(F.when(c.kind == "?", -1).when(colon, 1).otherwise(0)).over(behind), F.lit(0))
+    df = df.withColumns({"_right": of_strength(right, kept_right), "_open": closing + colon.cast("int")})
+    # a conditional counts as closed here, so that its own colon is not taken
+    same = Window.partitionBy("script_id", "_on", "_open").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_open", F.col("_open") + F.when(c.kind == "?", -1).otherwise(0)).withColumn("_colon", F.min(F.when(colon, F.col("pos"))).over(same))
+    return df.filter("operator_class is not null").select(
+        "script_id", "pos", F.when(power, "**").otherwise(F.lower(c.kind)).alias("operator"), "operator_class",
+        F.col("_left").cast("int").alias("left_start"),
+        F.when(kept_right.isNotNull(), F.least("_right", "_colon") - 1).cast("int").alias("right_end"),
+    )
 
 
 def literals(tokens: DataFrame) -> DataFrame:
@@ -383,25 +484,62 @@ def templates(tokens: DataFrame) -> DataFrame:
     )
 
 
+def _expression_ends(df: DataFrame) -> DataFrame:
+    """``expression_end``: for an arrow with an expression body the first token behind that expression.
+
+    On the arrow's own nesting level that is a comma, a semicolon (inserted ones included), the bracket around it, the next part of a template, or the colon
+    of a conditional that was open before the arrow.
+    """
+    # an opening bracket stands on the level outside, a closing one ends the level inside
+    df = df.withColumn("_on", F.col("depth") + F.when(is_open(), -1).when(is_close(), 1).otherwise(0))
+    colon = _true((c.kind == ":") & F.col("conditional"))
+    stops = c.kind.isin(",", ";", "TEMPLATE_MIDDLE", "EOF") | is_close() | F.col("asi_standard").isNotNull() | ((c.kind == ":") & ~colon)
+
+    def behind(*level: str) -> Window:
+        return Window.partitionBy("script_id", "_on", *level).orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+
+    # conditionals open here and closed behind cancel out: what is left tells how many are open, but for a constant of the level
+    closing = F.coalesce(F.sum(F.when(c.kind == "?", -1).when(colon, 1).otherwise(0)).over(behind()), F.lit(0))
+    df = df.withColumns({"_stop": F.min(F.when(stops, F.col("pos"))).over(behind()), "_open": closing + colon.cast("int")})
+    # the first colon behind that finds as many open as the arrow closes one from before it
+    df = df.withColumn("_colon", F.min(F.when(colon, F.col("pos"))).over(behind("_open")))
+    return df.withColumn("expression_end", F.when((c.kind == "=>") & (c.n1 != "{"), F.least("_stop", "_colon"))).drop("_on", "_stop", "_open", "_colon")
+
+
 def generators_async(tokens: DataFrame) -> DataFrame:
     """``yield``, ``yield*``, ``await`` and ``for await`` with the innermost function body around them.
 
-    The body is the latest one of its nesting that is still open: an as-of on the same partitions.
+    ``body_pos`` is the first token of the body: its brace, or the first token of an arrow's expression; null outside of functions. Bodies are
+    intervals, each within another or apart from it. In a sweep over where they start and end, the innermost around a token is the one that started last
+    among those as deep as the token.
     """
-    df = around(brackets(neighbours(tokens)))
+    df = around(_expression_ends(annotate(tokens)))
     # braces after parentheses that head no control statement are a function's or a method's
     after_head = (F.col("b.open_p1") == ")") & (F.coalesce("b.body_of_standard", F.lit("")) != "control")
-    body = c.kind.isin("{", "}") & _true(after_head | (F.col("b.open_p1") == "=>"))
-    step = F.when(body & (c.kind == "{"), 1).when(body, -1).otherwise(0)
-    df = df.withColumn("_nest", F.sum(step).over(by_pos()))
-    open_bodies = Window.partitionBy("script_id", "_nest").orderBy("pos")
-    opened = F.last(F.when(body & (c.kind == "{"), F.col("pos")), ignorenulls=True).over(open_bodies)
+    block = (c.kind == "{") & _true(after_head | (F.col("b.open_p1") == "=>"))
     construct = (
         F.when(_keyword("YIELD"), F.when(c.n1 == "*", "yield*").otherwise("yield"))
         .when(_keyword("AWAIT"), F.when(_true(c.p1 == "FOR"), "for await").otherwise("await"))
     )
-    df = df.withColumns({"body_pos": F.when(F.col("_nest") > 0, opened), "construct": construct})
-    return df.filter(F.col("construct").isNotNull()).select("script_id", "pos", "construct", "body_pos")
+    expression = (c.kind == "=>") & (c.n1 != "{") & F.coalesce(F.col("expression_end") > F.col("pos") + 1, F.lit(True))
+
+    def event(at: Column, step: int, what: Column | None = None) -> Column:
+        return F.struct(at.cast("int").alias("pos"), F.lit(step).alias("step"), (no_text() if what is None else what).alias("construct"))
+
+    events = (
+        F.when(block, F.array(event(F.col("pos"), 1), event(F.col("b.partner_pos"), -1)))
+        .when(_true(expression), F.array(event(F.col("pos") + 1, 1), event(F.col("expression_end"), -1)))
+        .when(construct.isNotNull(), F.array(event(F.col("pos"), 0, construct)))
+    )
+    df = df.select("script_id", events.alias("_events")).filter("_events is not null")
+    df = df.select("script_id", F.explode("_events").alias("_e")).select("script_id", "_e.*").filter("pos is not null")
+    # at one token bodies end before others start, and the token is inside of these
+    order = ["pos", F.when(F.col("step") == -1, 0).when(F.col("step") == 1, 1).otherwise(2)]
+    df = df.withColumn("_nest", F.sum("step").over(Window.partitionBy("script_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)))
+    open_bodies = Window.partitionBy("script_id", "_nest").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    started = F.last(F.when(F.col("step") == 1, F.col("pos")), ignorenulls=True).over(open_bodies)
+    df = df.withColumn("body_pos", F.when(F.col("_nest") > 0, started))
+    return df.filter("construct is not null").select("script_id", "pos", "construct", "body_pos")
 
 
 # --- unified node table --------------------------------------------------------------------------------

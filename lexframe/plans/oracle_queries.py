@@ -337,6 +337,51 @@ _OPERATOR = f"""case when kind in ('++', '--') then case when {_OPERAND} and not
     when kind = '*' then case when {_OPERAND} and coalesce(p1, '') not in (';', '{{', '}}') then 'binary' end
     when kind in ('&&', '||') then 'logical' when kind in {in_list(['='] + A.ASSIGN)} then 'assignment' when kind = '?' then 'ternary'
     when {_kw(*_BINARY)} then 'binary' end"""
+
+
+def _operand_ctes() -> list[str]:
+    """Operands by joins of every operator with the tokens of its level that may end one."""
+    strengths = [["||"], ["&&"], ["|"], ["^"], ["&"], ["==", "!=", "===", "!=="], ["<", ">", "<=", ">=", "IN", "INSTANCEOF"], ["<<", ">>", ">>>"], ["+", "-"], ["*", "/", "%"]]
+    strength = " ".join(f"when kind in {in_list(group)} then {i}" for i, group in enumerate(strengths, 4))
+    words = ["RETURN", "THROW", "VAR", "LET", "CONST", "CASE", "DEFAULT", "ELSE", "DO", "EXPORT", "IMPORT", "YIELD"]
+    called = f"(coalesce(ar.p1 in {in_list(OPERAND_END + ['ASYNC'])}, false) or coalesce(ar.p2 = '.', false))"
+    comma = f"""(kind = ',' and not (mark_.k is not null) and not coalesce(p2 = 'IMPORT', false) and case when ar.kind is null then true
+        when ar.kind = '(' then (coalesce(ar.head_std = 'control', false) and not coalesce(ar.p2 in ('.', 'ASYNC', '*'), false)) or (ar.head_std is null and ar.paren_role <> 'arrow' and not {called})
+        when ar.kind = '[' then coalesce(ar.p1 in {in_list(OPERAND_END)}, false) when ar.kind = '{{' then ar.brace_kind <> 'object' else true end)"""
+    return [
+        """oa as (select *, last_value(case when is_open then {'pos': pos, 'kind': kind, 'head_std': head_std, 'paren_role': paren_role, 'brace_kind': brace_kind, 'p1': p1, 'p2': p2} end ignore nulls)
+             over (partition by script_id, level order by pos rows between unbounded preceding and 1 preceding) as ar, kind = ':' and coalesce(conditional, false) as colon,
+             depth + case when is_open then -1 when is_close then 1 else 0 end as on_, kind = '*' and coalesce(n1 = '*', false) as power from dc)""",
+        f"""ob as (select *, case when kind = '*' and coalesce(p1 = '*', false) then null when {comma} then 'sequence' else {_OPERATOR} end as cls,
+             sum(case when kind = '?' then 1 when colon then -1 else 0 end) over (partition by script_id, on_ order by pos) as bal from oa)""",
+        f"""oc as (select *, case cls when 'sequence' then 0 when 'assignment' then 2 when 'unary' then 14 when 'update_prefix' then 14 when 'update_postfix' then 16
+               else case when cls = 'ternary' or colon then 3 when cls is null then null when power then 15 {strength} end end as strength,
+             coalesce(cls in ('sequence', 'assignment', 'ternary', 'binary', 'logical'), false) or colon as infix, coalesce(cls in ('unary', 'update_prefix'), false) as prefix,
+             (kind in (',', ':', ';', 'TEMPLATE_MIDDLE') and cls is null and not colon) or is_close as firm,
+             coalesce(last_value(case when {_kw('FUNCTION')} then coalesce(function_form = 'declaration', false) or asi_standard is not null
+               when {_kw('CLASS')} then coalesce(statement_position, false) or asi_standard is not null end ignore nulls)
+               over (partition by script_id, on_ order by pos rows between unbounded preceding and 1 preceding), false) as declared
+             from ob)""",
+        f"""od as materialized (select script_id, pos, on_, kind, cls, colon, power, strength, bal, firm, prefix, ar.pos as inside_of, asi_standard is not null as inserted,
+             case when (kind = '(' and coalesce(head_std = 'control', false)) or (kind = '{{' and not coalesce(p1 = '=>', false)
+               and (brace_kind = 'block' or (declared and (brace_kind = 'function' or (brace_kind = 'object' and coalesce(p1 in {in_list(OPERAND_END + ['CLASS'])}, false)))))) then partner_pos + 1
+               when firm or infix or prefix or kind = '=>' or {_kw(*words)} or (kind = 'IDENTIFIER' and text = 'of' and coalesce(p1 in {in_list(S.NAMES + [']', '}'])}, false)) then pos + 1 end as start_,
+             case when infix or prefix then strength when kind = '=>' then 1 else -1 end as looser,
+             case when firm or asi_standard is not null or kind = 'EOF' then -1 when infix then strength end as ends from oc)""",
+        """op as materialized (select script_id, pos, on_, cls, inside_of, case when power then '**' else lower(kind) end as operator, bal - case when kind = '?' then 1 else 0 end as bal,
+             case when prefix then null when cls = 'ternary' then 4 when cls = 'assignment' then 17 when power or cls = 'update_postfix' then 16 else strength end as kept_left,
+             case when cls = 'update_postfix' then null when cls in ('ternary', 'assignment') then 2 when power then 15 else strength + 1 end as kept_right
+           from od where cls is not null)""",
+        """op_left as (select o.script_id, o.pos, o.operator, o.cls, cast(case when o.kept_left is not null then
+               greatest(coalesce(max(case when t.start_ is not null and t.looser < o.kept_left then t.start_ when t.inserted then t.pos end), 0), coalesce(o.inside_of + 1, 0)) end as int) as left_start
+           from op o left join (select * from od where start_ is not null or inserted) t on t.script_id = o.script_id and t.on_ = o.on_ and t.pos < o.pos
+           group by o.script_id, o.pos, o.operator, o.cls, o.kept_left, o.inside_of)""",
+        """op_right as (select o.script_id, o.pos, cast(case when o.kept_right is not null then
+               min(case when t.ends < o.kept_right or (t.colon and t.bal + 1 = o.bal) then t.pos end) - 1 end as int) as right_end
+           from op o left join (select * from od where ends is not null) t on t.script_id = o.script_id and t.on_ = o.on_ and t.pos > o.pos group by o.script_id, o.pos, o.kept_right)""",
+    ]
+
+
 _DOTTED = f"(kind = '.' and coalesce(n1 in {WORDS_OR_ID}, false))"
 _COMPUTED = f"(kind = '[' and {_OPERAND} and not coalesce(p1 = '}}' and newline_before, false))"
 
@@ -541,11 +586,7 @@ def nodes() -> dict[str, str]:
         chain("code", "nb"),
         f"select script_id, pos, case when {_DOTTED} then n1t end as property, {_COMPUTED} as computed from nb where {_DOTTED} or {_COMPUTED}",
     )
-    out["operators"] = statement(
-        chain("code", "nb"),
-        f"""select script_id, pos, case when kind = '*' and coalesce(n1 = '*', false) then '**' else lower(kind) end as operator, {_OPERATOR} as operator_class
-            from nb where ({_OPERATOR}) is not null and not (kind = '*' and coalesce(p1 = '*', false))""",
-    )
+    out["operators"] = statement([*decl, *_operand_ctes()], "select script_id, pos, operator, cls as operator_class, left_start, right_end from op_left join op_right using (script_id, pos)")
     out["templates"] = statement(
         chain("code", "br"),
         f"""select t.script_id, t.pos, coalesce(t.p1 in {in_list(OPERAND_END)}, false) as tagged,
@@ -573,13 +614,20 @@ def nodes() -> dict[str, str]:
            from pt_items where what in ('name', 'member')""",
     )
     out["generators_async"] = statement(
-        [*chain("code", "br"),
-         """fb as (select script_id, pos as body_pos, partner_pos as close_pos from br where kind = '{'
-              and ((open_p1 = ')' and coalesce(body_of_std, '') <> 'control') or open_p1 = '=>'))""",
+        [*chain("code", "asi"),
+         """lv as materialized (select script_id, pos, kind, n1, asi_standard, conditional, is_open, is_close, open_p1, body_of_std, partner_pos,
+              depth + case when is_open then -1 when is_close then 1 else 0 end as on_ from asi)""",
+         """ends_ as (select script_id, on_, pos, kind = ':' and coalesce(conditional, false) as colon,
+              sum(case when kind = '?' then 1 when kind = ':' and conditional then -1 else 0 end) over (partition by script_id, on_ order by pos) as bal, kind, n1, asi_standard, is_close from lv)""",
+         """ends2_ as materialized (select * from ends_ where colon or kind in (',', ';', ':', 'TEMPLATE_MIDDLE', 'EOF') or is_close or asi_standard is not null)""",
+         """ex as (select a.script_id, a.pos + 1 as body_pos, min(t.pos) as close_pos from ends_ a left join ends2_ t on t.script_id = a.script_id and t.on_ = a.on_ and t.pos > a.pos
+              and (not t.colon or t.bal + 1 = a.bal or t.asi_standard is not null) where a.kind = '=>' and a.n1 <> '{' group by 1, 2)""",
+         """fb as (select script_id, pos as body_pos, partner_pos as close_pos from lv where kind = '{'
+              and ((open_p1 = ')' and coalesce(body_of_std, '') <> 'control') or open_p1 = '=>') union all select * from ex)""",
          f"""uses_ as (select script_id, pos, case when {_kw('YIELD')} then case when n1 = '*' then 'yield*' else 'yield' end
-              when {_kw('AWAIT')} then case when p1 = 'FOR' then 'for await' else 'await' end end as construct from br)"""],
+              when {_kw('AWAIT')} then case when p1 = 'FOR' then 'for await' else 'await' end end as construct from asi)"""],
         """select u.script_id, u.pos, u.construct, max(f.body_pos) as body_pos from uses_ u left join fb f
-           on f.script_id = u.script_id and f.body_pos < u.pos and coalesce(f.close_pos, 2147483647) > u.pos
+           on f.script_id = u.script_id and f.body_pos <= u.pos and coalesce(f.close_pos, 2147483647) > u.pos
            where u.construct is not null group by 1, 2, 3""",
     )
     out["feature_stage"] = statement(

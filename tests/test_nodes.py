@@ -35,7 +35,8 @@ EXPECTED = {
         (1, "super", False, 0, 0), (3, "c", False, 1, 1), (3, "f", False, 0, 1), (3, "Foo", True, 0, 1), (3, "c", False, 2, 0),
         (6, "X", True, 0, 0), (6, "C", True, 2, 0), (6, "D", True, 0, 0)]),
     "templates": ("tagged substitutions", [(4, False, 2), (4, True, 0), (4, False, 1), (4, False, 1), (4, False, 1)]),
-    "generators_async": ("construct", [(2, "yield"), (2, "await")]),
+    "generators_async": ("pos construct body_pos", [
+        (2, 11, "yield", 10), (2, 23, "await", 23)]),
     "operators": ("operator operator_class", [
         (0, "=", "assignment"), (2, "=", "assignment"), (2, "=", "assignment"), (2, "=", "assignment"), (2, "await", "unary"), (2, "**", "binary"),
         (3, "=", "assignment"), (3, "=", "assignment"), (4, "=", "assignment"), (4, "=", "assignment"), (4, "+=", "assignment"), (4, "!", "unary"),
