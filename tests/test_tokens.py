@@ -96,3 +96,21 @@ def test_one_exchange(spark, scripts_of):
 
     plan = asi_points(K.tokenize(scripts_of("a")))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_partitions_follow_the_texts(spark, scripts_of):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert K.partitions_for(scripts_of("a")) == least
+    scripts = spark.range(16).selectExpr("cast(id as string) as script_id", "'' as path", f"repeat('a ', {K.PARTITION_TEXT // 2}) as src")
+    assert K.partitions_for(scripts) == 16
+    assert K.tokenize(scripts).rdd.getNumPartitions() == 16
+
+
+def test_scripts_without_a_mark_give_no_tokens(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a", "x = 1"), ("b", "y => 1"), ("c", "z"), ("c", "v => 2"), (None, None), (None, "w => 3")]
+    scripts = spark.createDataFrame(rows, "script_id string, src string")
+    whole, part = K.tokenize(scripts), K.tokenize(scripts, only=F.contains("src", F.lit("=>")))
+    # rows of one id stay together, null ids included
+    assert sorted(map(str, part.collect())) == sorted(map(str, whole.filter("script_id <> 'a' or script_id is null").collect()))
