@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import islice, pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,125 +160,156 @@ def trace_compare(events: DataFrame, a: int, b: int, block: int = BLOCK) -> Data
 # event empties it.  What a run of events does to the set does not need the set itself: whether a stack
 # is live afterwards is a constant or depends on whether some stacks were live before.  So blocks are
 # summarized alone, the small summaries are chained, and each block is then replayed from its true set.
+# A task streams through many sorted blocks; a block costs no call of its own and is never held.
 
-_SUMMARY = "trace_id long, super long, block long, stack int, live boolean, after array<int>, clears boolean"
+_SUMMARY = "trace_id long, super long, block long, stacks array<int>, after array<array<int>>, clears boolean"
 _ENTRY = "trace_id long, super long, block long, live array<int>"
 _STATE_EVENTS = ["split", "die", "rename", "cleanup", "verdict"]
+_SPLIT, _DIE, _RENAME, _CLEAR, _ENTER = range(5)
 #: Blocks per superblock.
 FAN_OUT = 1024
 
-
-def _summarize(rows: Iterator[tuple]) -> tuple[dict[int, tuple[bool, frozenset]], bool]:
-    """Effect of events on a live set: per touched stack (live for sure, live if one of these was)."""
-    effect: dict[int, tuple[bool, frozenset]] = {}
-    clears = False
-
-    def get(s: int) -> tuple[bool, frozenset]:
-        return effect.get(s, (False, frozenset() if clears else frozenset([s])))
-
-    for kind, stack, parent in rows:
-        if kind == "split":
-            effect[stack] = (True, frozenset())
-        elif kind == "die":
-            effect[stack] = (False, frozenset())
-        elif kind == "rename":
-            moved = get(parent)
-            effect[parent] = (False, frozenset())
-            there = get(stack)
-            effect[stack] = (there[0] or moved[0], there[1] | moved[1])
+#: Per touched stack the stacks of which one must have been live before; None: live for sure.
+_Effect = dict[int, frozenset | None]
+_NONE: frozenset = frozenset()
+
+
+def _events(effect: _Effect, clears: bool, rows: Iterator[tuple[int, int, int]]) -> bool:
+    """Adds events to the effect in place; returns whether the set was cleared."""
+    for op, stack, parent in rows:
+        if op == _SPLIT:
+            effect[stack] = None
+        elif op == _DIE:
+            effect[stack] = _NONE
+        elif op == _RENAME:
+            moved = effect[parent] if parent in effect else _NONE if clears else frozenset([parent])
+            effect[parent] = _NONE
+            there = effect[stack] if stack in effect else _NONE if clears else frozenset([stack])
+            effect[stack] = None if moved is None or there is None else there | moved
         else:
-            effect, clears = {}, True
-    return effect, clears
-
-
-def _apply(live: set[int], effect: list[tuple[int, bool, list[int]]], clears: bool) -> set[int]:
-    touched = {s for s, _, _ in effect}
-    kept = set() if clears else live - touched
-    return kept | {s for s, sure, after in effect if sure or not live.isdisjoint(after)}
-
-
-def _rows(pdf: pd.DataFrame) -> Iterator[tuple]:
-    pdf = pdf.sort_values("line_no", kind="stable")
-    return zip(pdf["kind"], pdf["stack"].fillna(-1).astype(int), pdf["parent"].fillna(-1).astype(int))
-
-
-def _summary_frame(keys: tuple, effect: dict, clears: bool) -> pd.DataFrame:
-    rows = [(*keys, s, live, sorted(after), clears) for s, (live, after) in effect.items()]
-    # a row without a stack keeps the clearing flag of a block that touches no stack afterwards
-    rows.append((*keys, None, False, [], clears))
-    return pd.DataFrame(rows, columns=["trace_id", "super", "block", "stack", "live", "after", "clears"]).astype(
-        {"stack": "Int32"}
-    )
-
-
-def _summarize_block(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    return _summary_frame(keys, *_summarize(_rows(pdf)))
-
-
-def _effect_of(pdf: pd.DataFrame) -> tuple[list[tuple[int, bool, list[int]]], bool]:
-    touched = pdf[pdf["stack"].notna()]
-    effect = [(int(s), bool(v), list(a)) for s, v, a in zip(touched["stack"], touched["live"], touched["after"])]
-    return effect, bool(pdf["clears"].iloc[0])
-
-
-def _chain_blocks(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """Summary of a superblock from the summaries of its blocks."""
-    total: dict[int, tuple[bool, frozenset]] = {}
-    clears = False
-    for _, part in pdf.groupby("block", sort=True):
-        effect, cleared = _effect_of(part)
-
-        def get(s: int) -> tuple[bool, frozenset]:
-            return total.get(s, (False, frozenset() if clears else frozenset([s])))
-
-        new = {}
-        for s, sure, after in effect:
-            before = [get(a) for a in after]
-            new[s] = (sure or any(b[0] for b in before), frozenset().union(*(b[1] for b in before)))
-        total = new if cleared else {**total, **new}
-        clears = clears or cleared
-    return _summary_frame((*keys, -1), total, clears)
-
-
-def _entry_frame(rows: list) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["trace_id", "super", "block", "live"])
-
-
-def _walk_supers(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    live, rows = {0}, []
-    for number, part in pdf.groupby("super", sort=True):
-        rows.append((*keys, number, -1, sorted(live)))
-        live = _apply(live, *_effect_of(part))
-    return _entry_frame(rows)
-
-
-def _walk_blocks(keys: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    if pdf.empty or entry.empty:
-        return _entry_frame([])
-    live, rows = set(entry["live"].iloc[0]), []
-    for number, part in pdf.groupby("block", sort=True):
-        rows.append((*keys, number, sorted(live)))
-        live = _apply(live, *_effect_of(part))
-    return _entry_frame(rows)
-
-
-def _peak_of_block(keys: tuple, pdf: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-    peak = 0
-    if not pdf.empty and not entry.empty:
-        live = set(entry["live"].iloc[0])
-        for kind, stack, parent in _rows(pdf):
-            if kind == "split":
+            effect.clear()
+            clears = True
+    return clears
+
+
+def _then(effect: _Effect, clears: bool, stacks: list[int], after: list[list[int] | None], cleared: bool) -> tuple[_Effect, bool]:
+    """The effect followed by the one of a summary."""
+    new: _Effect = {}
+    for s, wanted in zip(stacks, after, strict=True):
+        before = None if wanted is None else [effect[a] if a in effect else _NONE if clears else frozenset([a]) for a in wanted]
+        new[s] = None if before is None or None in before else _NONE.union(*before)
+    return (new if cleared else effect | new), clears or cleared
+
+
+def _apply(live: set[int], stacks: list[int], after: list[list[int] | None], clears: bool) -> set[int]:
+    kept = set() if clears else live.difference(stacks)
+    return kept.union(s for s, wanted in zip(stacks, after, strict=True) if wanted is None or not live.isdisjoint(wanted))
+
+
+def _segments(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, pa.RecordBatch, int, int]]:
+    """Runs of rows equal in the first columns, as key, batch and range; a run may go on in the next batch."""
+    for batch in batches:
+        if batch.num_rows:
+            columns = [batch.column(i).to_numpy() for i in range(keys)]
+            cuts = np.flatnonzero(np.any([np.diff(c) != 0 for c in columns], axis=0)) + 1
+            for low, high in pairwise([0, *cuts.tolist(), batch.num_rows]):
+                yield tuple(int(c[low]) for c in columns), batch, low, high
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _plain(effect: _Effect) -> tuple[list[int], list[list[int] | None]]:
+    return list(effect), [None if a is None else sorted(a) for a in effect.values()]
+
+
+def _summaries_of_events(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``trace_id, super, block, op, stack, parent`` in order -> a summary per block."""
+    effect, clears, now, at, lists = {}, False, None, None, ()
+    for key, batch, low, high in _segments(batches, 3):
+        if key != now:
+            if now is not None:
+                yield (*now, *_plain(effect), clears)
+            effect, clears, now = {}, False, key
+        if batch is not at:
+            at, lists = batch, [batch.column(i).to_pylist() for i in (3, 4, 5)]
+        clears = _events(effect, clears, zip(*[x[low:high] for x in lists], strict=True))
+    if now is not None:
+        yield (*now, *_plain(effect), clears)
+
+
+def _summaries_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Summaries of blocks in order -> a summary per superblock."""
+    effect, clears, now = {}, False, None
+    for key, batch, low, high in _segments(batches, 2):
+        if key != now:
+            if now is not None:
+                yield (*now, None, *_plain(effect), clears)
+            effect, clears, now = {}, False, key
+        for row in zip(*[batch.column(i).slice(low, high - low).to_pylist() for i in (3, 4, 5)], strict=True):
+            effect, clears = _then(effect, clears, *row)
+    if now is not None:
+        yield (*now, None, *_plain(effect), clears)
+
+
+def _walk_supers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Summaries of superblocks in order -> the live set before each."""
+    live, now = {0}, None
+    for key, batch, low, high in _segments(batches, 1):
+        if key != now:
+            live, now = {0}, key
+        for number, *summary in zip(*[batch.column(i).slice(low, high - low).to_pylist() for i in (1, 3, 4, 5)], strict=True):
+            yield (*key, number, None, sorted(live))
+            live = _apply(live, *summary)
+
+
+def _walk_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Summaries of blocks in order, each with the live set before its superblock -> the live set before each block."""
+    live, now = set(), None
+    for key, batch, low, high in _segments(batches, 2):
+        if key != now:
+            live, now = set(batch.column(6)[low].as_py()), key
+        for block, *summary in zip(*[batch.column(i).slice(low, high - low).to_pylist() for i in range(2, 6)], strict=True):
+            yield (*key, block, sorted(live))
+            live = _apply(live, *summary)
+
+
+def _peaks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """``trace_id, op, stack, parent, live`` in order, the live set before each block -> a peak per trace."""
+    live, peak, now, at, lists = set(), 0, None, None, ()
+    for key, batch, low, high in _segments(batches, 1):
+        if key != now:
+            if now is not None:
+                yield (*now, peak)
+            peak, now = 0, key
+        if batch is not at:
+            at, lists = batch, [batch.column(i).to_pylist() for i in (1, 2, 3)]
+        for i, (op, stack, parent) in enumerate(zip(*[x[low:high] for x in lists], strict=True), low):
+            if op == _SPLIT:
                 live.add(stack)
                 peak = max(peak, len(live))
-            elif kind == "die":
+            elif op == _DIE:
                 live.discard(stack)
-            elif kind == "rename":
+            elif op == _RENAME:
                 if parent in live:
                     live.discard(parent)
                     live.add(stack)
-            else:
+            elif op == _CLEAR:
                 live.clear()
-    return pd.DataFrame([(keys[0], peak)], columns=["trace_id", "peak"])
+            else:
+                live = set(batch.column(4)[i].as_py())
+    if now is not None:
+        yield (*now, peak)
+
+
+def _stream(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple]], ddl: str) -> DataFrame:
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(ddl))
+    return df.mapInArrow(lambda batches: _batches(fn(batches), schema), ddl)
 
 
 def trace_peak_alive(
@@ -284,33 +317,37 @@ def trace_peak_alive(
 ) -> DataFrame:
     """Peak number of live stacks per trace, at least 1.
 
-    ``clears=False`` ignores clean-up and verdict lines, as the line-by-line analyzer does.  No task holds
-    more than one block of events or ``fan_out`` block summaries, except the last chain over superblocks.
+    ``clears=False`` ignores clean-up and verdict lines, as the line-by-line analyzer does. Tasks take whole blocks, in
+    order, and keep the live set or the effect on it of one block at a time. Events without a line number do not count.
     """
     ship(events.sparkSession)
     wanted = _STATE_EVENTS if clears else _STATE_EVENTS[:3]
     complete = F.col("stack").isNotNull() & (F.col("parent").isNotNull() | (F.col("kind") == "die"))
+    kind = F.col("kind")
+    op = F.when(kind == "split", _SPLIT).when(kind == "die", _DIE).when(kind == "rename", _RENAME).otherwise(_CLEAR)
     state = events.filter(
-        F.col("kind").isin(wanted) & (complete | F.col("kind").isin("cleanup", "verdict"))
+        kind.isin(wanted) & (complete | kind.isin("cleanup", "verdict")) & F.col("trace_id").isNotNull() & F.col("line_no").isNotNull()
     ).select(
-        "trace_id",
-        F.floor(block_number("line_no", block) / fan_out).cast("long").alias("super"),
+        F.col("trace_id").cast("long").alias("trace_id"),
         block_number("line_no", block).alias("block"),
-        "line_no", "kind", "stack", "parent",
-    )
-    by_block, by_super = ["trace_id", "super", "block"], ["trace_id", "super"]
-    summaries = state.groupBy(*by_block).applyInPandas(_summarize_block, _SUMMARY)
-    supers = summaries.groupBy(*by_super).applyInPandas(_chain_blocks, _SUMMARY)
-    super_entry = supers.groupBy("trace_id").applyInPandas(_walk_supers, _ENTRY)
-    block_entry = (
-        summaries.groupBy(*by_super).cogroup(super_entry.groupBy(*by_super)).applyInPandas(_walk_blocks, _ENTRY)
-    )
-    peaks = (
-        state.groupBy(*by_block).cogroup(block_entry.groupBy(*by_block))
-        .applyInPandas(_peak_of_block, "trace_id long, peak int")
+        "line_no", op.alias("op"), "stack", "parent",
     )
+    number = F.floor(F.col("block") / fan_out).cast("long").alias("super")
+    ordered = state.repartition("trace_id", "block").sortWithinPartitions("trace_id", "block", "line_no")
+    summaries = _stream(ordered.select("trace_id", number, "block", "op", "stack", "parent"), _summaries_of_events, _SUMMARY)
+    chains = summaries.repartition("trace_id", "super")
+    in_order = ["trace_id", "super", "block"]
+    supers = _stream(chains.sortWithinPartitions(*in_order), _summaries_of_blocks, _SUMMARY)
+    super_entry = _stream(supers.repartition("trace_id").sortWithinPartitions("trace_id", "super"), _walk_supers, _ENTRY)
+    # a left join, so that nothing is filtered below it and the exchange of the summaries serves twice
+    walked = chains.join(super_entry.drop("block"), ["trace_id", "super"], "left").sortWithinPartitions(*in_order)
+    block_entry = _stream(walked, _walk_blocks, _ENTRY).select("trace_id", "block", F.lit(_ENTER).alias("op"), "live")
+    # the set comes first in its block: it has no line number
+    replayed = state.unionByName(block_entry, allowMissingColumns=True).repartition("trace_id", "block").sortWithinPartitions(
+        "trace_id", "block", F.asc_nulls_first("line_no"))
+    peaks = _stream(replayed.select("trace_id", "op", "stack", "parent", "live"), _peaks, "trace_id long, peak int")
     found = peaks.groupBy("trace_id").agg(F.max("peak").alias("peak"))
-    every = events.select("trace_id").distinct()
-    return every.join(found, "trace_id", "left").select(
-        "trace_id", F.greatest(F.lit(1), F.coalesce("peak", F.lit(1))).alias("peak_alive")
-    )
+    # with the line number this reads the lines as the passes above do; without it the kinds are tested on the scan, four times as slow
+    every = events.groupBy("trace_id").agg(F.max("line_no").alias("last_line"))
+    peak = F.when(F.col("last_line").isNotNull(), F.greatest(F.lit(1), F.coalesce("peak", F.lit(1)))).otherwise(F.lit(1))
+    return every.join(found, "trace_id", "left").select("trace_id", peak.alias("peak_alive"))

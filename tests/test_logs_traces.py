@@ -111,3 +111,19 @@ def test_stream_equals_batch_however_lines_arrive(spark, tmp_path):
     for r in got:
         peak, tokens, rules = _replay(_trace(r.trace_id), clears=False)
         assert (r.peak_alive, r.n_splits) == (peak, sum(tokens.values()))
+
+
+def test_live_stacks_take_no_call_per_block(spark):
+    # a block per event: 6,000 blocks that were 6,000 pandas groups, three times over
+    lines = _trace(5, 6000)
+    events = T.read_trace(spark.createDataFrame([(1, n * 10, t) for n, t in enumerate(lines)], SCHEMA))
+    peaks = T.trace_peak_alive(events, block=10, fan_out=7)
+    assert peaks.first().peak_alive == _replay(lines)[0]
+    plan = peaks._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "FlatMapCoGroups" not in plan
+
+
+def test_events_without_line_or_trace_do_not_count(spark):
+    rows = [(1, None, "Splitting off stack 1 from 0."), (1, 5, "Splitting off stack 2 from 0."), (1, 6, "Splitting off stack 3 from 0."), (None, 7, "Splitting off stack 4 from 0.")]
+    peaks = T.trace_peak_alive(T.read_trace(spark.createDataFrame(rows, SCHEMA)), block=2)
+    assert sorted((r.trace_id or 0, r.peak_alive) for r in peaks.collect()) == [(0, 1), (1, 3)]
