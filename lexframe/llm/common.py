@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,6 +30,7 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in fn(batches):
             yield pa.RecordBatch.from_arrays([columns[n] if isinstance(columns[n], pa.Array) else pa.array(columns[n]) for n in names], names=names)
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return df.mapInArrow(run, schema)
 
@@ -36,12 +38,13 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
 def small_batches(batches: Iterator[pa.RecordBatch], column: int = 1, chars: int = 1 << 21) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of the batches with about ``chars`` of text each, and their texts; a longer text is a slice of its own."""
     for batch in batches:
-        texts = batch.column(column).to_pylist()
+        sizes = (pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy() + 64).tolist()
         start = size = 0
-        for i, text in enumerate(texts):
-            size += len(text or "") + 64
-            if size >= chars or i + 1 == len(texts):
-                yield batch.slice(start, i + 1 - start), texts[start: i + 1]
+        for i, n in enumerate(sizes):
+            size += n
+            if size >= chars or i + 1 == len(sizes):
+                part = batch.slice(start, i + 1 - start)
+                yield part, part.column(column).to_pylist()  # never all texts of a batch as Python strings
                 start, size = i + 1, 0
 
 
@@ -66,6 +69,7 @@ def append(df: DataFrame, text: str, fn, added: str) -> DataFrame:
         for part, texts in small_batches(batches, at):
             columns = fn(part, texts)
             yield pa.RecordBatch.from_arrays([*part.columns, *[columns[n] for n in made]], names=names)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
 

@@ -24,8 +24,9 @@ from lexframe.llm.common import map_batches, small_batches
 
 END_ID = 0
 LIMIT = 1024
-MEMO = 56 << 20  # about the bytes of a generation of a worker's memo; it holds two, which changes no result
+MEMO = 20 << 20  # about the bytes of a generation of a worker's memo; it holds two, which changes no result
 ENTRY = 160  # bytes of an entry beside its text and ids
+SLICE = 1 << 18  # characters between two looks at the size of the memo
 
 _MEMO: dict[str, _Words] = {}
 _BEFORE_WORD = re.compile(r" (?=\S)")
@@ -139,7 +140,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = LIMIT, with_ids: bool = F
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         words = _words(tokenizer)
         end = array("I", [END_ID]).tobytes()
-        for batch, texts in small_batches(batches):
+        for batch, texts in small_batches(batches, chars=SLICE):
             rows: list[tuple] = []
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.ids([t or "" for t in texts]), strict=True):
                 ids += end

@@ -352,3 +352,31 @@ def test_suffix_dedup(spark):
     key = lambda r: (r[0] is None, r[0], r[1:])
     assert sorted(got, key=key) == sorted(plain_suffixes(docs), key=key)
     assert dedup(df.limit(0)).count() == 0
+
+
+def test_slices_are_made_into_strings_one_by_one():
+    import pyarrow as pa
+
+    from lexframe.llm.common import small_batches
+
+
+    texts = ["ab", None, "ü" * 300, "", "x" * 5000, None, "y"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    got = list(small_batches([batch.slice(1), batch.slice(0, 0)], chars=400))
+    assert [t for _, part in got for t in part] == texts[1:]
+    assert [p.column(0).to_pylist() for p, _ in got] == [[1, 2], [3, 4], [5, 6]] and all(p.column(1).to_pylist() == t for p, t in got)
+
+
+def test_the_memo_of_packing_is_looked_at_between_small_slices():
+    import random
+
+    import pyarrow as pa
+
+    from lexframe.llm import packing
+    from lexframe.llm.common import small_batches
+
+    rnd = random.Random(3)
+    texts = [" ".join("".join(rnd.choices("abcdefghij", k=9)) for _ in range(2000)) for _ in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60)), pa.array(texts)], names=["doc_id", "text"])
+    sizes = [sum(map(len, t)) for _, t in small_batches([batch], chars=packing.SLICE)]
+    assert max(sizes) < packing.SLICE + 30000 and packing.MEMO <= 20 << 20
