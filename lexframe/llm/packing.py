@@ -24,7 +24,7 @@ from lexframe.llm.common import map_batches, small_batches
 
 END_ID = 0
 LIMIT = 1024
-MEMO = 20 << 20  # about the bytes of a generation of a worker's memo; it holds two, which changes no result
+MEMO = 40 << 20  # about the bytes of a generation of a worker's memo; it holds two, which changes no result
 ENTRY = 160  # bytes of an entry beside its text and ids
 SLICE = 1 << 18  # characters between two looks at the size of the memo
 
