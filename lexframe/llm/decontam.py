@@ -47,10 +47,12 @@ CELLS = 1 << 18  # ... and their numbers held at a time beside their windows
 
 _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"(?<=[.?!])\s+")
+_BLANKS = {c: " " for c in range(128) if not _WORD.match(chr(c))}
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    lower = (text or "").lower()
+    return lower.translate(_BLANKS).split() if lower.isascii() else _WORD.findall(lower)
 
 
 def answer_of(text: str | None, answer: str | None = None) -> list[str]:

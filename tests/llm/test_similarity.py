@@ -256,6 +256,17 @@ def test_decontamination_retrieves_in_the_latent_space_alone(spark, monkeypatch)
     assert not find()
 
 
+def test_words_of_ascii_texts_and_others():
+    import re
+
+    from lexframe.llm.decontam import words_of
+
+    plain = "".join("a_Z9"[i % 4] + chr(i) for i in range(128)) + "".join(map(chr, range(128)))
+    for text in (plain, plain + "é \u00a0ß²\u2028x", "K\u212a-K", "", " ", "one"):
+        assert words_of(text) == re.findall(r"\w+", text.lower())
+    assert words_of(None) == []
+
+
 def test_windows_add_the_words_of_each_half_once():
     from lexframe.llm import decontam as D
 
