@@ -3,154 +3,194 @@
 A bracket is a *root* where its surroundings make it a pattern (declaration, parameter, ``catch``, loop head, left side of an assignment), a *target* where
 it is a pattern if the bracket around it is one (element of an array, value of a key, rest) and anything else otherwise. So a target belongs to the
 nearest bracket around it that is no target, and is a pattern if that one is a root: one window over the brackets that are no targets
-hands the context down any number of levels, no level by level rounds. Paths are folded from the brackets of one root.
+hands the context down any number of levels, no level by level rounds. Paths are those of the brackets open around, kept on a stack.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
-from lexframe.functions.memo import once_per_frame
-from lexframe.operators.rules import _true
-from lexframe.operators.structure import CAN_END, NAMES, is_close, is_open
-from lexframe.operators.tokens import by_pos
+from lexframe.functions.vectors import V, at, case, either, names_of, true
+from lexframe.operators.passes import Found, Tokens, rows_of, scan
+from lexframe.operators.structure import CAN_END, NAMES
 
 KEPT = ["(", ")", "[", "]", "{", "}", "TEMPLATE_HEAD", "TEMPLATE_TAIL", ",", "=", ":", "...", "THIS", *NAMES]
-
-
-def _step(own: Column, index: Column) -> Column:
-    """How a target is taken from the value of the pattern around it."""
-    kind, p1, p2, p2t = F.col("kind"), F.col("p1"), F.col("p2"), F.col("p2t")
-    return (
-        F.when(p1 == "...", "...")
-        .when(own.kind == "[", F.concat(F.lit("["), index.cast("string"), F.lit("]")))
-        .when(p1 == ":", F.when(p2 == "]", "[*]").otherwise(F.concat(F.lit("."), p2t)))
-        .when(kind.isin(NAMES), F.concat(F.lit("."), F.col("text")))
-    )
-
-
-@once_per_frame
-def targets(tokens: DataFrame) -> DataFrame:
-    """Brackets, names, rests and holes of patterns: one row each, with ``root`` (position and place) and ``step``."""
-    from lexframe.operators.nodes import _with_declarators
-    from lexframe.operators.structure import annotate, around, enclosing
-
-    df = _with_declarators(around(enclosing(annotate(tokens))))
-    # the sorts below carry what patterns look at, and of the tokens only those that can matter
-    df = df.filter(F.col("kind").isin(KEPT)).select(
-        "script_id", "pos", "kind", "text", "level", "p1", "p2", "p2t", "n1", "declares", "statement_position",
-        F.col("asi_standard").isNotNull().alias("starts"), F.col("b.partner_pos").alias("close"), F.col("b.after").alias("after"),
-        F.col("b.after_t").alias("after_t"), F.col("b.items").alias("items"), F.col("b.head_standard").alias("head"), F.col("b.paren_role").alias("role"),
+#: What is counted directly in a pattern.
+COUNTS = ["names", "defaults", "holes", "shorthands", "computed_keys"]
+
+
+class Targets:
+    """Brackets, names, rests and holes of patterns by root and position: lists of one value for each."""
+
+    def __init__(self, t: Tokens):
+        kept = rows_of(t.kind.isin(*KEPT))
+        rows = t.subset(kept)
+
+        def sub(column: V) -> V:
+            return V(column.v[kept], None if column.ok is None else column.ok[kept])
+
+        kind, p1, p2, n1 = sub(t.kind), sub(t.p(1)), sub(t.p(2)), sub(t.n_(1))
+        after, pos = sub(t.after), sub(t.pos)
+        is_open, is_close = sub(t.is_open), sub(t.is_close)
+        here = rows.window(t.level[kept])
+        commas = V(here.sum((kind == ",").v))
+        last_open, mark = here.last(is_open), here.last(kind.isin(",", "=") | is_open)
+
+        def around(column: V) -> V:
+            """An opening bracket is on the level of its inside; the token before it is on that of the bracket around."""
+            return case((is_open, rows.by_pos.lag(column)), other=column)
+
+        own = around(last_open)
+        index = around(commas) - at(own, commas)
+        own_kind, own_head, own_role = at(own, kind), at(own, sub(t.head_standard)), at(own, sub(t.paren_role))
+        own_after, own_before = at(own, after), at(own, p1)
+        placed = ((own_kind == "[") & p1.isin("[", ",", "...")) | (
+            (own_kind == "{") & (((p1 == ":") & (at(around(mark), kind) != "=")) | (p1 == "...")))
+        header = (own_head == "function") | (own_role == "arrow") | ((own_after == "{") & own_head.null())
+        loop = own_before.isin("FOR", "AWAIT") & (p1 == "(") & ((after == "IN") | ((after == "IDENTIFIER") & (sub(t.after_word) == "of")))
+        begins = ~true(p1.isin(*CAN_END)) | sub(t.inserted) | true(sub(t.statement_position))
+        in_paren = own_kind == "("
+        parameter = true(in_paren & header & p1.isin("(", ",", "..."))
+        bracket = kind.isin("[", "{")
+        root = case((bracket, case(
+            (sub(t.declared_by).there(), "declaration"), (true(in_paren & (own_before == "CATCH") & (p1 == "(")) & ~true(at(own, p2) == "."), "catch"),
+            (parameter & (own_role == "arrow"), "arrow_parameter"), (parameter, "parameter"), (true(in_paren & loop), "loop"),
+            (true(after == "=") & begins & ~true(placed), "assignment"),
+        )))
+        target, param = true(placed), true(in_paren & header)
+        stop = is_open & ~(bracket & target & root.null())
+        stopped = case((is_open | is_close, at(last_open, stop)))
+        nest = rows.by_pos.sum(case((true(stopped) & is_open, 1), (true(stopped), -1), other=0).v)
+        at_root = rows.window(nest).last(is_open & stop)
+        # an element that is assigned to, but in no pattern, is a pattern of its own
+        alone = bracket & target & at(at_root, root).null() & true(after == "=")
+        self_row = V(np.arange(rows.n, dtype=np.int32))
+        at_root, position = case((alone, self_row), other=at_root), case((alone, "assignment"), other=at(at_root, root))
+        bound = position.there()
+        in_pattern = own_kind.isin("[", "{")
+        shorthand = kind.isin(*NAMES) & (own_kind == "{") & p1.isin("{", ",") & n1.isin(",", "}", "=")
+        plain = true(kind.isin(*NAMES, "THIS") & in_pattern & bound & (target | shorthand))
+        member = n1.isin(".", "[", "(")
+        is_pattern = bracket & bound & (root.there() | target | alone)
+        in_rest = true((bound & in_pattern) | param)
+        what = case(
+            (is_pattern & (kind == "{"), "object"), (is_pattern, "array"), (plain & member, "member"), (plain, "name"),
+            (true((kind == ",") & bound & (own_kind == "[") & p1.isin("[", ",")), "hole"), ((kind == "...") & in_rest, "rest"), (kind == "...", "spread"),
+        )
+        found = rows_of(what.there())
+        # by root, and by position within
+        root_pos = either(at(at_root, pos), pos).v
+        found = found[np.lexsort([rows.at_pos[found], root_pos[found], rows.script[found]])]
+        self.tokens, self.kept, self.n = t, kept[found], len(found)
+
+        def out(column: V) -> list:
+            return [None if not ok else x for x, ok in zip(column.v[found].tolist(), column.there().v[found].tolist(), strict=True)]
+
+        def names(column: V) -> list:
+            table = names_of()
+            return [None if x is None else table[x] for x in out(column)]
+
+        self.pos, self.root_pos, self.script = out(pos), root_pos[found].tolist(), rows.script[found].tolist()
+        self.what, self.position, self.parent = names(what), names(position), out(at(own, pos))
+        self.close, self.items = out(sub(at(t.partner, t.pos))), out(sub(t.items))
+        self.has_default = out(case((bracket, after == "="), other=n1 == "="))
+        self.shorthand, self.is_rest = out(true(shorthand)), out(p1 == "...")
+        self.computed = out(true((p1 == ":") & (p2 == "]")))
+        texts = Found(t, self.kept)
+        self.text, before2 = texts.text(t.row).to_pylist(), texts.text(t.p(2, "row")).to_pylist()
+        self.step = []
+        is_root, names_ = out(true(at(at_root, pos) == pos)), out(kind.isin(*NAMES))
+        for k, (rest, arrayed, colon, i) in enumerate(zip(self.is_rest, out(own_kind == "["), out(p1 == ":"), out(index), strict=True)):
+            if is_root[k]:
+                step = ""
+            elif rest:
+                step = "..."
+            elif arrayed:
+                step = f"[{i}]"
+            elif colon:
+                step = "[*]" if self.computed[k] else "" if before2[k] is None else "." + before2[k]
+            else:
+                step = "." + self.text[k] if names_[k] else ""
+            self.step.append(step)
+
+    def placed(self, rows: list[int]) -> tuple[list[str], list[int]]:
+        """Path and nesting of these: the steps of the brackets of their root that are open around them."""
+        paths, nesting = [], []
+        group, open_, here = None, [], []
+        for k in rows:
+            pos = self.pos[k]
+            if group != (self.script[k], self.root_pos[k]):
+                group, open_, here = (self.script[k], self.root_pos[k]), [], []
+            if here and here[0][0] < pos:
+                open_ += here
+                here = []
+            while open_ and open_[-1][1] is not None and open_[-1][1] <= pos:
+                open_.pop()
+            paths.append("".join([x[2] for x in open_]) + self.step[k])
+            nesting.append(len(open_))
+            if self.what[k] in ("object", "array"):
+                here.append((pos, self.close[k], self.step[k]))
+        return paths, nesting
+
+    def batch(self, schema: pa.Schema, rows: list[int], **columns: list) -> list[pa.RecordBatch]:
+        if not rows:
+            return []
+        found = Found(self.tokens, self.kept[rows])
+        return [found.batch(schema, **{n: pa.array(x, schema.field(n).type) for n, x in columns.items()})]
+
+    def take(self, name: str, rows: list[int]) -> list:
+        column = getattr(self, name)
+        return [column[k] for k in rows]
+
+
+def _bindings(t: Tokens, schema: pa.Schema) -> list[pa.RecordBatch]:
+    x = Targets(t)
+    rows = [k for k in range(x.n) if x.position[k] is not None and x.what[k] in ("object", "array", "name", "member")]
+    paths, _ = x.placed(rows)
+    wanted = [i for i, k in enumerate(rows) if x.what[k] in ("name", "member")]
+    paths, rows = [paths[i] for i in wanted], [rows[i] for i in wanted]
+    columns = {n: x.take(n, rows) for n in ("pos", "root_pos", "position", "has_default", "is_rest", "shorthand", "computed")}
+    return x.batch(schema, rows, name=x.take("text", rows), path=paths, target=x.take("what", rows), **columns)
+
+
+def _patterns(t: Tokens, schema: pa.Schema) -> list[pa.RecordBatch]:
+    x = Targets(t)
+    paths, nesting = x.placed(list(range(x.n)))
+    counts: dict[tuple, list[int]] = {}
+    for k in range(x.n):
+        what = x.what[k]
+        if what not in ("rest", "spread") and x.parent[k] is not None:
+            n = counts.setdefault((x.script[k], x.root_pos[k], x.parent[k]), [0] * len(COUNTS))
+            tests = (what == "name", what != "hole" and x.has_default[k], what == "hole", x.shorthand[k], what != "hole" and x.computed[k])
+            for i, test in enumerate(tests):
+                n[i] += bool(test)
+    rows = [k for k in range(x.n) if x.what[k] in ("object", "array", "rest", "spread")]
+    bracket = [x.what[k] in ("object", "array") for k in rows]
+    found = [counts.get((x.script[k], x.root_pos[k], x.pos[k]), [0] * len(COUNTS)) if b else [0] * len(COUNTS) for k, b in zip(rows, bracket, strict=True)]
+
+    def of_brackets(values: list) -> list:
+        return [v if b else None for v, b in zip(values, bracket, strict=True)]
+
+    def either_(a: list, b: list) -> list:
+        return [x if c else y for x, y, c in zip(a, b, bracket, strict=True)]
+
+    return x.batch(
+        schema, rows, pos=x.take("pos", rows), shape=either_(x.take("what", rows), ["element"] * len(rows)),
+        position=either_(x.take("position", rows), x.take("what", rows)), item_count=of_brackets(x.take("items", rows)),
+        nesting=of_brackets([nesting[k] for k in rows]), path=of_brackets([paths[k] for k in rows]), has_default=of_brackets(x.take("has_default", rows)),
+        **{n: [f[i] for f in found] for i, n in enumerate(COUNTS)},
     )
-    kind, p1 = F.col("kind"), F.col("p1")
-    here = Window.partitionBy("script_id", "level").orderBy("pos")
-    commas = F.sum(F.when(kind == ",", 1).otherwise(0)).over(here)
-    df = df.withColumn("_commas", commas)
-    facts = F.struct("pos", "kind", "head", "role", "after", F.col("p1").alias("before"), F.col("p2").alias("before2"), F.col("_commas").alias("commas"))
-    df = df.withColumns({
-        "_own": F.last(F.when(is_open(), facts), ignorenulls=True).over(here),
-        "_mark": F.last(F.when(kind.isin(",", "=") | is_open(), kind), ignorenulls=True).over(here),
-    })
-    # an opening bracket is on the level of its inside; the token before it is on that of the bracket around
-    df = df.withColumn("_prev", F.lag(F.struct("_own", "_mark", "_commas")).over(by_pos()))
-    bracket = kind.isin("[", "{")
-    around_ = F.when(is_open(), F.col("_prev._own")).otherwise(F.col("_own"))
-    index = F.when(is_open(), F.col("_prev._commas")).otherwise(F.col("_commas"))
-    mark = F.when(is_open(), F.col("_prev._mark")).otherwise(F.col("_mark"))
-    df = df.withColumns({"_in": around_, "_index": (index - around_.commas).cast("int"), "_seen": mark})
-    own = F.col("_in")
-    placed = ((own.kind == "[") & p1.isin("[", ",", "...")) | (
-        (own.kind == "{") & (((p1 == ":") & (F.col("_seen") != "=")) | (p1 == "...")))
-    header = (own.head == "function") | (own.role == "arrow") | ((own.after == "{") & own.head.isNull())
-    first = p1.isin("(", ",", "...")
-    loop = own.before.isin("FOR", "AWAIT") & (p1 == "(") & ((F.col("after") == "IN") | ((F.col("after") == "IDENTIFIER") & (F.col("after_t") == "of")))
-    begins = ~_true(p1.isin(CAN_END)) | F.col("starts") | _true(F.col("statement_position"))
-    root = (
-        F.when(_true(F.col("declares")), "declaration")
-        .when(_true((own.kind == "(") & (own.before == "CATCH") & (p1 == "(")) & ~_true(own.before2 == "."), "catch")
-        .when(_true((own.kind == "(") & header & first), F.when(own.role == "arrow", "arrow_parameter").otherwise("parameter"))
-        .when(_true((own.kind == "(") & loop), "loop")
-        .when(_true(F.col("after") == "=") & begins & ~_true(placed), "assignment")
-    )
-    df = df.withColumns({"_target": _true(placed), "_root": F.when(bracket, root), "_param": _true((own.kind == "(") & header)})
-    stop = is_open() & ~(bracket & F.col("_target") & F.col("_root").isNull())
-    df = df.withColumn("_stop", F.when(is_open(), stop))
-    df = df.withColumn("_stop", F.when(is_open() | is_close(), F.last("_stop", ignorenulls=True).over(here)))
-    nest = F.sum(F.when(_true(F.col("_stop")), F.when(is_open(), 1).otherwise(-1)).otherwise(0)).over(by_pos())
-    df = df.withColumn("_nest", nest)
-    inside = Window.partitionBy("script_id", "_nest").orderBy("pos")
-    stops = F.when(is_open() & F.col("_stop"), F.struct(F.col("_root").alias("position"), "pos", "close"))
-    df = df.withColumn("root", F.last(stops, ignorenulls=True).over(inside))
-    # an element that is assigned to, but in no pattern, is a pattern of its own
-    alone = bracket & F.col("_target") & F.col("root.position").isNull() & _true(F.col("after") == "=")
-    df = df.withColumn("root", F.when(alone, F.struct(F.lit("assignment").alias("position"), "pos", "close")).otherwise(F.col("root")))
-    bound = F.col("root.position").isNotNull()
-    plain = kind.isin([*NAMES, "THIS"]) & own.kind.isin("[", "{")
-    shorthand = kind.isin(NAMES) & (own.kind == "{") & p1.isin("{", ",") & F.col("n1").isin(",", "}", "=")
-    what = (
-        F.when(bracket & bound & (F.col("_root").isNotNull() | F.col("_target") | alone), F.when(kind == "{", "object").otherwise("array"))
-        .when(_true(plain & bound & (F.col("_target") | shorthand)), F.when(F.col("n1").isin(".", "[", "("), "member").otherwise("name"))
-        .when(_true((kind == ",") & bound & (own.kind == "[") & p1.isin("[", ",")), "hole")
-        .when(kind == "...", F.when(bound & own.kind.isin("[", "{") | F.col("_param"), "rest").otherwise("spread"))
-    )
-    is_root = F.col("root.pos") == F.col("pos")
-    return df.withColumn("what", what).filter(F.col("what").isNotNull()).select(
-        "script_id", "pos", "text", "what", "root", F.col("_in.pos").alias("parent"), "close", F.col("items").alias("item_count"),
-        F.when(is_root, F.lit("")).otherwise(F.coalesce(_step(own, F.col("_index")), F.lit(""))).alias("step"),
-        F.when(bracket, F.col("after") == "=").otherwise(F.col("n1") == "=").alias("has_default"),
-        _true(shorthand).alias("shorthand"), _true((p1 == ":") & (F.col("p2") == "]")).alias("computed"), (p1 == "...").alias("is_rest"),
-    )
-
-
-def _by_root(rows: DataFrame, kinds: list[str], more=lambda row, rows: []) -> DataFrame:
-    """Rows of these kinds with ``path`` and ``nesting``: the steps of the brackets of their root that are open around them.
-
-    Everything of one root is one array, so ``more`` can count among its rows; the arrays end before rows are made again.
-    """
-    brackets = F.collect_list(F.when(F.col("what").isin("object", "array"), F.struct("pos", "close", "step")))
-    facts = F.struct(*[c for c in rows.columns if c not in ("script_id", "root")], F.col("root.position").alias("position"))
-    one = rows.groupBy("script_id", F.coalesce("root.pos", "pos").alias("root_pos")).agg(
-        F.sort_array(brackets).alias("_open"), F.collect_list(facts).alias("_rows"))
-
-    def placed(row: Column) -> Column:
-        outer = F.filter("_open", lambda b: (b.pos < row.pos) & (F.coalesce(b.close, F.lit(1 << 30)) > row.pos))
-        path = F.concat(F.array_join(F.transform(outer, lambda b: b.step), ""), row.step)
-        return F.struct(row.alias("row"), path.alias("path"), F.size(outer).alias("nesting"), *more(row, F.col("_rows")))
-
-    wanted = F.filter("_rows", lambda r: r.what.isin(kinds))
-    return one.select("script_id", "root_pos", F.explode(F.transform(wanted, placed)).alias("_p")).select(
-        "script_id", "root_pos", "_p.row.*", *[F.col(f"_p.{n}") for n in ("path", "nesting")], "_p")
 
 
 def pattern_bindings(tokens: DataFrame) -> DataFrame:
     """Names that patterns bind (members that they assign to), with the path of the value they take."""
-    rows = targets(tokens).filter(F.col("what").isin("object", "array", "name", "member") & F.col("root.position").isNotNull())
-    return _by_root(rows, ["name", "member"]).select(
-        "script_id", "pos", F.col("text").alias("name"), "root_pos", "position", "path", F.col("what").alias("target"), "has_default", "is_rest",
-        "shorthand", "computed",
-    )
-
-
-COUNTS = {
-    "names": lambda r: r.what == "name", "defaults": lambda r: (r.what != "hole") & r.has_default, "holes": lambda r: r.what == "hole",
-    "shorthands": lambda r: r.shorthand, "computed_keys": lambda r: (r.what != "hole") & r.computed,
-}
+    return scan(tokens, _bindings, "pos int, name string, root_pos int, position string, path string, target string, has_default boolean, is_rest boolean, "
+                "shorthand boolean, computed boolean")
 
 
 def patterns(tokens: DataFrame) -> DataFrame:
     """Patterns, nested ones with their path, and what is directly in them; rest and spread elements are rows as well."""
-
-    def counts(row: Column, rows: Column) -> list[Column]:
-        def count(test) -> Column:
-            return F.size(F.filter(rows, lambda r: (r.parent == row.pos) & ~r.what.isin("rest", "spread") & test(r)))
-
-        return [count(test).alias(n) for n, test in COUNTS.items()]
-
-    bracket = F.col("what").isin("object", "array")
-    return _by_root(targets(tokens), ["object", "array", "rest", "spread"], counts).select(
-        "script_id", "pos", F.when(bracket, F.col("what")).otherwise("element").alias("shape"),
-        F.when(bracket, F.col("position")).otherwise(F.col("what")).alias("position"), F.when(bracket, F.col("item_count")).alias("item_count"),
-        *[F.when(bracket, F.col(n)).alias(n) for n in ("nesting", "path", "has_default")],
-        *[F.when(bracket, F.col(f"_p.{n}")).otherwise(0).alias(n) for n in COUNTS],
-    )
+    return scan(tokens, _patterns, "pos int, shape string, position string, item_count int, nesting int, path string, has_default boolean, "
+                + ", ".join(f"{n} int" for n in COUNTS))
