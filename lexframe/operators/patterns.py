@@ -63,7 +63,7 @@ class Targets:
         stop = is_open & ~(bracket & target & root.null())
         stopped = case((is_open | is_close, at(last_open, stop)))
         nest = rows.by_pos.sum(case((true(stopped) & is_open, 1), (true(stopped), -1), other=0).v)
-        at_root = rows.window(nest).last(is_open & stop)
+        at_root = rows.window(nest).last(is_open & true(stopped))
         # an element that is assigned to, but in no pattern, is a pattern of its own
         alone = bracket & target & at(at_root, root).null() & true(after == "=")
         self_row = V(np.arange(rows.n, dtype=np.int32))

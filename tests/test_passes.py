@@ -70,20 +70,32 @@ def test_windows_against_loops():
         for i in range(400):
             group = [j for j in range(400) if script[j] == script[i] and same[j] == same[i]]
             to = [j for j in group if pos[j] <= pos[i]]
-            ahead, after = [j for j in group if j < i], [j for j in group if j > i]
+            # from behind, rows of one position keep their order
+            ahead = [j for j in group if j < i]
+            after = sorted((j for j in group if (-pos[j], j) < (-pos[i], i)), key=lambda j: (pos[j], -j))
+
+            behind_ = [j for j in group if j > i]
 
             def extreme(f, some):
                 return f([x.v[j] for j in some if x.ok[j]], default=None)
 
             want = {
                 "last": max([j for j in to if test.v[j]], default=None), "before": max([j for j in ahead if test.v[j]], default=None),
-                "next": min([j for j in after if test.v[j]], default=None), "max": extreme(max, to), "min": extreme(min, to),
-                "max_before": extreme(max, ahead), "lag": ahead[-2] if len(ahead) > 1 else None, "lead": after[2] if len(after) > 2 else None,
+                "next": next((j for j in after if test.v[j]), None), "max": extreme(max, to), "min": extreme(min, to),
+                "max_before": extreme(max, ahead), "lag": ahead[-2] if len(ahead) > 1 else None, "lead": behind_[2] if len(behind_) > 2 else None,
             }
             assert {n: v.v[i] if v.there().v[i] else None for n, v in got.items()} == want
             assert sums[i] == x.v[to].sum() and behind[i] == x.v[after].sum()
 
 
+def test_script_that_comes_twice(spark, scripts_of):
+    """Its rows share their windows, rows of one position in the order that a sort leaves them in."""
+    once = scripts_of('import "./a.js";', "for (let [p, , q = 1] of pairs) use(p);")
+    tokens = K.tokenize(once.union(once))
+    assert [(r.pos, r.source) for r in N.imports(tokens).collect()] == [(0, None)]
+    assert B.patterns(tokens).filter("position = 'declaration'").count() == 0
+
+
 def test_counts_and_places_as_of_the_rows(spark, scripts_of):
     tokens = K.tokenize(scripts_of("a b\n) c", "x = 1;", "(\n\n` 1 2", "\n  @ @"))
     rows = R.all_diagnostics(tokens).collect()
